@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bucketwise.llm import mixing, url_filter
+from bucketwise.llm import mixing, token_files, url_filter
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_filter_urls": url_filter.op10_filter_urls,
 }
