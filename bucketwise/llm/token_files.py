@@ -26,7 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
 #: Words that a worker keeps; beyond, it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 
 BLOCK_SCHEMA = "part int, seq int, ids_before long, doc_ids array<long>, n_ids array<long>, codes binary"
 _BLOCK_ARROW = pa.schema(
@@ -125,6 +125,9 @@ class DacReader:
 # -- encoding ------------------------------------------------------------------
 
 _END = "\n"  # never a word
+#: Ends the last piece of a run of letters, so that words of letters alone can
+#: be encoded many at a time and told apart again.
+_WORD_END = "</w>"
 _TAIL = ".,!%&*$#|;:?-()\""
 #: Separators of Python's split() that the tokenizer treats as characters.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -141,6 +144,9 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.end_id = end_id
+        self._ends_word = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for piece, at in self.library.get_vocab(with_added_tokens=True).items():
+            self._ends_word[at] = piece.endswith(_WORD_END)
         self._clear()
 
     def _clear(self) -> None:
@@ -189,8 +195,18 @@ class WordEncoder:
         whole = words - split.keys()
         whole.update(p for pair in split.values() for p in pair if p not in self.index)
         new = [w for w in whole if w not in self.index]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        plain = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+            ends = np.flatnonzero(self._ends_word[ids])
+            if len(ends) == len(part):
+                self._add(part, ids, np.diff(ends, prepend=-1))
+            else:
+                others += part
+        for at in range(0, len(others), 1024):
+            part = others[at : at + 1024]
             self._add(part, *_joined([e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]))
         if split:
             codes = np.fromiter((self.index[p] for pair in split.values() for p in pair), np.int64, 2 * len(split))
@@ -211,10 +227,12 @@ class WordEncoder:
             ends.append(len(words))
         if len(self.index) > CACHED_WORDS:
             self._forget()
-        missing = {w for w in words if w not in self.index}
+        codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(codes < 0).tolist()
         if missing:
-            self._learn(missing)
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            new = [words[i] for i in missing]
+            self._learn(set(new))
+            codes[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         ids, length = self._gather(codes)
         after = np.cumsum(length)
         bounds = np.concatenate([[0], after[np.asarray(ends, dtype=np.int64) - 1]]) if ends else np.zeros(1, np.int64)
