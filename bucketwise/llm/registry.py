@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bucketwise.llm import mixing, token_files, url_filter
+from bucketwise.llm import mixing, simhash, token_files, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op5_simhash_near_duplicates": simhash.op5_simhash_near_duplicates,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_filter_urls": url_filter.op10_filter_urls,
 }
