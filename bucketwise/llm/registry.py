@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from bucketwise.llm import language_id, mixing, sentence_pieces, simhash, token_files, url_filter
+from bucketwise.llm import fingerprints, language_id, media, mixing, sentence_pieces, simhash, token_files, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op5_simhash_near_duplicates": simhash.op5_simhash_near_duplicates,
+    "op6_media_columns": media.op6_media_columns,
     "op7_language_id": language_id.op7_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_filter_urls": url_filter.op10_filter_urls,
 }
 
