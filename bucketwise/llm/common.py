@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +60,13 @@ def unit_hash(seed: str, *keys: Column) -> Column:
     parts = [F.lit(seed), *(F.coalesce(k.cast("string"), F.lit("null")) for k in keys)]
     digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def digest_key(digest: Column) -> Column:
+    """The first eight bytes of a binary digest as a signed big-endian long."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
+
+
+def digest_keys(digests: list[bytes]) -> np.ndarray:
+    """:func:`digest_key` of digests that Python holds."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), dtype=">i8").astype(np.int64)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import shared_dir
+from bucketwise.llm.common import digest_key, digest_keys, shared_dir
 from bucketwise.llm.url_filter import BlockedBloom
 
 UNIT, PAD = 576, 255
@@ -126,10 +126,6 @@ def _chunks(data: bytes, ends: list[int]) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _keys(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(d[:8] for d in digests), dtype="<i8")
-
-
 @dataclass
 class MediaStore:
     recipes: DataFrame
@@ -155,8 +151,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     shared = (
         docs.mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     )
-    little_endian = F.conv(F.hex(F.reverse(F.expr("substring(digest, 1, 8)"))), 16, -10).cast("long")
-    bloom = spark.sparkContext.broadcast(BlockedBloom.build(shared.select(little_endian.alias("h")).distinct()).words)
+    bloom = spark.sparkContext.broadcast(BlockedBloom.build(shared.select(digest_key(F.col("digest")).alias("h")).distinct()).words)
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, press = BlockedBloom(bloom.value), zstandard.ZstdCompressor(level=LEVEL)
@@ -166,7 +161,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             for p, ends in zip(data, cuts):
                 parts = _chunks(p, ends)
                 names = [digest(c) for c in parts]
-                elsewhere = known.may_contain(_keys(names)).tolist()
+                elsewhere = known.may_contain(digest_keys(names)).tolist()
                 joined = b"".join(names)
                 for column, value in zip(
                     rows,
@@ -193,7 +188,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             parts = [c for p, e in zip(data, cut(data)) for c in _chunks(p, e)]
             names = [digest(c) for c in parts]
             found: dict[bytes, bytes] = {}
-            for name, part, hit in zip(names, parts, known.may_contain(_keys(names)).tolist()):
+            for name, part, hit in zip(names, parts, known.may_contain(digest_keys(names)).tolist()):
                 if hit and name not in sent and name not in found:
                     found[name] = press.compress(part)
             if len(sent) > 200_000:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bucketwise.llm import fingerprints, language_id, media, mixing, pii, sentence_pieces, simhash, token_files, url_filter
+from bucketwise.llm import fingerprints, language_id, media, mixing, pii, sentence_pieces, simhash, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_token_files": token_files.op2_token_files,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op5_simhash_near_duplicates": simhash.op5_simhash_near_duplicates,
     "op6_media_columns": media.op6_media_columns,
