@@ -4,7 +4,7 @@
 Sharding.  A window of ``length`` bytes is filed under the least hash of its
 32-byte grams, so equal windows meet wherever they stand.  A maximal run of
 windows with one least hash is a *segment*; every window start is in exactly
-one.  Segments whose hash occurs once in the corpus cannot repeat and never
+one.  Segments whose hash stands at one place of the corpus cannot repeat and never
 move (a Bloom filter of bounded size passes the others).
 
 Shards.  Segments with equal contents are merged, with their number, before
@@ -51,6 +51,7 @@ SHARD_BYTES = 1 << 21
 #: Distinct segments of one hash beyond which its windows are dealt out singly.
 HOT = 512
 _SLICE_BYTES = 1 << 21
+_MOST_PLACES = 1 << 28
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEPARATOR = 255  # neither a UTF-8 byte plus one nor the end
 
@@ -79,25 +80,39 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, first window, number of windows) of all segments."""
+def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of all segments: hash, text number, first window, number of windows, and
+    at how many places the gram with the least hash stands.  A window can
+    repeat within a segment only if that is more than one."""
+    if sum(map(len, texts)) > _MOST_PLACES:  # piece by piece; a cut only ends a segment
+        found, number = [], 0
+        for text in texts:
+            for at in range(0, max(1, len(text) - length + 1), _MOST_PLACES // 2):
+                h, _, first, n, places = segments([text[at : at + _MOST_PLACES // 2 + length - 1]], length)
+                found.append((h, np.full(len(h), number), first + at, n, places))
+            number += 1
+        return tuple(np.concatenate(c) for c in zip(*found))
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.any():
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    least = _least(_gram_hashes(whole), length - GRAM + 1)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+    hashes = _gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
+    # the upper bits of a hash and its place: the least is the leftmost of equals
+    mask = np.uint64(_MOST_PLACES - 1)
+    least = _least((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1) & mask
     number = np.repeat(np.arange(len(texts)), windows)
     inside = np.arange(len(number)) - np.repeat(np.cumsum(windows) - windows, windows)
-    h = least[starts[number] + inside]
+    place = least[starts[number] + inside].astype(np.int64)
+    h = hashes[place]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (number[1:] != number[:-1])])
     first = np.flatnonzero(new)
+    places = np.add.reduceat(np.concatenate([[True], place[1:] != place[:-1]]).astype(np.int64), first)
     key = h[first]  # least values crowd near zero; spread them again
     key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     key ^= key >> np.uint64(31)
-    return key, number[first], inside[first], np.diff(np.concatenate([first, [len(h)]]))
+    return key, number[first], inside[first], np.diff(np.concatenate([first, [len(h)]])), places
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -143,7 +158,7 @@ def _runs(flags: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
-SEGMENT = "h long, s binary, t binary, first int, part binary"
+SEGMENT = "h long, s binary, t binary, first int, places int, part binary"
 
 
 def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
@@ -152,15 +167,17 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(segments(texts, length)[0].view(np.int64))], names=["h"])
+            h, _, _, _, places = segments(texts, length)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(places)], names=["h", "places"])
 
-    twice = docs.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    twice = docs.select("text").mapInArrow(hashes, "h long, places long").groupBy("h").agg(F.sum("places").alias("n"))
+    twice = twice.where("n > 1")
     bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(twice.select("h")).words)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sent = BlockedBloom(bloom.value), set()
         for _, texts in _slices(batches, 0):
-            h, number, first, n = segments(texts, length)
+            h, number, first, n, places = segments(texts, length)
             pick = np.flatnonzero(known.may_contain(np.ascontiguousarray(h))) if len(h) else np.zeros(0, np.int64)
             names: dict[int, bytes] = {}
             s, t, part = [], [], []
@@ -181,9 +198,10 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
                     pa.array(s, pa.binary()),
                     pa.array(t, pa.binary()),
                     pa.array(first[pick].astype(np.int32)),
+                    pa.array(places[pick].astype(np.int32)),
                     pa.array(part, pa.binary()),
                 ],
-                names=["h", "s", "t", "first", "part"],
+                names=["h", "s", "t", "first", "places", "part"],
             )
 
     return materialize(docs.select("text").mapInArrow(rows, SEGMENT), "segments")
@@ -261,9 +279,11 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     """(t, spans): for every distinct text with repeated strings, its name and
     the spans [first, end, ...) of bytes to remove, as runs of windows."""
     occurrences = _recurring_segments(docs.select(F.col(text).alias("text")), length)
-    distinct = occurrences.groupBy("h", "s").agg(F.count("*").alias("n"), F.max("part").alias("part"))
+    distinct = occurrences.groupBy("h", "s").agg(
+        F.count("*").alias("n"), F.sum("places").alias("places"), F.max("part").alias("part")
+    )
     distinct = materialize(distinct, "distinct-segments")
-    groups = distinct.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    groups = distinct.groupBy("h").agg(F.sum("places").alias("all"), F.count("*").alias("kinds")).where("all > 1")
     met = distinct.join(groups, "h")
     marks = _shard_marks(met.where(F.col("kinds") <= HOT), length).unionByName(
         _single_marks(met.where(F.col("kinds") > HOT), length)
