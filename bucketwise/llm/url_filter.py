@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bucketwise.llm.common import discard, materialize
+
 #: (verdict, host, path prefix); of those that fit, the longest wins.
 RULES = (
     ("allow", "org", "/"),
@@ -121,7 +123,7 @@ class BlockedBloom:
     def build(cls, hashes: DataFrame) -> "BlockedBloom":
         """From a one-column DataFrame of distinct longs.  At most MAX_BLOCKS
         blocks (32 MB) reach the driver, whatever the number of keys."""
-        column = hashes.columns[0]
+        column, hashes = hashes.columns[0], materialize(hashes, "bloom-keys")  # counted first, then used
         blocks = cls.blocks_for(hashes.count())
         span = blocks // SEGMENTS
         segment = (
@@ -142,6 +144,7 @@ class BlockedBloom:
         for row in parts:
             at = row.segment * span * WORDS_PER_BLOCK
             words[at : at + span * WORDS_PER_BLOCK] = np.frombuffer(row.words, dtype=np.uint64)
+        discard(hashes)
         return cls(words)
 
 
