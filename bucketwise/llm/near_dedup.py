@@ -42,6 +42,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits that the fingerprints of proposed pairs differ in, at most.
 RADIUS = 7
+#: Disjoint forests of proposed links, so that texts stay joined where some
+#: links fail verification.
+FORESTS = 8
 #: Words of fewer bytes are left out of a fingerprint, if there are others.
 LEAST_WORD = 4
 
@@ -58,7 +61,9 @@ def text_node(text: Column) -> Column:
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text, SHINGLE_WORDS))
+    """The shingles as sorted 32-bit hashes: of two texts of a thousand words,
+    one in ten thousand pairs shares a hash by chance."""
+    return np.unique((shingle_hashes(text, SHINGLE_WORDS) >> np.uint64(32)).astype(np.uint32))
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -81,30 +86,21 @@ def _filter(keys: DataFrame) -> "pd.Series":
     return possible
 
 
-def verified_links(texts: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified_links(texts: DataFrame, named: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) of ``proposed`` whose texts are similar enough.
 
-    ``texts``: near_node, text; a task makes the set of a text once, as far as
-    it remembers."""
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    possible = _filter(ends.select("node"))
+    ``texts``: near_key, near_node, text; ``named``: near_node and the near_key
+    of the row that speaks for it."""
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("near_node")).distinct()
+    possible = _filter(ends.join(named, "near_node").select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         for batch in batches:
-            nodes, found = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if node not in sent:
-                    sent.add(node)
-                    nodes.append(node)
-                    found.append(shingle_set(text.as_py()).tobytes())
-            if len(sent) > 500_000:
-                sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "words"])
-
-    shingles = materialize(
-        texts.where(possible("near_node")).mapInArrow(sets, "node long, words binary").dropDuplicates(["node"]), "shingles"
-    )
+            found = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "words"])
+
+    speaking = texts.where(possible(F.xxhash64("near_key", "near_node"))).select("near_node", "text")
+    shingles = materialize(speaking.mapInArrow(sets, "node long, words binary").dropDuplicates(["node"]), "shingles")
     pairs = proposed.join(shingles.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(
         shingles.select(F.col("node").alias("b"), F.col("words").alias("y")), "b"
     )
@@ -112,7 +108,7 @@ def verified_links(texts: DataFrame, proposed: DataFrame, similarity: float = SI
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [
-                similarity_of(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity
+                similarity_of(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity
                 for x, y in zip(batch.column(2), batch.column(3))
             ]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -132,9 +128,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["near_key", "near_node", "fp"])
 
     marked = materialize(rows.mapInArrow(prints, "near_key long, near_node long, fp long"), "marked")
-    nodes = marked.groupBy("near_node").agg(F.min("fp").alias("fp"))
-    proposed = materialize(near_links(nodes.select(F.col("near_node").alias("node"), "fp"), radius), "proposed")
-    roots = components(verified_links(rows.select("near_node", "text"), proposed))
+    nodes = marked.groupBy("near_node").agg(F.min("fp").alias("fp"), F.min("near_key").alias("near_key"))
+    proposed = near_links(nodes.select(F.col("near_node").alias("node"), "fp"), radius, FORESTS)
+    proposed = materialize(proposed, "proposed")
+    roots = components(verified_links(rows, nodes.select("near_node", "near_key"), proposed))
     classes = nodes.join(roots, F.col("near_node") == F.col("node"), "left").select(
         "near_node", F.coalesce("root", "near_node").alias("near_class")
     )
@@ -155,10 +152,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     classes = materialize(near_classes(docs, key, text, radius), "near-classes")
     concerned = classes.where(~F.col("near_kept") | (F.col("near_rows") > 1))
     possible = _filter(concerned.select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
+    # kept rows that the filter cannot tell from removed ones, and rows that repeat
+    kept = classes.where("near_kept").select("near_key", "near_node")
+    unsure = materialize(kept.where(possible(F.xxhash64("near_key", "near_node"))), "unsure")
+    doubtful = _filter(unsure.select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
     named = docs.withColumn("near_key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
     named = named.withColumn("near_node", text_node(F.col(text)))
-    named = named.withColumn("near_hit", possible(F.xxhash64("near_key", "near_node")))
-    others = named.where(~F.col("near_hit")).select(*docs.columns)
-    kept = classes.where("near_kept").select("near_key", "near_node")
-    checked = named.where("near_hit").join(kept, ["near_key", "near_node"]).dropDuplicates(["near_key", "near_node"])
-    return others.unionByName(checked.select(*docs.columns))
+    named = named.withColumn("near_hash", F.xxhash64("near_key", "near_node"))
+    others = named.where(~possible("near_hash"))
+    checked = named.where(possible("near_hash") & doubtful("near_hash"))
+    checked = checked.join(unsure, ["near_key", "near_node"]).dropDuplicates(["near_key", "near_node"])
+    return others.select(*docs.columns).unionByName(checked.select(*docs.columns))

@@ -279,9 +279,24 @@ def verified_pairs(
                 yield left[i], right[j], d[i, j].astype(np.int64)
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def spanning_forests(a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: int) -> np.ndarray:
+    """Row numbers of ``forests`` minimum spanning forests, each of the links
+    that those before left; of a sparse graph, all its links."""
+    kept, left = [np.zeros(0, dtype=np.int64)], np.arange(len(a))
+    for _ in range(forests):
+        if not len(left):
+            break
+        got = spanning_forest(a[left], b[left], distance[left])
+        kept.append(left[got])
+        left = np.delete(left, got)
+    return np.concatenate(kept)
+
+
+def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> DataFrame:
     """Links (a, b, distance) that connect all ``nodes`` (node long, fp long)
-    within ``radius`` bits as the whole set of such pairs does."""
+    within ``radius`` bits as the whole set of such pairs does.  Every task
+    hands on ``forests`` forests that share no link: one keeps components; more
+    keep them even if some links turn out not to hold."""
     nodes = nodes.select("node", "fp")
     drawn = nodes.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
     partitions = plan(np.ascontiguousarray(drawn).view(np.uint64), nodes.count(), radius)
@@ -308,7 +323,10 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             key, look, fp, node = rows
             got = [(node[i], node[j], d) for i, j, d in verified_pairs(key, look, fp.view(np.uint64), radius)]
             a, b, d = (np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64) for c in range(3))
-            keep = spanning_forest(a, b, d)
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            _, once = np.unique(np.stack([low, high]), axis=1, return_index=True)
+            a, b, d = low[once], high[once], d[once]
+            keep = spanning_forests(a, b, d, forests)
             return pa.RecordBatch.from_arrays(
                 [pa.array(a[keep]), pa.array(b[keep]), pa.array(d[keep])], names=["a", "b", "distance"]
             )
