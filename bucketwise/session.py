@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+def _setting(name: str) -> str:
+    """``spark_sql_shuffle_partitions`` as Spark spells it."""
+    return name.replace("_", ".")
+
+
 def session(master: str | None = None, app: str = "bucketwise", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` keys use ``_`` for ``.``."""
     builder = SparkSession.builder.appName(app)
@@ -18,5 +23,5 @@ def session(master: str | None = None, app: str = "bucketwise", **conf: str) ->
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
-    settings |= {k.replace("_", "."): v for k, v in conf.items()}
+    settings |= {_setting(k): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
