@@ -77,7 +77,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         mine = _bin(s["h"])
         # structs order by their first field; the bin breaks ties
         ranked = F.transform(s["u"], lambda v: F.struct(F.xxhash64(mine, _bin(v)).alias("o"), v.alias("v")))
-        return F.when(s["h"].bitwiseAND(_REST) != _REST, s["h"]).otherwise(F.array_min(ranked)["v"])
+        # hashed with its new bin, so that one borrowed hash is not the same bits in every bin
+        borrowed = F.xxhash64(F.array_min(ranked)["v"], mine)
+        return F.when(s["h"].bitwiseAND(_REST) != _REST, s["h"]).otherwise(borrowed)
 
     filled = F.transform(
         F.arrays_zip(F.col(heads).alias("h"), F.array_repeat(F.col(used), BINS).alias("u")), dense
@@ -139,17 +141,17 @@ def with_next(df: DataFrame, key: str, values: dict[str, str], tie: str) -> Data
     places = F.when(
         wanted.isNotNull(),
         F.array(
-            F.struct(F.col("next_range").alias("at"), F.lit(0).alias("copy")),
-            F.struct(wanted.alias("at"), F.lit(1).alias("copy")),
+            F.struct(F.col("next_range").alias("next_at"), F.lit(0).alias("next_copy")),
+            F.struct(wanted.alias("next_at"), F.lit(1).alias("next_copy")),
         ),
-    ).otherwise(F.array(F.struct(F.col("next_range").alias("at"), F.lit(0).alias("copy"))))
+    ).otherwise(F.array(F.struct(F.col("next_range").alias("next_at"), F.lit(0).alias("next_copy"))))
     df = df.withColumn("next_place", F.explode(places)).select(
-        *[c for c in df.columns if c != "next_range"], "next_place.at", "next_place.copy"
+        *[c for c in df.columns if c != "next_range"], "next_place.next_at", "next_place.next_copy"
     )
-    w = Window.partitionBy("at").orderBy("copy", F.col(key).desc_nulls_last(), F.xxhash64(tie), F.col(tie))
+    w = Window.partitionBy("next_at").orderBy("next_copy", F.col(key).desc_nulls_last(), F.xxhash64(tie), F.col(tie))
     for name, column in values.items():
         df = df.withColumn(name, F.lead(column).over(w))
-    return df.where("copy = 0").drop("at", "copy")
+    return df.where("next_copy = 0").drop("next_at", "next_copy")
 
 
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:

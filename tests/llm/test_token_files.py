@@ -1,0 +1,60 @@
+import random
+import zlib
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from bucketwise.llm import token_files as tf
+from bucketwise.llm.common import materialize
+
+ODD = [
+    "", None, "it's we'll don't, x's.", "a\x1cb c", "ΑΣ ΣΑΣ.", "İstanbul ISTANBUL.", "<|endoftext|> a<|startoftext|>b. c", "á. é! ́x",
+    "x y z 12.5 3rd. ²x ½.", "日本語 テキスト。 한국어.", "K Å Ω.", "a_b __ c'd. 's. 'S", " \n\t ", "ǅ ß. ẞ ﬁ.", "word " * 3000,
+]
+
+
+def library(texts):
+    t = Tokenizer.from_file(tf.default_tokenizer())
+    return [t.encode(x or "", add_special_tokens=False).ids + [tf.END_ID] for x in texts]
+
+
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(tf, "CACHED_WORDS", 60)  # forget often
+    rng = random.Random(1)
+    texts = ODD + ["".join(rng.choice("aAbé.,!' \n\x1c%Σß1²_́日#") for _ in range(60)) for _ in range(300)]
+    coder, got = tf.WordEncoder(tf.default_tokenizer()), []
+    for at in range(0, len(texts), 20):
+        ids, n = coder.encode(texts[at : at + 20])
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == library(texts)
+
+
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500))
+@settings(deadline=None, max_examples=60)
+def test_codes(ids):
+    ids = np.array(ids, dtype=np.uint32)
+    reader = tf.DacReader(tf.dac_encode(ids))
+    assert len(reader) == len(ids) and reader.all().tolist() == ids.tolist()
+    assert [reader.token(i) for i in range(len(ids))] == ids.tolist()
+
+
+def test_query(spark, tables):
+    rows = spark.read.parquet(f"{tables}/odd/documents.parquet").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    want, start = [], 0
+    for r, ids in zip(rows, library([r.text for r in rows])):
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tf.op2_token_files(spark, f"{tables}/odd").collect())) == sorted(want)
+
+
+def test_random_access(spark, odd):
+    blocks = materialize(tf.encode_documents(odd, block_ids=500), "blocks")
+    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or ""))
+    everything = sum(library([r.text for r in rows]), [])
+    assert blocks.count() > 3
+    starts = tf.part_starts(blocks)
+    for at in random.Random(2).sample(range(len(everything)), 12) + [0, len(everything) - 1]:
+        assert tf.token_at(blocks, at, starts) == everything[at]
