@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +75,23 @@ def digest_key(digest: Column) -> Column:
 def digest_keys(digests: list[bytes]) -> np.ndarray:
     """:func:`digest_key` of digests that Python holds."""
     return np.frombuffer(b"".join(d[:8] for d in digests), dtype=">i8").astype(np.int64)
+
+
+def returns_memory(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For functions of ``mapInArrow``: workers outlive tasks, so what a task
+    has freed goes back to the system at its end instead of staying with the
+    allocators."""
+
+    @wraps(rows)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from rows(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return run

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import digest_key, digest_keys, shared_dir
+from bucketwise.llm.common import digest_key, digest_keys, returns_memory, shared_dir
 from bucketwise.llm.url_filter import BlockedBloom
 
 UNIT, PAD = 576, 255
@@ -143,6 +143,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     path = path or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
+    @returns_memory
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data in _batches(batches):
             found = [digest(c) for p, e in zip(data, cut(data)) for c in _chunks(p, e)]
@@ -153,6 +154,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     )
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(shared.select(digest_key(F.col("digest")).alias("h")).distinct()).words)
 
+    @returns_memory
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, press = BlockedBloom(bloom.value), zstandard.ZstdCompressor(level=LEVEL)
         for keys, data in _batches(batches):
@@ -181,6 +183,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
                 names=["media_key", "n_bytes", "recipe_id", "digests", "lengths", "frames", "n_missing"],
             )
 
+    @returns_memory
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, press = BlockedBloom(bloom.value), zstandard.ZstdCompressor(level=LEVEL)
         sent: set[bytes] = set()  # a task sends a chunk once, as far as it remembers
@@ -242,6 +245,7 @@ _FACT_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.
 def media_facts(store: MediaStore) -> DataFrame:
     """Per stored row: its key, n_bytes and FACTS, from the stored bytes."""
 
+    @returns_memory
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fixed = batch.num_columns - 3

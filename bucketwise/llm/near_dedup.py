@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bucketwise.llm.common import materialize
+from bucketwise.llm.common import materialize, returns_memory
 from bucketwise.llm.components import components
 from bucketwise.llm.simhash import SEED, fingerprint, near_links, shingle_hashes
 from bucketwise.llm.url_filter import BlockedBloom
@@ -45,6 +45,8 @@ RADIUS = 7
 #: Disjoint forests of proposed links, so that texts stay joined where some
 #: links fail verification.
 FORESTS = 8
+#: Texts of one component that a task compares with one another, about.
+BLOCK = 2000
 #: Words of fewer bytes are left out of a fingerprint, if there are others.
 LEAST_WORD = 4
 
@@ -86,34 +88,71 @@ def _filter(keys: DataFrame) -> "pd.Series":
     return possible
 
 
-def verified_links(texts: DataFrame, named: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of ``proposed`` whose texts are similar enough.
+def shingle_sets(texts: DataFrame, named: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(node, words): the shingle sets of all texts in ``proposed`` links.
 
     ``texts``: near_key, near_node, text; ``named``: near_node and the near_key
     of the row that speaks for it."""
     ends = proposed.select(F.explode(F.array("a", "b")).alias("near_node")).distinct()
     possible = _filter(ends.join(named, "near_node").select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
 
+    @returns_memory
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "words"])
 
     speaking = texts.where(possible(F.xxhash64("near_key", "near_node"))).select("near_node", "text")
-    shingles = materialize(speaking.mapInArrow(sets, "node long, words binary").dropDuplicates(["node"]), "shingles")
-    pairs = proposed.join(shingles.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(
-        shingles.select(F.col("node").alias("b"), F.col("words").alias("y")), "b"
+    return materialize(speaking.mapInArrow(sets, "node long, words binary").dropDuplicates(["node"]), "shingles")
+
+
+def _dealt(proposed: DataFrame) -> DataFrame:
+    """(root, i, j, a, b): proposed links by the task that compares them.
+
+    A component of proposed links is one task, or, beyond BLOCK texts, its
+    texts are split into blocks by hash and every pair of blocks is a task; so
+    a task holds at most about two blocks, however large a component is."""
+    roots = materialize(components(proposed.select("a", "b")), "proposed-roots")
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = materialize(named.join(sizes, "root").select("node", "root", block.alias("block")), "placed")
+    at_a = placed.select(F.col("node").alias("a"), "root", F.col("block").alias("block_a"))
+    at_b = placed.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
+    links = proposed.select("a", "b").join(at_a, "a").join(at_b, "b")
+    i, j = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
+    return materialize(links.select("root", i.alias("i"), j.alias("j"), "a", "b"), "dealt")
+
+
+def verified_links(proposed: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of ``proposed`` whose texts are similar enough.  A set
+    moves once to each task that needs it, not once for each of its links."""
+    links = _dealt(proposed)
+    task = ["root", "i", "j"]
+    members = links.select(*task, F.explode(F.array("a", "b")).alias("node")).distinct().join(shingles, "node")
+    rows = members.select(*task, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "words").unionByName(
+        links.select(*task, "a", "b", F.lit(None).cast("binary").alias("words"))
     )
 
+    @returns_memory
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, {}
         for batch in batches:
-            ok = [
-                similarity_of(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity
-                for x, y in zip(batch.column(2), batch.column(3))
-            ]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+            found = []
+            for root, i, j, a, b, words in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5)):
+                if (root, i, j) != at:
+                    at, sets = (root, i, j), {}
+                if b is None:
+                    sets[a] = np.frombuffer(words.as_py(), np.uint32)
+                elif similarity_of(sets[a], sets[b]) >= similarity:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
+            )
+
+    dealt = rows.repartition(*task).sortWithinPartitions(*task, F.col("b").asc_nulls_first())
+    return dealt.select(*task, "a", "b", "words").mapInArrow(judge, "a long, b long")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -122,6 +161,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
     first = F.lit(-(2**63)).cast("long")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), first).alias("near_key"), text_node(F.col(text)).alias("near_node"), F.col(text).alias("text"))
 
+    @returns_memory
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((word_fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
@@ -131,7 +171,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
     nodes = marked.groupBy("near_node").agg(F.min("fp").alias("fp"), F.min("near_key").alias("near_key"))
     proposed = near_links(nodes.select(F.col("near_node").alias("node"), "fp"), radius, FORESTS)
     proposed = materialize(proposed, "proposed")
-    roots = components(verified_links(rows, nodes.select("near_node", "near_key"), proposed))
+    roots = components(verified_links(proposed, shingle_sets(rows, nodes.select("near_node", "near_key"), proposed)))
     classes = nodes.join(roots, F.col("near_node") == F.col("node"), "left").select(
         "near_node", F.coalesce("root", "near_node").alias("near_class")
     )

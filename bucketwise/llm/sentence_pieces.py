@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from bucketwise.llm.common import returns_memory
 from bucketwise.llm.id_cache import IdCache, joined
 
 MODEL = "piece_bpe_32k.model"
@@ -205,6 +206,7 @@ def with_pieces(docs: DataFrame, model: bytes | None = None, text: str = "text")
         [*docs.schema.fields, T.StructField("sp_ids", T.ArrayType(T.IntegerType())), T.StructField("sp_decoded", T.StringType())]
     )
 
+    @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _model(shared.value)
         for batch in batches:
@@ -229,6 +231,7 @@ def op4_sentence_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "exact"]
 
+    @returns_memory
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lists, decoded = batch.column(1), batch.column(2), batch.column(3)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import materialize
+from bucketwise.llm.common import materialize, returns_memory
 from bucketwise.llm.components import components
 
 BITS = 64
@@ -92,6 +92,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, fp): the fingerprint as a long."""
 
+    @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -269,10 +270,10 @@ def verified_pairs(
     for f, size in zip(first[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist()):
         rows = np.arange(f, f + size)
         filed = rows[~looks_up[rows]]
-        for x in range(0, size, 2048):
-            left = rows[x : x + 2048]
-            for y in range(0, len(filed), 2048):
-                right = filed[y : y + 2048]
+        for x in range(0, size, 1024):
+            left = rows[x : x + 1024]
+            for y in range(0, len(filed), 1024):
+                right = filed[y : y + 1024]
                 d = np.bitwise_count(fps[left][:, None] ^ fps[right][None, :])
                 # a pair of filed rows is met twice; the lower row speaks for it
                 i, j = np.nonzero((d <= radius) & ((left[:, None] < right[None, :]) | looks_up[left][:, None]))
@@ -301,6 +302,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> Data
     drawn = nodes.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
     partitions = plan(np.ascontiguousarray(drawn).view(np.uint64), nodes.count(), radius)
 
+    @returns_memory
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
@@ -316,6 +318,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> Data
                     names=["bucket", "looks_up", "fp", "node"],
                 )
 
+    @returns_memory
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 

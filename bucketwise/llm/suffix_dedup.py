@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import digest_key, digest_keys, materialize
+from bucketwise.llm.common import digest_key, digest_keys, materialize, returns_memory
 from bucketwise.llm.suffix_array import plcp, suffix_array
 from bucketwise.llm.url_filter import BlockedBloom
 
@@ -165,6 +165,7 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
     """One row per occurrence of a segment whose hash may recur (SEGMENT); a
     task sends the bytes of equal segments once, as far as it remembers."""
 
+    @returns_memory
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batches, 0):
             h, _, _, _, places = segments(texts, length)
@@ -174,6 +175,7 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
     twice = twice.where("n > 1")
     bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(twice.select("h")).words)
 
+    @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sent = BlockedBloom(bloom.value), set()
         for _, texts in _slices(batches, 0):
@@ -210,6 +212,7 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
 def _shard_marks(distinct: DataFrame, length: int) -> DataFrame:
     """(h, s, runs) of distinct segments by suffix arrays of whole hash groups."""
 
+    @returns_memory
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -247,6 +250,7 @@ def _shard_marks(distinct: DataFrame, length: int) -> DataFrame:
 def _single_marks(distinct: DataFrame, length: int) -> DataFrame:
     """(h, s, runs) of distinct segments of hot hashes, window by window."""
 
+    @returns_memory
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, s, n, part in zip(*(c.to_pylist() for c in batch.columns)):
@@ -319,6 +323,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     found = materialize(repeats(docs, "text", length), "repeats")
     bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(found.select(digest_key(F.col("t")).alias("h")).distinct()).words)
 
+    @returns_memory
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in _slices(batches, 1):
             yield pa.RecordBatch.from_arrays(
@@ -331,6 +336,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 names=["key", "t", "n_bytes", "whole_sha256"],
             )
 
+    @returns_memory
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sent = BlockedBloom(bloom.value), set()
         for _, texts in _slices(batches, 0):
@@ -344,6 +350,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 [pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["t", "data"]
             )
 
+    @returns_memory
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

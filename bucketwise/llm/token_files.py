@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import materialize
+from bucketwise.llm.common import materialize, returns_memory
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -275,6 +275,7 @@ def encode_documents(
     by ``part``, then ``seq``.  Write it with Spark to get the files."""
     path = tokenizer or default_tokenizer()
 
+    @returns_memory
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -333,6 +334,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     starts = part_starts(blocks)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
+    @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

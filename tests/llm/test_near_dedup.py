@@ -58,3 +58,20 @@ def test_repeated_rows(spark):
     rows = [(5, "again and again and again and again", "en", "a", 1)] * 3 + [(None, "t", None, None, None)] * 2
     out = deduplicate(spark.createDataFrame(rows, SCHEMA))
     assert sorted(out.select(F.coalesce("doc_id", F.lit(-1)).alias("d")).collect()) == [(-1,), (5,)]
+
+
+def test_components_in_blocks(spark, monkeypatch):
+    import random
+
+    from bucketwise.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(9)
+    base = words(rng, 300).split()
+    rows = []
+    for i in range(40):
+        other = list(base)
+        for at in rng.sample(range(300), 2):
+            other[at] = f"edit{i}"
+        rows.append((i, " ".join(other), "en", "a", 1))
+    assert [r.doc_id for r in deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
