@@ -97,7 +97,7 @@ def _doubling(s: np.ndarray) -> np.ndarray:
     """Suffix order by ranks of prefixes of 1, 2, 4, ... symbols; only suffixes
     whose rank is still shared are sorted again."""
     n = len(s)
-    order = np.argsort(s, kind="stable")
+    order = np.argsort(s)  # among equals any order will do; they are sorted again
     head = np.concatenate([[True], s[order][1:] != s[order][:-1]])
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -111,10 +111,11 @@ def _doubling(s: np.ndarray) -> np.ndarray:
         at = order[open_]
         nxt = at + width
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        by = np.lexsort((second, rank[at]))
-        at, second, first = at[by], second[by], rank[at][by]
+        key = (rank[at] << 32) | second
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[open_] = at
-        fresh = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
         head[open_] = fresh
         rank[at] = np.maximum.accumulate(np.where(fresh, open_, 0))
         width *= 2
@@ -150,6 +151,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if size > BUCKETS:
         return _doubling(s)
     is_s = _types(s)
+    s = s.astype(np.uint8 if size <= 256 else np.uint16, copy=False)  # narrow symbols are dealt by radix
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(lms) > 1:
         # an LMS substring reaches to the next LMS position, that one included
@@ -175,9 +177,8 @@ def plcp(s: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
 
     ``s`` holds numbers below 256; eight of them are compared at a time."""
     n = len(s)
-    word = np.zeros(n, dtype=np.uint64)  # the eight symbols from each position
-    for k in range(min(8, n)):
-        word[: n - k] |= s[k:].astype(np.uint64) << np.uint64(8 * k)
+    # the eight symbols from each position, zeros beyond the end
+    word = np.ndarray(n, dtype="<u8", buffer=s.astype(np.uint8).tobytes() + bytes(8), strides=(1,)).copy()
     phi = np.full(n, -1, dtype=np.int64)
     phi[sa[1:]] = sa[:-1]
     at = np.arange(n)

@@ -141,7 +141,7 @@ def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int = LENGT
         s[at : at + size] = np.frombuffer(part, dtype=np.uint8) + 1
         s[at + size] = _SEPARATOR
     s[-1] = 0
-    sa = suffix_array(s.astype(np.int64))
+    sa = suffix_array(s)
     phi, common = plcp(s, sa, length)
     again = common >= length
     hits = np.flatnonzero(again)
