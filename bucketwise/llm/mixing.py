@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import unit_hash, word_count
+from bucketwise.llm.common import materialize, unit_hash, word_count
 
 #: No source is repeated more often than this.
 MAX_RATE = 3
@@ -80,8 +80,9 @@ def mix_sources(
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``,
     ``mix_rate`` and ``mix_copies`` (how often the mix takes the document)."""
     sized = docs.withColumn("mix_size", word_count(F.col(text)))
-    targets = source_targets(
-        sized.select(F.col(source).alias("mix_source"), "mix_size"), max_rate, weights
+    # written first, so that its size is known when the join is planned
+    targets = materialize(
+        source_targets(sized.select(F.col(source).alias("mix_source"), "mix_size"), max_rate, weights), "targets"
     )
     rate = F.when(
         F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size").cast("double")

@@ -43,7 +43,7 @@ MARK = "▁"
 #: Subtracted from the least ordinary score for an unknown character.
 UNKNOWN_PENALTY = 10.0
 #: Parts of texts that a worker keeps; they take twice the memory of ASCII words.
-CACHED_PARTS = 250_000
+CACHED_PARTS = 150_000
 #: Kinds of pieces in the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PARTS = re.compile("▁+[^▁\t\n]*|[^▁\t\n]+|[\t\n]")

@@ -53,6 +53,8 @@ ROW_COST = 200.0
 #: Runs up to this length are compared by shifting, longer ones in blocks.
 SHORT_RUN = 48
 CHUNK_ROWS = 250_000
+#: Verified pairs that a task holds before it keeps their forests alone.
+CHUNK_PAIRS = 1_000_000
 
 
 # -- fingerprints ----------------------------------------------------------------
@@ -214,16 +216,10 @@ def _filed(fps: np.ndarray, partitions: list[Partition]) -> Iterator[tuple[np.nd
                 yield other[up] | prefix, rows[up], True
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Row numbers of a minimum spanning forest of the links a - b."""
-    if not len(a):
-        return np.zeros(0, dtype=np.int64)
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ends = ends.reshape(2, -1)
-    order = np.lexsort((b, a, distance))
-    rank = np.empty(len(a), dtype=np.int64)
-    rank[order] = np.arange(len(a))
-    parent, label = list(range(len(names))), np.arange(len(names))
+def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """Of links between numbers below ``nodes``, in ascending order of length:
+    whether each is in the minimum spanning forest."""
+    parent, label = list(range(nodes)), np.arange(nodes)
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -231,22 +227,46 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.nd
             x = parent[x]
         return x
 
-    open_, kept = np.arange(len(a)), []
+    open_, kept = np.arange(len(a)), np.zeros(len(a), dtype=bool)
     while True:
-        la, lb = label[ends[0][open_]], label[ends[1][open_]]
+        la, lb = label[a[open_]], label[b[open_]]
         apart = la != lb
         open_, la, lb = open_[apart], la[apart], lb[apart]
         if not len(open_):
-            return np.array(kept, dtype=np.int64)
-        least = np.full(len(names), len(a), dtype=np.int64)
-        np.minimum.at(least, la, rank[open_])
-        np.minimum.at(least, lb, rank[open_])
-        for row in order[np.unique(least[least < len(a)])].tolist():
-            x, y = top(int(ends[0][row])), top(int(ends[1][row]))
+            return kept
+        # every tree takes its shortest link to another
+        least = np.full(nodes, len(a), dtype=np.int64)
+        np.minimum.at(least, la, open_)
+        np.minimum.at(least, lb, open_)
+        for row in np.unique(least[least < len(a)]).tolist():
+            x, y = top(int(a[row])), top(int(b[row]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                kept.append(row)
-        label = np.fromiter((top(x) for x in range(len(names))), np.int64, len(names))
+                kept[row] = True
+        label = np.fromiter(map(top, range(nodes)), np.int64, nodes)
+
+
+def spanning_forests(
+    a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links a - b of ``forests`` minimum spanning forests, each of those
+    that the ones before left; of a sparse graph, all its links, once each."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    low, high = ends.min(axis=0), ends.max(axis=0)
+    order = np.argsort(distance * len(names) ** 2 + low * len(names) + high)
+    low, high, distance = low[order], high[order], distance[order]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    low, high, distance = low[new], high[new], distance[new]
+    left, kept = np.arange(len(low)), np.zeros(len(low), dtype=bool)
+    for _ in range(forests):
+        taken = _forest(low[left], high[left], len(names))
+        kept[left[taken]] = True
+        left = left[~taken]
+        if not len(left):
+            break
+    return names[low[kept]], names[high[kept]], distance[kept]
 
 
 def verified_pairs(
@@ -280,19 +300,6 @@ def verified_pairs(
                 yield left[i], right[j], d[i, j].astype(np.int64)
 
 
-def spanning_forests(a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: int) -> np.ndarray:
-    """Row numbers of ``forests`` minimum spanning forests, each of the links
-    that those before left; of a sparse graph, all its links."""
-    kept, left = [np.zeros(0, dtype=np.int64)], np.arange(len(a))
-    for _ in range(forests):
-        if not len(left):
-            break
-        got = spanning_forest(a[left], b[left], distance[left])
-        kept.append(left[got])
-        left = np.delete(left, got)
-    return np.concatenate(kept)
-
-
 def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> DataFrame:
     """Links (a, b, distance) that connect all ``nodes`` (node long, fp long)
     within ``radius`` bits as the whole set of such pairs does.  Every task
@@ -324,15 +331,16 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> Data
 
         def links(rows: tuple) -> pa.RecordBatch:
             key, look, fp, node = rows
-            got = [(node[i], node[j], d) for i, j, d in verified_pairs(key, look, fp.view(np.uint64), radius)]
-            a, b, d = (np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64) for c in range(3))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            _, once = np.unique(np.stack([low, high]), axis=1, return_index=True)
-            a, b, d = low[once], high[once], d[once]
-            keep = spanning_forests(a, b, d, forests)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a[keep]), pa.array(b[keep]), pa.array(d[keep])], names=["a", "b", "distance"]
-            )
+            got, size = [tuple(np.zeros(0, dtype=np.int64) for _ in range(3))], 0
+            for i, j, d in verified_pairs(key, look, fp.view(np.uint64), radius):
+                got.append((node[i], node[j], d))
+                size += len(d)
+                if size > CHUNK_PAIRS:  # the forests of what is held so far, and of more, are enough
+                    got = [spanning_forests(*(np.concatenate(c) for c in zip(*got)), forests)]
+                    size = len(got[0][0])
+                    size = 0 if size > CHUNK_PAIRS // 2 else size
+            found = spanning_forests(*(np.concatenate(c) for c in zip(*got)), forests)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "distance"])
 
         def columns() -> tuple:
             return tuple(np.concatenate(c) for c in zip(*held))
