@@ -29,6 +29,9 @@ from bucketwise.sources.files import Files
 
 _DAY = T.StructField("day", T.DateType())
 _NAME = re.compile(r"[A-Za-z0-9_.-]+")
+TABLES = ("logs", "rollups")
+#: Rows of a file that compaction writes, about.
+FILE_ROWS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -40,11 +43,12 @@ class Manifest:
     days: list[str] = field(default_factory=list)
     replaces: dict[str, list[str]] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=lambda: list(TABLES))
     order: int = 0
 
 
 class LogStore:
-    """Batches of validated rows and their rollups under ``base``."""
+    """Batches of validated rows and their rollups under ``base``; one writer at a time."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -94,10 +98,12 @@ class LogStore:
         names = [n for n in self.files.list(folder) if n.endswith(".json")]
         return [Manifest(**json.loads(self.files.read(f"{folder}/{n}"))) for n in names]
 
-    def visible(self) -> dict[str, set[str]]:
-        """Days of each batch that readers see."""
+    def visible(self, table: str = "logs") -> dict[str, set[str]]:
+        """Days of each batch that readers of a table see."""
         live: dict[str, set[str]] = {}
         for m in self.manifests():
+            if table not in m.tables:
+                continue
             for day in m.dropped:
                 for days in live.values():
                     days.discard(day)
@@ -116,7 +122,7 @@ class LogStore:
 
     def _table(self, table: str, schema: T.StructType) -> DataFrame:
         full = T.StructType([*schema.fields, _DAY])
-        paths = [f"{self.base}/{table}/batch={b}/day={d}" for b, days in sorted(self.visible().items()) for d in sorted(days)]
+        paths = [f"{self.base}/{table}/batch={b}/day={d}" for b, days in sorted(self.visible(table).items()) for d in sorted(days)]
         if not paths:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).option("basePath", f"{self.base}/{table}").parquet(*paths).select(*full.fieldNames())
@@ -133,29 +139,39 @@ class LogStore:
 
     # -- lifecycle ---------------------------------------------------------------
 
-    def compact(self, day: str) -> Manifest:
-        """Rewrite one day's batches as one, in one file each, and swap it in."""
-        old = [b for b, days in self.visible().items() if day in days]
-        batch = f"compact-{day}-{uuid.uuid4().hex[:8]}"
-        at = F.lit(day).cast("date")
-        logs, rollups = self.logs().where(F.col("day") == at), self.rollups().where(F.col("day") == at)
-        self._write(logs.coalesce(1), "logs", batch)
-        self._write(merge_rollups(rollups).select(*ROLLUP.fieldNames(), "day").coalesce(1), "rollups", batch)
+    def _replace(self, kind: str, day: str, tables: list[str], frames: dict[str, DataFrame]) -> Manifest:
+        """Write a day's tables anew and swap them in by one manifest."""
+        batch = f"{kind}-{day}-{uuid.uuid4().hex[:8]}"
+        old = {b for t in tables for b, days in self.visible(t).items() if day in days}
+        for table, frame in frames.items():
+            self._write(frame, table, batch)
         known = self.manifests()
         top = max((m.next_id for m in known), default=1)
-        rows = self._read("logs", LOG, [batch]).count()
-        return self._commit(Manifest(batch, rows, 0, top, [day], {b: [day] for b in old}, order=len(known)))
+        return self._commit(
+            Manifest(batch, 0, 0, top, [day], {b: [day] for b in sorted(old)}, tables=tables, order=len(known))
+        )
+
+    def compact(self, day: str, file_rows: int = FILE_ROWS) -> Manifest:
+        """Rewrite one day's batches as one, in few files with disjoint ranges
+        of service and time, and one row per rollup key."""
+        at = F.lit(day).cast("date")
+        logs, rollups = self.logs().where(F.col("day") == at), self.rollups().where(F.col("day") == at)
+        files = max(1, -(-logs.count() // file_rows))
+        return self._replace(
+            "compact",
+            day,
+            list(TABLES),
+            {
+                "logs": logs.repartitionByRange(files, "service", "timestamp"),
+                "rollups": merge_rollups(rollups).select(*ROLLUP.fieldNames(), "day").repartitionByRange(files, "service", "bucket_start"),
+            },
+        )
 
     def rebuild_rollups(self, day: str) -> Manifest:
         """Write one day's rollup anew from its rows, as the backfill does."""
-        old = [b for b, days in self.visible().items() if day in days]
-        batch = f"rebuild-{day}-{uuid.uuid4().hex[:8]}"
         logs = self.logs().where(F.col("day") == F.lit(day).cast("date"))
-        self._write(logs, "logs", batch)
-        self._write(build_rollup(logs).withColumn("day", F.to_date("bucket_start")), "rollups", batch)
-        known = self.manifests()
-        top = max((m.next_id for m in known), default=1)
-        return self._commit(Manifest(batch, 0, 0, top, [day], {b: [day] for b in old}, order=len(known)))
+        fresh = build_rollup(logs).withColumn("day", F.to_date("bucket_start"))
+        return self._replace("rebuild", day, ["rollups"], {"rollups": fresh})
 
     def drop_expired(self, days: int, now: datetime) -> list[str]:
         """Drop the days before the cutoff from rows and rollups at once; the
@@ -163,7 +179,7 @@ class LogStore:
         cutoff = retention_cutoff(days, now)
         gone = [d for d in self.days() if date.fromisoformat(d) < cutoff]
         if gone:
-            live, known = self.visible(), self.manifests()
+            live, known = {b for t in TABLES for b in self.visible(t)}, self.manifests()
             top = max((m.next_id for m in known), default=1)
             self._commit(Manifest(f"drop-{uuid.uuid4().hex[:8]}", 0, 0, top, dropped=gone, order=len(known)))
             for batch in live:

@@ -212,8 +212,10 @@ def test_store_lifecycle(store):
     assert again.accepted == 2 and store.days() == ["2020-07-12", "2020-07-13", "2020-07-14", "2020-07-15"]
     before = sorted((r.id, r.message) for r in store.logs().collect())
     assert len({i for i, _ in before}) == 10
-    store.compact("2020-07-12")
+    store.compact("2020-07-12", file_rows=1)
     store.rebuild_rollups("2020-07-13")
+    assert {len(d) for d in store.visible("rollups").values()} == {1, 2}
+    assert store.rollups().where("day = '2020-07-12'").select("count").first()[0] == 4
     assert sorted((r.id, r.message) for r in store.logs().collect()) == before
     assert store.rollups().groupBy().sum("count").first()[0] == 10
     now = datetime(2020, 8, 13, 12, tzinfo=timezone.utc)
