@@ -73,7 +73,7 @@ class Engine:
                 query = LogQuery.from_params(params)
             except ValueError as e:
                 return 400, {"error": str(e)}
-            return 200, search(self.store.logs(), query)
+            return 200, search(self.store.logs(), query, self.store.days())
 
     def aggregate(self, params: Mapping[str, object]) -> tuple[int, dict]:
         self.metrics.add("aggregation_requests_total")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketwise.functions.time import EPOCH, iso_millis
+from bucketwise.functions.time import iso_millis, utc_day
 from bucketwise.model import SEARCH_COLUMNS
 from bucketwise.operators.predicates import before_cursor, equals, has_attributes, in_range, mentions, where_all
 from bucketwise.plans.cursor import Cursor
@@ -35,12 +36,42 @@ def plan_search(logs: DataFrame, query: LogQuery, ahead: int = 1) -> DataFrame:
     return ordered.limit(query.limit + ahead)
 
 
-def search(logs: DataFrame, query: LogQuery) -> dict:
+def newest_rows(logs: DataFrame, query: LogQuery, days: list[str] | None = None) -> list:
+    """The rows of :func:`plan_search`.
+
+    With the ``days`` that the table has, the newest are read first, twice as
+    many days each time, until the page is full: a page of a large table reads
+    a day or two, and a rare term as many days as it takes."""
+    wanted = query.limit + 1
+    if days is not None and "day" in logs.columns:
+        upper = min((m for m in (query.until, query.cursor.micros + 1 if query.cursor else None) if m is not None), default=None)
+        low = None if query.since is None else str(utc_day(query.since))
+        high = None if upper is None else str(utc_day(upper - 1))
+        days = [d for d in sorted(days, reverse=True) if (low is None or d >= low) and (high is None or d <= high)]
+    rows: list = []
+    for first, last in _doubling(len(days)) if days is not None else [(0, 0)]:
+        part = logs
+        if days is not None:
+            part = logs.where((F.col("day") <= F.lit(days[first]).cast("date")) & (F.col("day") >= F.lit(days[last - 1]).cast("date")))
+        page = plan_search(part, query).withColumn("micros", F.unix_micros(F.col("timestamp").cast("timestamp")))
+        rows += page.limit(wanted - len(rows)).collect() if rows else page.collect()
+        if len(rows) >= wanted:
+            break
+    return rows[:wanted]
+
+
+def _doubling(n: int) -> list[tuple[int, int]]:
+    """(0, 1), (1, 3), (3, 7), ... up to n."""
+    out, first, width = [], 0, 1
+    while first < n:
+        out.append((first, min(n, first + width)))
+        first, width = first + width, 2 * width
+    return out
+
+
+def search(logs: DataFrame, query: LogQuery, days: list[str] | None = None) -> dict:
     """One page as the API shows it: ``{"logs": [...], "next_cursor": ...}``."""
-    import json
-
-    page = plan_search(logs, query).withColumn("micros", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    rows = page.collect()
+    rows = newest_rows(logs, query, days)
     shown = rows[: query.limit]
     found = [
         {
@@ -57,18 +88,11 @@ def search(logs: DataFrame, query: LogQuery) -> dict:
     return {"logs": found, "next_cursor": Cursor(shown[-1].micros, shown[-1].id).encode() if more else None}
 
 
-def pages(logs: DataFrame, query: LogQuery):
+def pages(logs: DataFrame, query: LogQuery, days: list[str] | None = None):
     """All pages of a search, one after another."""
     while True:
-        page = search(logs, query)
+        page = search(logs, query, days)
         yield page
         if page["next_cursor"] is None:
             return
         query = replace(query, cursor=Cursor.decode(page["next_cursor"]))
-
-
-def micros_of(at) -> int:
-    """Microseconds since the epoch of a naive UTC datetime."""
-    from datetime import timedelta
-
-    return (at.replace(tzinfo=EPOCH.tzinfo) - EPOCH) // timedelta(microseconds=1)

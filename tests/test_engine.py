@@ -133,6 +133,16 @@ def test_pages(searched):
     assert first == {"id": "1", "timestamp": "2020-08-12T12:00:00.000Z", "level": "error", "service": "A", "message": "Payment FAILED for Alpha", "attributes": {"region": "eu-west", "user_id": "42"}}
 
 
+def test_newest_days_first(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/days")
+    logs = [entry(f"2020-03-{d:02d}T{h:02d}:00:00Z", message="rare" if d == 2 else "common") for d in range(1, 12) for h in (1, 2, 2)]
+    ingest_batch(store, {"logs": logs}, NOW)
+    for q in (LogQuery(limit=5), LogQuery(limit=7, since=parse_instant("2020-03-04T02:00:00Z")), LogQuery(limit=2, q="RARE"), LogQuery(limit=4, until=parse_instant("2020-03-09T00:00:00Z"))):
+        with_days, without = (list(pages(store.logs(), q, d)) for d in (store.days(), None))
+        assert with_days == without and len(with_days) > 1
+    assert search(store.logs(), LogQuery(service="none"), store.days())["logs"] == []
+
+
 COUNTED = [
     ("10:00:10", "info", "A", "startup complete", "eu-west"),
     ("10:00:40", "error", "A", "payment needle failure", "us-east"),
