@@ -27,20 +27,21 @@ def merge_rollups(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*keys).agg(F.sum("count").alias("count")).where("count > 0")
 
 
-def part_counts(logs: DataFrame, rollups: DataFrame, query: AggregateQuery, part: Part) -> DataFrame:
-    """(bucket[, group_value], count) of one signed part."""
+def part_weights(logs: DataFrame, rollups: DataFrame, query: AggregateQuery, part: Part) -> DataFrame:
+    """(bucket[, group_value], count) of one part: each row's signed weight."""
     source, column = (logs, "timestamp") if part.source == "raw" else (rollups, "bucket_start")
     rows = where_all(source, [*in_range(source, column, part.start, part.end), *equals(query.service, query.level)])
     keys = [bucket_start(F.col(column), query.bucket).alias("bucket")]
     if query.group_by:
         keys.append(F.col(query.group_by).alias("group_value"))
-    count = F.count("*") if part.source == "raw" else F.sum("count")
-    return rows.groupBy(*keys).agg((count if part.sign > 0 else -count).cast("bigint").alias("count"))
+    weight = F.lit(1) if part.source == "raw" else F.col("count")
+    return rows.select(*keys, (weight if part.sign > 0 else -weight).cast("bigint").alias("count"))
 
 
 def rollup_counts(logs: DataFrame, rollups: DataFrame, query: AggregateQuery) -> DataFrame:
-    """Exact counts from whole minutes of rollups and the raw rows at the edges."""
-    parts = [part_counts(logs, rollups, query, p) for p in plan_parts(query.since, query.until)]
+    """Exact counts from whole minutes of rollups and the raw rows at the edges:
+    all parts meet in one aggregation, partial in each task, with one shuffle."""
+    parts = [part_weights(logs, rollups, query, p) for p in plan_parts(query.since, query.until)]
     keys = ["bucket", *(["group_value"] if query.group_by else [])]
     merged = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("count").alias("count"))
     return merged.where("count > 0")
