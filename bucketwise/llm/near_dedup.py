@@ -41,12 +41,12 @@ from bucketwise.llm.url_filter import BlockedBloom
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits that the fingerprints of proposed pairs differ in, at most.
-RADIUS = 7
+RADIUS = 6
 #: Disjoint forests of proposed links, so that texts stay joined where some
 #: links fail verification.
 FORESTS = 8
 #: Texts of one component that a task compares with one another, about.
-BLOCK = 2000
+BLOCK = 8000
 #: Words of fewer bytes are left out of a fingerprint, if there are others.
 LEAST_WORD = 4
 

@@ -54,7 +54,7 @@ ROW_COST = 200.0
 SHORT_RUN = 48
 CHUNK_ROWS = 250_000
 #: Verified pairs that a task holds before it keeps their forests alone.
-CHUNK_PAIRS = 1_000_000
+CHUNK_PAIRS = 200_000
 
 
 # -- fingerprints ----------------------------------------------------------------
