@@ -41,7 +41,7 @@ from bucketwise.llm.url_filter import BlockedBloom
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits that the fingerprints of proposed pairs differ in, at most.
-RADIUS = 6
+RADIUS = 7
 #: Disjoint forests of proposed links, so that texts stay joined where some
 #: links fail verification.
 FORESTS = 8
