@@ -1,4 +1,4 @@
-"""Near-duplicate removal: SimHash candidates, verified on five-word shingles.
+"""Near-duplicate removal: SimHash and prefix candidates, verified on five-word shingles.
 
 Fingerprints of a text's longer words (lower-cased in A-Z) propose pairs
 through the generalised pigeonhole join of :mod:`bucketwise.llm.simhash`.
@@ -7,6 +7,15 @@ Jaccard similarity of ``similarity`` or more.  The fingerprints see single
 words so that texts of that similarity are a few bits apart; on the shingles
 themselves they would be ten bits apart and more.
 
+Fingerprints join most near copies cheaply; what they miss a second, exact
+search finds.  Shingles are put in one order for all texts, rare ones first.
+Of n shingles, the first n - ceil(similarity * n) + 1 are a text's prefix, and
+two texts that are similar enough share a shingle of both prefixes.  All pairs
+of texts that do, that are not joined yet and that sizes and places in the
+order do not rule out are verified.  So the components are those of all pairs
+that are similar enough; fingerprints, forests and the sampled order affect
+the cost alone.
+
 Exact copies meet by digest first, so a text is fingerprinted, linked and
 verified once however often it occurs.  One document of each component stays:
 that of the smallest doc_id.  Texts that no removal can concern do not move.
@@ -35,7 +44,7 @@ from pyspark.sql import types as T
 
 from bucketwise.llm.common import materialize, returns_memory
 from bucketwise.llm.components import components
-from bucketwise.llm.simhash import SEED, fingerprint, near_links, shingle_hashes
+from bucketwise.llm.simhash import CHUNK_ROWS, SEED, SHORT_RUN, fingerprint, near_links, shingle_hashes
 from bucketwise.llm.url_filter import BlockedBloom
 
 SHINGLE_WORDS = 5
@@ -43,8 +52,12 @@ SIMILARITY = 0.8
 #: Bits that the fingerprints of proposed pairs differ in, at most.
 RADIUS = 7
 #: Disjoint forests of proposed links, so that texts stay joined where some
-#: links fail verification.
+#: links fail verification; what they leave apart meets by prefixes.
 FORESTS = 8
+#: Texts that show which shingles are frequent, and frequent shingles that are
+#: told apart from rare ones, at most.
+ORDER_SAMPLE = 20_000
+FREQUENT = 200_000
 #: Texts of one component that a task compares with one another, about.
 BLOCK = 8000
 #: Words of fewer bytes are left out of a fingerprint, if there are others.
@@ -88,24 +101,165 @@ def _filter(keys: DataFrame) -> "pd.Series":
     return possible
 
 
-def shingle_sets(texts: DataFrame, named: DataFrame, proposed: DataFrame) -> DataFrame:
-    """(node, words): the shingle sets of all texts in ``proposed`` links.
+def shingle_sets(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, words): the shingle set of every text.
 
     ``texts``: near_key, near_node, text; ``named``: near_node and the near_key
     of the row that speaks for it."""
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("near_node")).distinct()
-    possible = _filter(ends.join(named, "near_node").select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
+    possible = _filter(named.select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
 
     @returns_memory
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "words"])
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                found = [shingle_set(text.as_py()).tobytes() for text in piece.column(1)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["node", "words"])
 
     speaking = texts.where(possible(F.xxhash64("near_key", "near_node"))).select("near_node", "text")
     return materialize(speaking.mapInArrow(sets, "node long, words binary").dropDuplicates(["node"]), "shingles")
 
 
+def _tokens(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a batch of sets in one array, and how many each set has."""
+    found = [np.frombuffer(w.as_buffer(), np.uint32) if w.is_valid else np.zeros(0, np.uint32) for w in words]
+    return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+
+def frequent_shingles(shingles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts have, ascending, and how many have them."""
+    share = max(1, -(-shingles.count() // ORDER_SAMPLE))
+
+    @returns_memory
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                tokens, _ = _tokens(batch.column(0).slice(at, 512))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int32))], names=["token"])
+
+    sample = shingles.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("words")
+    counts = sample.mapInArrow(rows, "token int").groupBy("token").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    token = np.ascontiguousarray(found.column("token").to_numpy()).astype(np.int32).view(np.uint32)
+    order = np.argsort(token)
+    return token[order], found.column("count").to_numpy()[order].astype(np.int64)
+
+
+def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first shingles of n a text of that similarity cannot miss all of."""
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _possible(place_a: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts whose first common shingle has these places (size << 32 |
+    place) can be similar enough."""
+    size_a, size_b = place_a >> 32, place_b >> 32
+    left = np.minimum(size_a - (place_a & 0xFFFFFFFF), size_b - (place_b & 0xFFFFFFFF))
+    least = similarity / (1 + similarity) * (size_a + size_b) - 1e-9
+    return (left >= least) & (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9)
+
+
+def _apart(
+    token: np.ndarray, place: np.ndarray, root: np.ndarray, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows sorted by token and place: pairs with one token and two roots
+    that can be similar enough (row, row)."""
+    n = len(token)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if n else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([first, [n]]))
+    at = np.flatnonzero(np.repeat(length <= SHORT_RUN, length))
+    run_end = np.repeat(first + length, length)
+    for k in range(1, SHORT_RUN):
+        at = at[at + k < run_end[at]]
+        if not len(at):
+            break
+        ok = (root[at] != root[at + k]) & _possible(place[at], place[at + k], similarity)
+        yield at[ok], at[ok] + k
+    for f, size in zip(first[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist()):
+        for x in range(f, f + size, 512):
+            left = np.arange(x, min(x + 512, f + size))
+            for y in range(x, f + size, 512):
+                if (place[y] >> 32) * similarity - 1e-9 > place[left[-1]] >> 32:
+                    break  # this text and all after it are too long
+                right = np.arange(y, min(y + 512, f + size))
+                i, j = np.nonzero((root[left][:, None] != root[right][None, :]) & (left[:, None] < right[None, :]))
+                ok = _possible(place[left[i]], place[right[j]], similarity)
+                yield left[i[ok]], right[j[ok]]
+
+
+def prefix_pairs(shingles: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): among all pairs of texts, not yet joined in ``roots`` (node,
+    root), at least those whose similarity is ``similarity`` or more."""
+    common, count = frequent_shingles(shingles)
+    order = shingles.sparkSession.sparkContext.broadcast((common, count))
+
+    @returns_memory
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = order.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                node, root, words = batch.slice(at, 256).columns
+                tokens, n = _tokens(words)
+                owner = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(tokens), np.int64)
+                if len(known):
+                    near = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    rank = np.where(known[near] == tokens, often[near], 0)
+                by = np.argsort((owner << 32) + rank, kind="stable")  # of one rank: by shingle
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+                kept = place < prefix_length(n, similarity)[owner]
+                owner, place = owner[kept], place[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(tokens[by][kept].view(np.int32)),
+                        pa.array((n[owner] << 32) + place),
+                        pa.array(node.to_numpy(zero_copy_only=False)[owner]),
+                        pa.array(root.to_numpy(zero_copy_only=False)[owner]),
+                    ],
+                    names=["token", "place", "node", "root"],
+                )
+
+    @returns_memory
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def pairs(token: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            got, size = [], 0
+            for i, j in _apart(token, place, root, similarity):
+                got.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+                size += len(i)
+                if size > CHUNK_ROWS:
+                    yield batch_of(got)
+                    got, size = [], 0
+            if size:
+                yield batch_of(got)
+
+        def batch_of(got: list[tuple]) -> pa.RecordBatch:
+            both = np.unique(np.stack([np.concatenate(c) for c in zip(*got)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns))
+            if sum(len(h[0]) for h in held) >= CHUNK_ROWS:
+                rows = tuple(np.concatenate(c) for c in zip(*held))
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on
+                held = [tuple(c[cut:] for c in rows)]
+                if cut:
+                    yield from pairs(*(c[:cut] for c in rows))
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+
+    return (
+        shingles.join(roots, "node", "left")
+        .select("node", F.coalesce("root", "node").alias("root"), "words")
+        .mapInArrow(prefixes, "token int, place long, node long, root long")
+        .repartition("token")
+        .sortWithinPartitions("token", "place")
+        .mapInArrow(meet, "a long, b long")
+        .distinct()
+    )
+
+
 def _dealt(proposed: DataFrame) -> DataFrame:
     """(root, i, j, a, b): proposed links by the task that compares them.
 
@@ -130,7 +284,9 @@ def verified_links(proposed: DataFrame, shingles: DataFrame, similarity: float =
     moves once to each task that needs it, not once for each of its links."""
     links = _dealt(proposed)
     task = ["root", "i", "j"]
-    members = links.select(*task, F.explode(F.array("a", "b")).alias("node")).distinct().join(shingles, "node")
+    members = links.select(*task, F.explode(F.array("a", "b")).alias("node")).distinct()
+    possible = _filter(members.select("node").distinct())
+    members = members.join(shingles.where(possible("node")), "node")
     rows = members.select(*task, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "words").unionByName(
         links.select(*task, "a", "b", F.lit(None).cast("binary").alias("words"))
     )
@@ -169,9 +325,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
 
     marked = materialize(rows.mapInArrow(prints, "near_key long, near_node long, fp long"), "marked")
     nodes = marked.groupBy("near_node").agg(F.min("fp").alias("fp"), F.min("near_key").alias("near_key"))
+    shingles = shingle_sets(rows, nodes.select("near_node", "near_key"))
     proposed = near_links(nodes.select(F.col("near_node").alias("node"), "fp"), radius, FORESTS)
     proposed = materialize(proposed, "proposed")
-    roots = components(verified_links(proposed, shingle_sets(rows, nodes.select("near_node", "near_key"), proposed)))
+    roots = components(verified_links(proposed, shingles))
+    rest = materialize(prefix_pairs(shingles, roots), "rest")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(links.unionByName(verified_links(rest, shingles)))
     classes = nodes.join(roots, F.col("near_node") == F.col("node"), "left").select(
         "near_node", F.coalesce("root", "near_node").alias("near_class")
     )

@@ -75,3 +75,48 @@ def test_components_in_blocks(spark, monkeypatch):
             other[at] = f"edit{i}"
         rows.append((i, " ".join(other), "en", "a", 1))
     assert [r.doc_id for r in deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+
+
+def zipf_texts(number, length, vocabulary, s, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    share = 1.0 / np.arange(1, vocabulary + 1) ** s
+    drawn = rng.choice(vocabulary, (number, length), p=share / share.sum())
+    return [[f"word{w}" for w in text] for text in drawn]
+
+
+def test_near_copies_among_dense_unrelated_texts(spark):
+    # frequent words bring all fingerprints together, so forests fill with unrelated pairs
+    texts = zipf_texts(1500, 200, 60, 1.5, 3)
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    rows += [(10_000 + i, " ".join(texts[i][: 200 - 24]), "en", "a", 1) for i in range(150)]
+    assert all(similarity_of(shingle_set(rows[i][1]), shingle_set(rows[1500 + i][1])) >= 0.8 for i in range(150))
+    got = {r.doc_id for r in deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not [i for i in got if i >= 10_000] and len(got) == 1500
+
+
+def test_recall_by_length_and_kind_of_edit(spark):
+    # every length and edit on its own against brute force: nothing similar enough is kept
+    edits = {
+        "tail": lambda t, n: t[:-n],
+        "head": lambda t, n: t[n:],
+        "grown": lambda t, n: t + [f"more{k}" for k in range(n)],
+        "middle": lambda t, n: t[: len(t) // 2] + [f"new{k}" for k in range(max(1, n // 2))] + t[len(t) // 2 + max(1, n // 2) :],
+    }
+    rows, group, number = [], {}, 0
+    for length in (12, 30, 60, 100, 300):
+        for kind, edit in edits.items():
+            for base in zipf_texts(25, length, 3000, 1.0, number):
+                base = [f"{kind}{length}x{w}" if k % 9 == 0 else w for k, w in enumerate(base)]
+                for text in (base, edit(base, max(1, int(0.18 * length)))):
+                    rows.append((number, " ".join(text), "en", "a", 1))
+                    group[number] = length, kind
+                    number += 1
+    want = brute_kept([r[:2] for r in rows])
+    got = sorted(r.doc_id for r in deduplicate(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert len(want) < 0.7 * len(rows)
+    missed = {}
+    for i in set(got) - set(want):
+        missed[group[i]] = missed.get(group[i], 0) + 1
+    assert not missed and got == want
