@@ -2,11 +2,18 @@
 
 A text becomes a unit vector of hashed byte n-grams.  Linear support vector
 machines (squared hinge loss, one against the rest) choose the language family
-first; within the family another set of them, trained on that family alone,
-tells its closely related languages apart.
+first; within the family a machine for each pair of its closely related
+languages, trained on these two alone, gives one of them its vote.  Most votes
+win, of equal votes the largest sum of margins.
+
+A text is of a known language if enough of its n-grams are usual in the
+predicted one: those that make up ``USUAL`` of its training texts.  Enough is
+half-way from what the training texts of other families have on average (or,
+without any, random n-grams) to what all but ``UNUSUAL`` of its own have.
 
 Training reads a bounded, labelled sample (``PER_LANGUAGE`` documents of each
-language, drawn by a hash of doc_id from the training fold); its vectors, a few
+language, fewer beyond ``MOST_SAMPLED`` in all, drawn by a hash of doc_id from
+the training fold); its vectors, a few
 kilobytes each, go to the driver.  Everything else is one pass over the
 documents without a shuffle.
 
@@ -25,7 +32,8 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +46,11 @@ from bucketwise.llm.common import returns_memory
 UNDETERMINED = "und"
 #: Labelled documents of each language that the classifiers are fitted on, at most.
 PER_LANGUAGE = 500
-#: Languages that are learned, at most; the most frequent ones.
-MOST_LANGUAGES = 64
+#: Documents that the classifiers are fitted on; more languages have fewer each, at least one.
+MOST_SAMPLED = 64 * PER_LANGUAGE
+#: Share of a language's n-grams that are its usual ones; share of its training
+#: texts that its least fit leaves aside.
+USUAL, UNUSUAL = 0.8, 0.002
 GRAMS = (2, 3, 4)
 BINS = 4096
 FOLDS, HELD_OUT_FOLD = 4, 2
@@ -104,17 +115,50 @@ def fit_svm(x: np.ndarray, y: np.ndarray, classes: int, regular: float = 1e-4, r
     return w[:, :-1], w[:, -1]
 
 
+def fit_pairs(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A machine for each pair of classes, trained on their rows alone, with a
+    positive margin for the first of them: weights (pairs, features), offsets."""
+    machines = []
+    for i, j in combinations(range(classes), 2):
+        rows = np.flatnonzero((y == i) | (y == j))
+        w, b = fit_svm(x[rows], (y[rows] == j).astype(np.int64), 2)
+        machines.append((w[0], b[0]))
+    return np.stack([w for w, _ in machines]), np.array([b for _, b in machines])
+
+
+def vote(margins: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of margins (rows, pairs): the class with most votes, then the largest sum
+    of margins, then the first; and its mean share against each other class."""
+    votes, total, shares = (np.zeros((len(margins), classes)) for _ in range(3))
+    for k, (i, j) in enumerate(combinations(range(classes), 2)):
+        votes[:, i] += margins[:, k] >= 0
+        votes[:, j] += margins[:, k] < 0
+        total[:, i] += margins[:, k]
+        total[:, j] -= margins[:, k]
+        shares[:, [i, j]] += _share(np.stack([margins[:, k], -margins[:, k]], axis=1))
+    most = votes == votes.max(axis=1, keepdims=True)
+    best = np.where(most, total, -np.inf).argmax(axis=1)
+    return best, shares[np.arange(len(best)), best] / (classes - 1)
+
+
 def _share(margins: np.ndarray) -> np.ndarray:
     e = np.exp(3.0 * (margins - margins.max(axis=1, keepdims=True)))
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _fit(x: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Share of the n-grams of vectors that are ``usual``."""
+    return (x**2)[:, usual].sum(axis=1) / np.maximum((x**2).sum(axis=1), 1e-12)
+
+
 @dataclass
 class LanguageModel:
     families: list[str]
     top: tuple[np.ndarray, np.ndarray]
     langs: list[list[str]]
     within: list[tuple[np.ndarray, np.ndarray] | None]
+    #: Of each language: its usual n-grams, and the least fit of a known text.
+    usual: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str]) -> "LanguageModel":
@@ -127,9 +171,29 @@ class LanguageModel:
             own = sorted({labels[r] for r in rows})
             langs.append(own)
             within.append(
-                fit_svm(x[rows], np.array([own.index(labels[r]) for r in rows]), len(own)) if len(own) > 1 else None
+                fit_pairs(x[rows], np.array([own.index(labels[r]) for r in rows]), len(own)) if len(own) > 1 else None
             )
-        return cls(families, top, langs, within)
+        model, of = cls(families, top, langs, within), np.array(labels)
+        for lang in sorted(set(labels)):
+            own = x[of == lang]
+            mean = (own**2).mean(axis=0)
+            order = np.argsort(-mean, kind="stable")
+            usual = np.zeros(len(mean), dtype=bool)
+            usual[order[: int(np.searchsorted(np.cumsum(mean[order]), USUAL * mean.sum())) + 1]] = True
+            fits = _fit(own, usual)
+            foreign = np.array([family(v) != family(lang) for v in labels])
+            other = _fit(x[foreign], usual).mean() if foreign.any() else usual.mean()
+            model.usual[lang] = usual, float((np.quantile(fits, UNUSUAL, method="lower") + other) / 2)
+        return model
+
+    def knows(self, x: np.ndarray, names: list[str]) -> np.ndarray:
+        """Whether vectors are of the languages that they were taken for."""
+        known, names = np.zeros(len(x), dtype=bool), np.array(names)
+        for lang in set(names.tolist()):
+            usual, least = self.usual[lang]
+            rows = np.flatnonzero(names == lang)
+            known[rows] = _fit(x[rows], usual) >= least
+        return known
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages of vectors, and the chosen shares of family and language multiplied."""
@@ -141,20 +205,22 @@ class LanguageModel:
             rows = np.flatnonzero(chosen == i)
             if not len(rows):
                 continue
-            inner = _share(x[rows] @ self.within[i][0].T + self.within[i][1]) if self.within[i] else np.ones((len(rows), 1))
-            best = inner.argmax(axis=1)
-            score[rows] *= inner[np.arange(len(rows)), best]
+            best, inner = np.zeros(len(rows), dtype=np.int64), np.ones(len(rows))
+            if self.within[i]:
+                best, inner = vote(x[rows] @ self.within[i][0].T + self.within[i][1], len(own))
+            score[rows] *= inner
             for r, b in zip(rows.tolist(), best.tolist()):
                 names[r] = own[b]
         return names, score
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """Fit on at most ``per_language`` documents of each language of the training fold."""
+    """Fit on at most ``per_language`` documents of every language of the training fold."""
     labelled = docs.select(key, text, lang).where(F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy(lang).count().collect()
     if not counts:
         return None
+    per_language = max(1, min(per_language, MOST_SAMPLED // len(counts)))
     # a somewhat larger draw by hash, of which the first per_language are taken
     share = F.create_map(*(F.lit(v) for r in counts for v in (r[lang], min(1.0, (1.3 * per_language + 50) / r["count"]))))
     draw = (F.xxhash64(F.lit("sample"), F.col(key)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))).alias("draw")
@@ -184,11 +250,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def with_language(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lid_lang`` and ``lid_score``.  The model's size is bounded
-    by MOST_LANGUAGES times BINS weights."""
+    """``docs`` with ``lid_lang`` and ``lid_score``.  The model has
+    BINS weights for each family and each pair of languages of a family.
+    ``lid_known``: whether the text looks like one of the predicted language."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_score", T.DoubleType()), T.StructField("lid_known", T.BooleanType())])
 
     @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +264,17 @@ def with_language(docs: DataFrame, model: LanguageModel | None, text: str = "tex
             for first in range(0, batch.num_rows, 256):
                 piece = batch.slice(first, 256)
                 texts = piece.column(at).to_pylist()
-                names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                names, scores, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
                 known = [i for i, t in enumerate(texts) if own is not None and t and _LETTER.search(t)]
                 if known:
-                    found, score = own.predict(np.stack([vector(texts[i]) for i in known]))
+                    x = np.stack([vector(texts[i]) for i in known])
+                    found, score = own.predict(x)
                     for i, name in zip(known, found):
                         names[i] = name
-                    scores[known] = score
+                    scores[known], sure[known] = score, own.knows(x, found)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*piece.schema.names, "lid_lang", "lid_score"],
+                    [*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure)],
+                    names=[*piece.schema.names, "lid_lang", "lid_score", "lid_known"],
                 )
 
     return docs.mapInArrow(rows, schema)

@@ -17,14 +17,12 @@ from bucketwise.llm.pii import replace_pii
 from bucketwise.llm.sentence_pieces import with_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose predicted language is less likely than this are rejected.
-LEAST_SCORE = 0.25
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no language that was learned."""
     judged = with_language(docs.select(*COLUMNS), train(docs))
-    return judged.where((F.col("lid_lang") != UNDETERMINED) & (F.col("lid_score") >= LEAST_SCORE)).select(*COLUMNS)
+    return judged.where((F.col("lid_lang") != UNDETERMINED) & F.col("lid_known")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

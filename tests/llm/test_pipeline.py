@@ -30,3 +30,16 @@ def test_odd_and_empty_tables(spark, tables):
     assert cp.run(spark, f"{tables}/none").count() == 0
     out = cp.run(spark, f"{tables}/odd").collect()
     assert all(r.exact and r.n_ids == len(r.ids) for r in out)
+
+
+def test_texts_of_unlearned_languages_are_dropped(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cp.COLUMNS)
+    foreign = {
+        -1: "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem",
+        -2: "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+        -3: "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler",
+        -4: "xqzt vvkw pfjq zzxk wqpt mnbv qwrx kkjh zxcv lkjq hgfz tyqx",
+    }
+    more = spark.createDataFrame([(i, t, None, "a", len(t)) for i, t in foreign.items()], docs.schema)
+    kept = {r.doc_id for r in cp.keep_known_languages(spark, docs.unionByName(more), sf_dir).select("doc_id").collect()}
+    assert not kept & set(foreign) and len(kept) > 0.97 * docs.count()
