@@ -52,3 +52,32 @@ def test_close_languages_are_told_apart_within_the_family():
     names, score = model.predict(x)
     assert model.families == ["germanic", "qq", "romance"] and np.mean([a == b for a, b in zip(names, labels)]) > 0.99
     assert ((score > 0) & (score <= 1)).all()
+
+
+def test_languages_of_a_family_are_voted_on_pair_by_pair():
+    rng = np.random.default_rng(2)
+    langs = ["en", "de", "nl", "sv", "da"]
+    # three close ones on a line: the middle one against the rest is not linear
+    centre = {"en": (0.0, 0), "de": (0.4, 0), "nl": (0.8, 0), "sv": (0, 0.8), "da": (0.8, 0.8)}
+    labels = [langs[i % 5] for i in range(500)]
+    x = np.array([centre[v] for v in labels]) + rng.normal(0, 0.03, (500, 2))
+    model = lid.LanguageModel.fit(x, labels)
+    assert model.within[0][0].shape == (10, 2)
+    names, score = model.predict(x)
+    assert np.mean([a == b for a, b in zip(names, labels)]) > 0.99 and ((score > 0) & (score <= 1)).all()
+    # a cycle of three votes is settled by the sum of margins
+    assert lid.vote(np.array([[1.0, -3.0, 1.0]]), 3)[0].tolist() == [2]
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(100 * i + k, f"{chr(0x4E00 + 40 * i)}{chr(0x4E01 + 40 * i)} " * 9, f"q{i}") for i in range(70) for k in range(6)]
+    model = lid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.families) == 70
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lid, "MOST_SAMPLED", 12)
+    rows, seen = [(i, f"some words {i}", ("en", "fr", "ru")[i % 3]) for i in range(300)], []
+    monkeypatch.setattr(lid.LanguageModel, "fit", lambda x, labels: seen.extend(labels))
+    lid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(seen) == ["en"] * 4 + ["fr"] * 4 + ["ru"] * 4
