@@ -13,6 +13,9 @@ form and an attempt number:
     lie in domains reserved for examples; names keep title, gender and script;
   * distinctness: surrogates that meet another surrogate of their kind or an
     entity of the corpus are drawn again, until no two entities share one.
+    After WIDEN_AFTER attempts names gain syllables, addresses and secrets
+    characters, so that their space never runs out; the other kinds have a
+    fixed format with 1e9 values and more.
 
 Documents without entities pass without a shuffle; the others meet the
 surrogates of their distinct entities in equi-joins.
@@ -35,8 +38,11 @@ from pyspark.sql import functions as F
 from bucketwise.llm.common import discard, materialize
 
 KEY = "surrogates-1"
-#: Attempts after which the space of a kind is taken as exhausted.
-MOST_ATTEMPTS = 40
+#: Attempts before surrogates of names, addresses and secrets grow, and between
+#: one further syllable or character and the next.
+WIDEN_AFTER, WIDEN_EVERY = 8, 4
+#: Attempts after which a fixed format has hardly a free value left.
+MOST_ATTEMPTS = 1000
 
 # Given names for surrogates by gender and script, and syllables of family names.
 GIVEN = {
@@ -151,7 +157,16 @@ def _luhn(digits: Column) -> Column:
     return F.concat(digits, F.pmod(-total, F.lit(10)).cast("string"))
 
 
-def _name(norm: Column, seed: Column) -> Column:
+def _further(parts: list[str], seed: Column, number: Column) -> Column:
+    """``number`` further parts, drawn from the keyed stream of ``seed``."""
+    drawn = F.transform(
+        F.sequence(F.lit(1), F.greatest(number, F.lit(1))),
+        lambda k: F.element_at(F.lit(parts), F.pmod(_stream(F.concat(seed, F.lit("+")), k), F.lit(len(parts))) + 1),
+    )
+    return F.when(number > 0, F.array_join(drawn, "")).otherwise(F.lit(""))
+
+
+def _name(norm: Column, seed: Column, further: Column) -> Column:
     gender, name = F.substring(norm, 1, 1), F.substring(norm, 3, 1 << 20)
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     out = F.lit(None).cast("string")
@@ -161,7 +176,7 @@ def _name(norm: Column, seed: Column) -> Column:
             F.element_at(F.lit(SYLLABLES[s]), F.pmod(_stream(seed, F.lit(k)), F.lit(len(SYLLABLES[s]))) + 1)
             for k in (1, 2, 3)
         ]
-        family = F.initcap(F.concat(*part, F.lit(ENDINGS[s, g])))
+        family = F.initcap(F.concat(*part, _further(SYLLABLES[s], seed, further), F.lit(ENDINGS[s, g])))
         both = F.when(name.contains(" "), F.concat(first, F.lit(" "), family)).otherwise(family)
         match = (script == s) & ((gender == g) | ((s == "cyrillic") & (gender == "u") & (g == "m")))
         out = F.when(match, both).otherwise(out)
@@ -171,6 +186,9 @@ def _name(norm: Column, seed: Column) -> Column:
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a normal form, itself in normal form."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    past = (attempt - WIDEN_AFTER).cast("int")
+    further = F.when(past >= 0, F.floor(past / WIDEN_EVERY) + 1).otherwise(F.lit(0)).cast("int")
+    hexadecimal = norm.rlike("^[0-9a-f]+$")
     local = F.regexp_extract(norm, r"^(.*)@", 1)
     domain = F.concat(
         F.lit("m"),
@@ -180,12 +198,18 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
     octet = [(F.pmod(_stream(seed, F.lit(k)), F.lit(254)) + 1).cast("string") for k in range(4)]
     body = F.concat(F.substring(norm, 1, 1), _same_shape(F.substring(norm, F.lit(2), F.length(norm) - 2), seed))
     return (
-        F.when(kind == "email", F.concat(_same_shape(local, seed), F.lit("@"), domain))
-        .when(kind == "secret", _same_shape(norm, seed, norm.rlike("^[0-9a-f]+$")))
+        F.when(kind == "email", F.concat(_same_shape(local, seed), _further(list(_LOWER), seed, further), F.lit("@"), domain))
+        .when(
+            kind == "secret",
+            F.concat(
+                _same_shape(norm, seed, hexadecimal),
+                F.when(hexadecimal, _further(list(_DIGITS), seed, further)).otherwise(_further(list(_LOWER), seed, further)),
+            ),
+        )
         .when(kind == "ip", F.concat_ws(".", *octet))
         .when(kind == "card", _luhn(body))
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _same_shape(F.substring(norm, 3, 1 << 20), seed)))
-        .when(kind == "name", F.concat(F.substring(norm, 1, 2), F.lower(_name(norm, seed))))
+        .when(kind == "name", F.concat(F.substring(norm, 1, 2), F.lower(_name(norm, seed, further))))
         .otherwise(_same_shape(norm, seed))
     )
 

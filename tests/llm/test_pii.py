@@ -78,3 +78,17 @@ def test_odd_rows(spark, odd, empty):
 def test_no_python_on_the_executors(spark, sf_dir):
     plan = pii.op1_pii_surrogates(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_small_spaces_are_widened(spark, monkeypatch):
+    # more names than surrogates of three syllables, all one-letter addresses of a domain, a secret that cannot change
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["bar", "bel", "cor"])
+    rows = [("name", f"m:{a}{b}") for a in "abcdefgh" for b in "mnopqrst"]
+    rows += [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "--------")]
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    new = {(r.kind, r.new) for r in out}
+    assert len(out) == len(rows) == len(new) and not new & set(rows)
+    for r in out:
+        shape = {"name": r"m:(?:bar|bel|cor){3,}son", "email": r"[a-z]+@m[0-9a-f]{6}\.example\.net", "secret": "-{8}[a-z]+"}[r.kind]
+        assert re.fullmatch(shape, r.new)
+    assert replaced(spark, ['token = "--------"'])[0] != 'token = "--------"'
