@@ -5,7 +5,7 @@ Rollup-path queries have SQL over raw rows, so the rewrite itself is checked.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -23,6 +23,7 @@ from bucketwise.operators.validate import validated
 from bucketwise.plans.cursor import Cursor
 from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.events import events_as_logs
+from bucketwise.sources.files import shared_folder
 from bucketwise.sources.store import LogStore, retention_cutoff
 from bucketwise.streaming.ingest import ingest_stream
 
@@ -332,8 +333,7 @@ ORACLE_SQL["histogram_cumulative"] = (
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/store" if base else "file://" + tempfile.mkdtemp(prefix="bucketwise-store-")
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def _entries_on_disk(spark: SparkSession, d: str, base: str) -> str:
@@ -347,7 +347,7 @@ def _entries_on_disk(spark: SparkSession, d: str, base: str) -> str:
 
 def ingest_stream_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Events through the streaming ingest; the rollup that it maintained."""
-    base = f"{_scratch(spark)}-{datetime.now().timestamp():.6f}"
+    base = _scratch(spark)
     folder = _entries_on_disk(spark, d, base)
     store = LogStore(spark, base)
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", 4).text(folder)
@@ -366,12 +366,29 @@ ORACLE_SQL["ingest_stream_rollup"] = (
 )
 
 
+def _filled_store(spark: SparkSession, d: str, batches: int = 2) -> LogStore:
+    """A new store with the events, in some batches."""
+    store = LogStore(spark, _scratch(spark))
+    logs = events_as_logs(spark, d).withColumn("position", F.col("id")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for k in range(batches):
+        store.append(logs.where(F.col("id") % batches == k), f"events-{k}")
+    return store
+
+
+_stores: dict[tuple[str, str], LogStore] = {}
+
+
+def _stored(spark: SparkSession, d: str) -> LogStore:
+    """The session's store with the events of a folder, filled once."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _stores:
+        _stores[key] = _filled_store(spark, d)
+    return _stores[key]
+
+
 def store_search(spark: SparkSession, d: str) -> DataFrame:
     """A search in the partitioned store, after events were committed to it."""
-    base = f"{_scratch(spark)}-{datetime.now().timestamp():.6f}"
-    store = LogStore(spark, base)
-    logs = events_as_logs(spark, d).withColumn("position", F.col("id"))
-    store.append(logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")), "events")
+    store = _filled_store(spark, d, 1)
     found = plan_search(store.logs(), LogQuery(service="view", since=DAY_3, until=DAY_20), ahead=0)
     return found.select((F.col("id") - 1).alias("id"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "message")
 
@@ -381,3 +398,46 @@ ORACLE_SQL["store_search"] = (
     f"WITH logs AS ({_LOGS}) SELECT id, \"timestamp\", message FROM logs WHERE service = 'view' AND {_TS} >= {_micros_sql(DAY_3)} "
     f"AND {_TS} < {_micros_sql(DAY_20)} ORDER BY {_TS} DESC, id DESC LIMIT 100"
 )
+
+
+def _from_store(name: str, q: AggregateQuery) -> None:
+    """Counts from the rollup that the store keeps; SQL counts the rows."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        store = _stored(spark, d)
+        counts = plan_aggregate(store.logs(), q, store.rollups())
+        return counts.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = _count_sql(q)
+
+
+_from_store("store_rollup_aligned", AggregateQuery(DAY_3, DAY_20, "5m", "service"))
+_from_store("store_rollup_1d_by_level", AggregateQuery(DAY_3, DAY_20, "1d", "level"))
+_from_store("store_rollup_partial_edges", AggregateQuery(DAY_3 + 45_000_001, DAY_20 + 15_000_001, "1h"))
+
+
+def store_search_attribute(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of one user, by the attribute's own column in the store."""
+    found = matching(_stored(spark, d).logs(), LogQuery(attributes={"user_id": "7"}))
+    return found.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "level", "message")
+
+
+QUERIES["store_search_attribute"] = store_search_attribute
+ORACLE_SQL["store_search_attribute"] = f"WITH logs AS ({_LOGS}) SELECT \"timestamp\", level, message FROM logs WHERE user_id = '7'"
+
+
+def store_after_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per day in rows and rollup, after one day was compacted and the old days were dropped."""
+    store = _filled_store(spark, d)
+    store.compact(store.days()[-1])
+    store.drop_expired(10, datetime(2024, 1, 25, 15, 30, tzinfo=timezone.utc))
+    rows = store.logs().groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+    sums = store.rollups().groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("count").alias("counted"))
+    return rows.join(sums, "day")
+
+
+QUERIES["store_after_retention"] = store_after_retention
+ORACLE_SQL["store_after_retention"] = (
+    f"SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS rows, count(*)::BIGINT AS counted FROM events WHERE ts::DATE >= DATE '{_CUT}' GROUP BY 1"
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import threading
@@ -10,25 +11,31 @@ from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
-from bucketwise.metrics import Metrics
+from bucketwise.metrics import GAUGES, Metrics
 from bucketwise.operators.aggregate import aggregate
 from bucketwise.operators.search import search
+from bucketwise.operators.validate import open_envelope
 from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.store import LogStore, retention_days
-from bucketwise.streaming.ingest import IngestResult, ingest_batch
+from bucketwise.streaming.batcher import BatchConfig, Batcher, retained_bytes
+from bucketwise.streaming.ingest import OVERLOADED, IngestResult, ingest_requests
 from bucketwise.streaming.tail import EventStream, LiveTail
 
 log = logging.getLogger(__name__)
 
 
 class Engine:
-    """Methods answer ``(status, body)`` as an HTTP interface would."""
+    """Methods answer ``(status, body)`` as an HTTP interface would.
 
-    def __init__(self, spark: SparkSession, base: str):
+    Requests that come at once are coalesced: they are validated and committed
+    as one batch, within limits on the requests, entries and bytes in flight."""
+
+    def __init__(self, spark: SparkSession, base: str, batching: BatchConfig | None = None):
         self.spark = spark
         self.store = LogStore(spark, base)
         self.tail = LiveTail()
         self.metrics = Metrics()
+        self.batcher = Batcher(self._write, batching or BatchConfig.from_environment(), self._in_flight)
         self.ready = False
 
     def prepare(self, now: datetime | None = None, env: Mapping[str, str] = os.environ) -> list[str]:
@@ -55,17 +62,40 @@ class Engine:
         thread.join(seconds)
         return answer == [1]
 
-    def ingest(self, body: object, now: datetime | None = None) -> IngestResult:
+    def ingest(self, body: object, now: datetime | None = None, size: int | None = None) -> IngestResult:
+        """``size``: bytes of the request's body, if known.  May be called from
+        many threads; returns when the request's batch is committed."""
         self.metrics.add("ingestion_requests_total")
-        with self.metrics.timed("ingestion_db_write_duration_seconds"):
-            result = ingest_batch(self.store, body, now, self.tail.publish)
+        envelope = open_envelope(body)
+        if envelope.error:
+            return IngestResult(400, error=envelope.error)
+        if size is None:
+            size = len(json.dumps(body, ensure_ascii=False).encode("utf-8", "surrogatepass"))
+        pending = self.batcher.offer(envelope.logs, retained_bytes(size), now)
+        if pending is None:
+            return IngestResult(503, error=OVERLOADED, retry_after=1)
+        result = pending.result()
         self.metrics.add("logs_rejected_total", len(result.rejected))
-        if result.accepted:
-            self.metrics.add("logs_accepted_total", result.accepted)
-            self.metrics.add("ingestion_db_writes_total")
-            self.metrics.add("ingestion_db_write_logs_total", result.accepted)
+        self.metrics.add("logs_accepted_total", result.accepted)
         return result
 
+    def _write(self, requests: list) -> list[IngestResult]:
+        with self.metrics.timed("ingestion_db_write_duration_seconds"):
+            results = ingest_requests(self.store, requests, self.tail.publish)
+        accepted = sum(r.accepted for r in results)
+        if accepted:
+            self.metrics.add("ingestion_db_writes_total")
+            self.metrics.add("ingestion_db_write_logs_total", accepted)
+        return results
+
+    def _in_flight(self, requests: int, logs: int, size: int) -> None:
+        for name, value in zip(GAUGES, (requests, logs, size)):
+            self.metrics.set(name, value)
+
+    def close(self) -> None:
+        """Take no more requests and commit those that are waiting."""
+        self.batcher.close()
+
     def search(self, params: Mapping[str, object]) -> tuple[int, dict]:
         self.metrics.add("query_requests_total")
         with self.metrics.timed("query_duration_seconds"):

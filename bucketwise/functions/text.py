@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that entries are trimmed of (fixed values: ECMAScript's set).
-SPACE = r"[\t\n\x0B\f\r  ﻿  -     　]"
+SPACE = "\t\n\x0b\f\r\u0020\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def like_escaped(text: str) -> str:
@@ -58,7 +58,8 @@ def number_text_column(value: Column) -> Column:
     return (
         F.when(value == 0, F.lit("0"))
         .when(plain.contains("E"), F.coalesce(wide, plain))
-        .otherwise(F.regexp_replace(plain, r"\.0$", ""))
+        .when(plain.endswith(".0"), F.substring(plain, F.lit(1), F.length(plain) - 2))
+        .otherwise(plain)
     )
 
 

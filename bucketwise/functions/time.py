@@ -37,12 +37,9 @@ def parse_instant(text: str) -> int:
 
 def instant_column(text: Column) -> Column:
     """The same for a column: a timestamp, or null where it is not one."""
-    parts = [F.regexp_extract(text, ISO_8601, i) for i in range(1, 6)]
-    day, minute, second, fraction, zone = parts
-    second = F.when(second == "", F.lit("00")).otherwise(second)
-    fraction = F.substring(F.concat(fraction, F.lit("000000")), 1, 6)
-    plain = F.concat(day, F.lit("T"), minute, F.lit(":"), second, F.lit("."), fraction, zone)
-    return F.when(text.rlike(ISO_8601), F.try_to_timestamp(plain))
+    whole = F.regexp_replace(text, r"T(\d\d:\d\d)([Z+-])", "T$1:00$2")  # only where seconds are missing
+    parsed = F.coalesce(text.try_cast("timestamp"), whole.try_cast("timestamp"))
+    return F.when(text.rlike(ISO_8601), parsed)
 
 
 def iso_millis(micros: int) -> str:

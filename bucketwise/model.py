@@ -33,5 +33,13 @@ ROLLUP = T.StructType(
 REJECTED = T.StructType(
     [T.StructField("batch_id", T.StringType()), T.StructField("index", T.LongType()), T.StructField("reason", T.StringType())]
 )
+#: Attributes with a column of their own in a store, unless it says otherwise.
+PROMOTED = ("user_id",)
+
+
+def promoted_column(name: str) -> str:
+    return f"attribute_{name}"
+
+
 #: What a search returns of a row.
 SEARCH_COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")

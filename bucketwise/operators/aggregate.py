@@ -18,7 +18,7 @@ def raw_counts(logs: DataFrame, query: AggregateQuery) -> DataFrame:
         [
             *in_range(logs, "timestamp", query.since, query.until),
             *equals(query.service, query.level),
-            *has_attributes(query.attributes),
+            *has_attributes(logs, query.attributes),
             *mentions(query.q),
         ],
     )

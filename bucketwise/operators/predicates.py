@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bucketwise.functions.text import contains_text
 from bucketwise.functions.time import instant, utc_day
+from bucketwise.model import promoted_column
 from bucketwise.plans.cursor import Cursor
 
 
@@ -45,9 +46,15 @@ def equals(service: str | None, level: str | None) -> list[Column]:
     return [F.col(name) == F.lit(value) for name, value in (("service", service), ("level", level)) if value is not None]
 
 
-def has_attributes(attributes: Mapping[str, str]) -> list[Column]:
-    """Values compared as text; a missing key fits nothing."""
-    return [F.col("attributes_text")[F.lit(key)] == F.lit(value) for key, value in attributes.items()]
+def has_attributes(df: DataFrame, attributes: Mapping[str, str]) -> list[Column]:
+    """Values compared as text; a missing key fits nothing.  An attribute with a
+    column of its own is looked up there, so that the scan can skip row groups."""
+
+    def value(key: str) -> Column:
+        own = promoted_column(key)
+        return F.col(own) if own in df.columns else F.col("attributes_text")[F.lit(key)]
+
+    return [value(key) == F.lit(wanted) for key, wanted in attributes.items()]
 
 
 def mentions(q: str | None) -> list[Column]:

@@ -20,7 +20,7 @@ def matching(logs: DataFrame, query: LogQuery) -> DataFrame:
     conditions = [
         *equals(query.service, query.level),
         *in_range(logs, "timestamp", query.since, query.until),
-        *has_attributes(query.attributes),
+        *has_attributes(logs, query.attributes),
         *mentions(query.q),
     ]
     if query.cursor is not None:

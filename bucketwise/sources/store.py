@@ -1,14 +1,21 @@
 """A log store of Parquet batches under manifests.
 
 A batch writes its rows (``logs/batch=.../day=...``) and its minute rollup
-(``rollups/batch=.../day=...``) first; one manifest, renamed into place, then
-makes both visible at once.  Files without a manifest do not exist for readers,
-so a failed batch leaves nothing behind that counts, and repeating a batch of
-the same name changes nothing.  Rollups are additive deltas, summed on reading;
-compaction rewrites days and swaps them in by a manifest that replaces others.
+(``rollups/batch=.../day=...``) first, in a folder of its own; one manifest,
+which exactly one writer can create, then makes both visible at once.  Files
+without a manifest do not exist for readers, so a failed batch leaves nothing
+behind that counts, and repeating a batch of the same name changes nothing.
+Rollups are additive deltas, summed on reading; compaction rewrites days and
+swaps them in by a manifest that replaces others.
+
+Manifests are numbered without gaps.  Every ``CHECKPOINT_EVERY`` of them are
+summed up in a checkpoint, and those that it covers are deleted in time, so a
+reader opens one checkpoint and a bounded number of manifests.
 
 Layout: days are partitions; inside a file rows are sorted by service and time,
-so row-group statistics serve both service and time filters.
+so row-group statistics serve both service and time filters.  Attributes named
+in ``promoted`` also stand in a column of their own, with a Bloom filter for
+each row group, so that a search for a value reads few row groups.
 """
 
 from __future__ import annotations
@@ -16,44 +23,102 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bucketwise.model import LOG, ROLLUP
+from bucketwise.model import LOG, PROMOTED, ROLLUP, promoted_column
 from bucketwise.operators.rollup import build_rollup, merge_rollups
 from bucketwise.sources.files import Files
 
 _DAY = T.StructField("day", T.DateType())
 _NAME = re.compile(r"[A-Za-z0-9_.-]+")
+_NUMBERED = re.compile(r"(.+)-(\d+)")
 TABLES = ("logs", "rollups")
 #: Rows of a file that compaction writes, about.
 FILE_ROWS = 5_000_000
+CHECKPOINT_EVERY = 32
+#: How often a writer tries again when others commit before it.
+ATTEMPTS = 20
 
 
 @dataclass(frozen=True)
 class Manifest:
     batch: str
+    folder: str = ""
     rows: int = 0
-    first_id: int = 0
     next_id: int = 1
     days: list[str] = field(default_factory=list)
     replaces: dict[str, list[str]] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
     tables: list[str] = field(default_factory=lambda: list(TABLES))
+    named: bool = False
     order: int = 0
 
 
+@dataclass
+class State:
+    """What the manifests up to ``order`` add up to."""
+
+    order: int = -1
+    next_id: int = 1
+    #: Table -> folder -> days that readers see.
+    live: dict[str, dict[str, list[str]]] = field(default_factory=lambda: {t: {} for t in TABLES})
+    #: Names of committed batches; of ``name-7`` and the like, ranges of numbers.
+    names: list[str] = field(default_factory=list)
+    numbers: dict[str, list[list[int]]] = field(default_factory=dict)
+
+    def has(self, batch: str) -> bool:
+        m = _NUMBERED.fullmatch(batch)
+        if not m:
+            return batch in self.names
+        return any(low <= int(m[2]) <= high for low, high in self.numbers.get(m[1], []))
+
+    def add(self, m: Manifest) -> None:
+        self.order, self.next_id = m.order, max(self.next_id, m.next_id)
+        for table in m.tables:
+            folders = self.live[table]
+            for days in folders.values():
+                days[:] = [d for d in days if d not in m.dropped]
+            for folder, gone in m.replaces.items():
+                if folder in folders:
+                    folders[folder] = [d for d in folders[folder] if d not in gone]
+            if m.days:
+                folders[m.folder] = sorted({*folders.get(m.folder, []), *m.days})
+            self.live[table] = {f: d for f, d in folders.items() if d}
+        if m.named:
+            number = _NUMBERED.fullmatch(m.batch)
+            if not number:
+                self.names.append(m.batch)
+                return
+            ranges = sorted([*self.numbers.get(number[1], []), [int(number[2])] * 2])
+            merged = ranges[:1]
+            for low, high in ranges[1:]:
+                if low <= merged[-1][1] + 1:
+                    merged[-1] = [merged[-1][0], max(high, merged[-1][1])]
+                else:
+                    merged.append([low, high])
+            self.numbers[number[1]] = merged
+
+
 class LogStore:
-    """Batches of validated rows and their rollups under ``base``; one writer at a time."""
+    """Batches of validated rows and their rollups under ``base``.  Several
+    writers may work at once: who loses a number tries again with the next."""
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, promoted: tuple[str, ...] = PROMOTED):
         self.spark, self.base = spark, base.rstrip("/")
         self.files = Files(spark, self.base)
-        self.files.make(f"{self.base}/manifests")
+        self._known = State()
+        for folder in ("manifests", "checkpoints"):
+            self.files.make(f"{self.base}/{folder}")
+        # fixed when the store is made, so that every file has the columns
+        self.files.write(f"{self.base}/promoted.json", json.dumps(list(promoted)))
+        self.promoted = tuple(json.loads(self.files.read(f"{self.base}/promoted.json")))
 
     # -- writing ---------------------------------------------------------------
 
@@ -61,56 +126,102 @@ class LogStore:
         """Commit rows (with ``position``: their order in the batch) as one batch.
 
         A batch of that name that is already committed is left as it is."""
+        named = batch is not None
         batch = batch or uuid.uuid4().hex
         if not _NAME.fullmatch(batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        known = self.manifests()
-        for m in known:
-            if m.batch == batch:
-                return m
-        first = max((m.next_id for m in known), default=1)
-        named = rows.withColumn("id", F.lit(first) + F.col("position")).withColumn("day", F.to_date("timestamp"))
-        self._write(named.select(*LOG.fieldNames(), "day"), "logs", batch)
-        # the delta is counted from what was written, not from a second run of the source
-        written = self._read("logs", LOG, [batch])
-        if written is None:
-            return self._commit(Manifest(batch, 0, first, first, [], order=len(known)))
-        self._write(build_rollup(written).withColumn("day", F.to_date("bucket_start")), "rollups", batch)
-        sums = written.agg(F.count("*").alias("n"), F.max("id").alias("top"), F.collect_set("day").alias("days")).first()
-        return self._commit(
-            Manifest(batch, sums.n, first, (sums.top or first - 1) + 1, sorted(map(str, sums.days)), order=len(known))
-        )
-
-    def _write(self, df: DataFrame, table: str, batch: str) -> None:
+        for _ in range(ATTEMPTS):
+            state = self.state()
+            if named and state.has(batch):
+                return Manifest(batch, order=-1)
+            folder, first = f"{batch}.{uuid.uuid4().hex[:12]}", state.next_id
+            placed = rows.withColumn("id", F.lit(first) + F.col("position")).withColumn("day", F.to_date("timestamp"))
+            self._write(placed.select(*LOG.fieldNames(), "day"), "logs", folder)
+            # the delta is counted from what was written, not from a second run of the source
+            written = self._read("logs", LOG, [folder])
+            total, days, next_id = 0, [], first
+            if written is not None:
+                self._write(build_rollup(written).withColumn("day", F.to_date("bucket_start")), "rollups", folder)
+                counts = self._read("rollups", ROLLUP, [folder]).agg(F.sum("count").alias("n"), F.collect_set("day").alias("days")).first()
+                total, days = counts.n, sorted(map(str, counts.days))
+                next_id = written.agg(F.max("id")).first()[0] + 1
+            done = self._commit(Manifest(batch, folder, total, next_id, days, named=named, order=state.order + 1))
+            if done:
+                return done
+            for table in TABLES:  # ids and number went to another writer
+                self.files.delete(f"{self.base}/{table}/batch={folder}")
+        raise RuntimeError(f"batch {batch}: other writers were first {ATTEMPTS} times")
+
+    def _write(self, df: DataFrame, table: str, folder: str) -> None:
+        """Rows by day, a day in as few files as their size asks for."""
         keys = ["day", "service", "timestamp"] if table == "logs" else ["day", "service", "bucket_start"]
-        df.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("day").parquet(f"{self.base}/{table}/batch={batch}")
-
-    def _commit(self, manifest: Manifest) -> Manifest:
-        name = f"{self.base}/manifests/{manifest.order:012d}-{manifest.batch}.json"
-        if not self.files.write(name, json.dumps(manifest.__dict__)):
-            raise RuntimeError(f"manifest {name} exists")
+        df = df.hint("rebalance", "day")
+        if table == "logs":
+            for name in self.promoted:
+                df = df.withColumn(promoted_column(name), F.col("attributes_text")[name])
+        writer = df.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("day")
+        if table == "logs":
+            for name in self.promoted:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{promoted_column(name)}", "true")
+        writer.parquet(f"{self.base}/{table}/batch={folder}")
+
+    def _commit(self, manifest: Manifest) -> Manifest | None:
+        """Claim the manifest's number; None if another writer has it."""
+        if not self.files.write(f"{self.base}/manifests/{manifest.order:012d}.json", json.dumps(manifest.__dict__)):
+            return None
+        if (manifest.order + 1) % CHECKPOINT_EVERY == 0:
+            self._checkpoint()
         return manifest
 
+    def _commit_when(self, make: Callable[[State], Manifest | None]) -> Manifest | None:
+        """Commit what ``make`` says of the newest state, until the number is won."""
+        for _ in range(ATTEMPTS):
+            manifest = make(self.state())
+            if manifest is None:
+                return None
+            if done := self._commit(manifest):
+                return done
+        raise RuntimeError(f"other writers were first {ATTEMPTS} times")
+
+    def _checkpoint(self) -> None:
+        state = self.state()
+        self.files.write(f"{self.base}/checkpoints/{state.order:012d}.json", json.dumps(state.__dict__))
+        for folder, keep in (("manifests", state.order - CHECKPOINT_EVERY), ("checkpoints", state.order - 2 * CHECKPOINT_EVERY)):
+            for order in self._numbers(folder):
+                if order <= keep:  # slow readers still find the last ones
+                    self.files.delete(f"{self.base}/{folder}/{order:012d}.json")
+
     # -- reading ---------------------------------------------------------------
 
+    def _numbers(self, folder: str) -> list[int]:
+        return [int(n[:12]) for n in self.files.list(f"{self.base}/{folder}") if re.fullmatch(r"\d{12}\.json", n)]
+
     def manifests(self) -> list[Manifest]:
+        """Those that no clean-up has deleted."""
         folder = f"{self.base}/manifests"
-        names = [n for n in self.files.list(folder) if n.endswith(".json")]
-        return [Manifest(**json.loads(self.files.read(f"{folder}/{n}"))) for n in names]
+        return [Manifest(**json.loads(self.files.read(f"{folder}/{n:012d}.json"))) for n in self._numbers(folder.rsplit("/", 1)[1])]
+
+    def state(self) -> State:
+        """The newest state; manifests that this store has read are not read again."""
+        for attempt in range(ATTEMPTS):
+            try:
+                state = State(**json.loads(json.dumps(self._known.__dict__)))
+                newest = max(self._numbers("checkpoints"), default=-1)
+                if newest > state.order:
+                    state = State(**json.loads(self.files.read(f"{self.base}/checkpoints/{newest:012d}.json")))
+                for order in self._numbers("manifests"):
+                    if order == state.order + 1:
+                        state.add(Manifest(**json.loads(self.files.read(f"{self.base}/manifests/{order:012d}.json"))))
+                self._known = state
+                return State(**json.loads(json.dumps(state.__dict__)))
+            except Py4JJavaError:
+                if attempt + 1 == ATTEMPTS:  # not just a file that went meanwhile
+                    raise
+        raise AssertionError
 
     def visible(self, table: str = "logs") -> dict[str, set[str]]:
-        """Days of each batch that readers of a table see."""
-        live: dict[str, set[str]] = {}
-        for m in self.manifests():
-            if table not in m.tables:
-                continue
-            for day in m.dropped:
-                for days in live.values():
-                    days.discard(day)
-            for batch, days in m.replaces.items():
-                live.get(batch, set()).difference_update(days)
-            live.setdefault(m.batch, set()).update(m.days)
-        return {b: d for b, d in live.items() if d}
+        """Days of each batch's folder that readers of a table see."""
+        return {folder: set(days) for folder, days in self.state().live[table].items()}
 
     def _read(self, table: str, schema: T.StructType, batches: list[str]) -> DataFrame | None:
         paths = [f"{self.base}/{table}/batch={b}" for b in batches]
@@ -128,7 +239,8 @@ class LogStore:
         return self.spark.read.schema(full).option("basePath", f"{self.base}/{table}").parquet(*paths).select(*full.fieldNames())
 
     def logs(self) -> DataFrame:
-        return self._table("logs", LOG)
+        own = [T.StructField(promoted_column(name), T.StringType()) for name in self.promoted]
+        return self._table("logs", T.StructType([*LOG.fields, *own]))
 
     def rollups(self) -> DataFrame:
         """Deltas as they were written; every consumer sums them."""
@@ -139,55 +251,89 @@ class LogStore:
 
     # -- lifecycle ---------------------------------------------------------------
 
-    def _replace(self, kind: str, day: str, tables: list[str], frames: dict[str, DataFrame]) -> Manifest:
-        """Write a day's tables anew and swap them in by one manifest."""
-        batch = f"{kind}-{day}-{uuid.uuid4().hex[:8]}"
-        old = {b for t in tables for b, days in self.visible(t).items() if day in days}
-        for table, frame in frames.items():
-            self._write(frame, table, batch)
-        known = self.manifests()
-        top = max((m.next_id for m in known), default=1)
-        return self._commit(
-            Manifest(batch, 0, 0, top, [day], {b: [day] for b in sorted(old)}, tables=tables, order=len(known))
-        )
-
-    def compact(self, day: str, file_rows: int = FILE_ROWS) -> Manifest:
+    def _replace(self, kind: str, day: str, tables: list[str], frames: Callable[[], dict[str, DataFrame]]) -> Manifest | None:
+        """Write a day's tables anew and swap them in by one manifest; None if
+        another writer replaced or dropped the day meanwhile."""
+        folder = f"{kind}-{day}-{uuid.uuid4().hex[:12]}"
+        before = self.state()
+        old = {t: sorted(f for f, days in before.live[t].items() if day in days) for t in tables}
+        for table, frame in frames().items():
+            self._write(frame, table, folder)
+
+        def swap(state: State) -> Manifest | None:
+            if any(day not in state.live[t].get(f, []) for t in tables for f in old[t]):
+                return None
+            every = sorted({f for fs in old.values() for f in fs})
+            return Manifest(folder, folder, 0, 1, [day], {f: [day] for f in every}, tables=tables, order=state.order + 1)
+
+        done = self._commit_when(swap)
+        if done is None:
+            for table in tables:
+                self.files.delete(f"{self.base}/{table}/batch={folder}")
+        return done
+
+    def compact(self, day: str, file_rows: int = FILE_ROWS) -> Manifest | None:
         """Rewrite one day's batches as one, in few files with disjoint ranges
         of service and time, and one row per rollup key."""
-        at = F.lit(day).cast("date")
-        logs, rollups = self.logs().where(F.col("day") == at), self.rollups().where(F.col("day") == at)
-        files = max(1, -(-logs.count() // file_rows))
-        return self._replace(
-            "compact",
-            day,
-            list(TABLES),
-            {
+
+        def frames() -> dict[str, DataFrame]:
+            at = F.lit(day).cast("date")
+            logs, rollups = self.logs().where(F.col("day") == at), self.rollups().where(F.col("day") == at)
+            files = max(1, -(-logs.count() // file_rows))
+            return {
                 "logs": logs.repartitionByRange(files, "service", "timestamp"),
                 "rollups": merge_rollups(rollups).select(*ROLLUP.fieldNames(), "day").repartitionByRange(files, "service", "bucket_start"),
-            },
-        )
+            }
+
+        return self._replace("compact", day, list(TABLES), frames)
 
-    def rebuild_rollups(self, day: str) -> Manifest:
+    def rebuild_rollups(self, day: str) -> Manifest | None:
         """Write one day's rollup anew from its rows, as the backfill does."""
-        logs = self.logs().where(F.col("day") == F.lit(day).cast("date"))
-        fresh = build_rollup(logs).withColumn("day", F.to_date("bucket_start"))
-        return self._replace("rebuild", day, ["rollups"], {"rollups": fresh})
+
+        def frames() -> dict[str, DataFrame]:
+            logs = self.logs().where(F.col("day") == F.lit(day).cast("date"))
+            return {"rollups": build_rollup(logs).withColumn("day", F.to_date("bucket_start"))}
+
+        return self._replace("rebuild", day, ["rollups"], frames)
 
     def drop_expired(self, days: int, now: datetime) -> list[str]:
         """Drop the days before the cutoff from rows and rollups at once; the
-        cutoff day stays.  The manifest comes first, then the files go."""
+        cutoff day stays.  The manifest comes first, then the files go: those
+        of every batch, also of batches that compaction has replaced and of
+        failed ones."""
         cutoff = retention_cutoff(days, now)
-        gone = [d for d in self.days() if date.fromisoformat(d) < cutoff]
-        if gone:
-            live, known = {b for t in TABLES for b in self.visible(t)}, self.manifests()
-            top = max((m.next_id for m in known), default=1)
-            self._commit(Manifest(f"drop-{uuid.uuid4().hex[:8]}", 0, 0, top, dropped=gone, order=len(known)))
-            for batch in live:
-                for day in gone:
-                    for table in ("logs", "rollups"):
-                        self.files.delete(f"{self.base}/{table}/batch={batch}/day={day}")
+        expired = lambda found: sorted(d for d in set(found) if date.fromisoformat(d) < cutoff)
+
+        def drop(state: State) -> Manifest | None:
+            gone = expired(d for t in TABLES for days in state.live[t].values() for d in days)
+            return Manifest(f"drop-{uuid.uuid4().hex[:8]}", dropped=gone, order=state.order + 1) if gone else None
+
+        done = self._commit_when(drop)
+        for table, folder, day in self._stored():
+            if date.fromisoformat(day) < cutoff:
+                self.files.delete(f"{self.base}/{table}/{folder}/day={day}")
+        return done.dropped if done else []
+
+    def vacuum(self, now: datetime, hours: float = 24.0) -> int:
+        """Delete the files of days that no reader sees and that are older than
+        ``hours`` (so that neither slow readers nor running writers need them)."""
+        live, gone = {t: self.visible(t) for t in TABLES}, 0
+        for table, folder, day in self._stored():
+            path = f"{self.base}/{table}/{folder}/day={day}"
+            seen = day in live[table].get(folder.removeprefix("batch="), set())
+            if not seen and self.files.modified(path) < now.timestamp() - hours * 3600:
+                self.files.delete(path)
+                gone += 1
         return gone
 
+    def _stored(self) -> Iterator[tuple[str, str, str]]:
+        """(table, folder, day) of all that is on disk."""
+        for table in TABLES:
+            for folder in self.files.list(f"{self.base}/{table}"):
+                for name in self.files.list(f"{self.base}/{table}/{folder}"):
+                    if name.startswith("day="):
+                        yield table, folder, name[4:]
+
 
 def retention_cutoff(days: int, now: datetime) -> date:
     """The first day that is kept: the UTC day of ``now`` less ``days``."""

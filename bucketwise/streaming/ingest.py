@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +16,51 @@ from bucketwise.operators.validate import open_envelope, split, validated
 from bucketwise.sources.store import LogStore
 
 
+OVERLOADED = "ingestion overloaded"
+_ENTRIES = "request long, index long, raw string, received timestamp, position long"
+
+
 @dataclass
 class IngestResult:
-    """What the API answers: 200 if any entry was accepted, else 400."""
+    """What the API answers: 200 if any entry was accepted, 400 if none, 503
+    (with a header Retry-After) if the request was not admitted."""
 
     status: int
     accepted: int = 0
     rejected: list[dict] = field(default_factory=list)
     error: str | None = None
+    retry_after: int | None = None
 
     def body(self) -> dict:
         return {"error": self.error} if self.error else {"accepted": self.accepted, "rejected": self.rejected}
 
 
-def entries_frame(spark: SparkSession, entries: list) -> DataFrame:
-    """(position, raw): entries of a request as JSON text."""
-    rows = [(i, json.dumps(e, ensure_ascii=False)) for i, e in enumerate(entries)]
-    return spark.createDataFrame(rows, "position long, raw string")
+def ingest_requests(
+    store: LogStore, requests: list[tuple[list, datetime | None]], publish: Callable[[list[dict]], None] | None = None
+) -> list[IngestResult]:
+    """Validate the entries of several requests, each with the time that it came
+    (by default now), commit what is valid as one batch, then tell the tail."""
+    now = datetime.now(timezone.utc)
+    rows = [
+        (k, i, json.dumps(entry, ensure_ascii=False), at or now) for k, (logs, at) in enumerate(requests) for i, entry in enumerate(logs)
+    ]
+    # requests are bounded by the batch's limit; one run over them serves all
+    frame = store.spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], _ENTRIES)
+    judged = validated(frame, F.col("received")).persist()
+    try:
+        valid, bad = split(judged, ["request", "index", "position"])
+        rejected: list[list[dict]] = [[] for _ in requests]
+        for r in bad.orderBy("position").collect():
+            rejected[r.request].append({"index": r["index"], "reason": r.reason})
+        if sum(map(len, rejected)) < len(rows):
+            store.append(valid)
+            if publish:
+                text = valid.orderBy("position").select(F.to_json(F.struct("timestamp", "level", "service", "message")).alias("j"), "attributes")
+                publish([json.loads(r.j) | {"attributes": json.loads(r.attributes)} for r in text.collect()])
+        counts = [len(logs) - len(gone) for (logs, _), gone in zip(requests, rejected)]
+        return [IngestResult(200 if n else 400, n, gone) for n, gone in zip(counts, rejected)]
+    finally:
+        judged.unpersist()
 
 
 def ingest_batch(
@@ -42,22 +70,22 @@ def ingest_batch(
     envelope = open_envelope(body)
     if envelope.error:
         return IngestResult(400, error=envelope.error)
-    at = None if now is None else F.lit(now.isoformat()).cast("timestamp")
-    # a request is small and bounded by its body limit; one run over it serves all
-    judged = validated(entries_frame(store.spark, envelope.logs), at).persist()
-    try:
-        valid, bad = split(judged, ["position"])
-        rejected = [{"index": r.position, "reason": r.reason} for r in bad.orderBy("position").collect()]
-        accepted = len(envelope.logs) - len(rejected)
-        if not accepted:
-            return IngestResult(400, 0, rejected)
-        store.append(valid)
-        if publish:
-            rows = valid.orderBy("position").select(F.to_json(F.struct("timestamp", "level", "service", "message")).alias("j"), "attributes")
-            publish([json.loads(r.j) | {"attributes": json.loads(r.attributes)} for r in rows.collect()])
-        return IngestResult(200, accepted, rejected)
-    finally:
-        judged.unpersist()
+    return ingest_requests(store, [(envelope.logs, now)], publish)[0]
+
+
+def numbered(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``lines`` persisted as (raw, place), and the same with ``position``: dense
+    numbers from 0, by the rows of each partition (one number of each partition
+    reaches the driver)."""
+    held = lines.select(F.col(value).alias("raw"), F.monotonically_increasing_id().alias("place")).persist()
+    part, inside = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = held.groupBy(part.alias("part")).agg(F.max(inside).alias("last")).collect()
+    starts, total = [], 0
+    for r in sorted(counts, key=lambda r: r.part):
+        starts += [F.lit(r.part), F.lit(total)]
+        total += r.last + 1
+    before = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
+    return held, held.select("raw", (before + inside).cast("long").alias("position"))
 
 
 def ingest_stream(
@@ -78,8 +106,8 @@ def ingest_stream(
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        judged = validated(batch.select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("position")))
-        judged = judged.persist()
+        held, placed = numbered(batch)
+        judged = validated(placed).persist()
         try:
             valid, bad = split(judged, ["position"])
             store.append(valid, f"{name}-{number}")
@@ -90,6 +118,7 @@ def ingest_stream(
                 publish(valid)
         finally:
             judged.unpersist()
+            held.unpersist()
 
     writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).queryName(name)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -1,6 +1,10 @@
 """The engine end to end on hand-made rows."""
 
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,11 +14,14 @@ from bucketwise.functions.text import number_text, number_text_column
 from bucketwise.functions.time import bucket_start, parse_instant
 from bucketwise.operators.aggregate import aggregate, raw_counts
 from bucketwise.operators.rollup import build_rollup, rollup_counts
-from bucketwise.operators.search import pages, search
+from bucketwise.operators.search import matching, pages, search
 from bucketwise.operators.validate import open_envelope
 from bucketwise.plans.query import AggregateQuery, LogQuery
-from bucketwise.sources.store import LogStore, retention_cutoff, retention_days
-from bucketwise.streaming.ingest import ingest_batch, ingest_stream
+from bucketwise.sources import store as store_module
+from bucketwise.sources.files import shared_folder
+from bucketwise.sources.store import LogStore, Manifest, retention_cutoff, retention_days
+from bucketwise.streaming.batcher import BatchConfig
+from bucketwise.streaming.ingest import ingest_batch, ingest_stream, numbered
 
 NOW = datetime(2026, 8, 12, 10, 0, tzinfo=timezone.utc)
 
@@ -235,6 +242,101 @@ def test_store_lifecycle(store):
     assert {str(r.day) for r in store.rollups().select("day").collect()} == {"2020-07-14", "2020-07-15"}
 
 
+def test_expired_rows_leave_no_file(store, tmp_path):
+    logs = [entry(f"2020-07-{d}T10:15:00Z") for d in (12, 20)]
+    ingest_batch(store, {"logs": logs}, NOW)
+    ingest_batch(store, {"logs": logs[:1]}, NOW)
+    store.compact("2020-07-12")
+    store.rebuild_rollups("2020-07-12")
+    assert len(list(tmp_path.rglob("day=2020-07-12"))) > 4
+    assert store.drop_expired(7, datetime(2020, 7, 21, tzinfo=timezone.utc)) == ["2020-07-12"]
+    assert not list(tmp_path.rglob("day=2020-07-12")) and store.days() == ["2020-07-20"]
+    ingest_batch(store, {"logs": logs[1:]}, NOW)
+    store.compact("2020-07-20")
+    before, count = len(list(tmp_path.rglob("day=2020-07-20"))), store.logs().count()
+    assert store.vacuum(datetime.now(timezone.utc)) == 0
+    assert store.vacuum(datetime.now(timezone.utc) + timedelta(days=2)) == before - 2 and store.logs().count() == count
+
+
+def test_two_writers(spark, store):
+    other = LogStore(spark, store.base)
+    state = store.state()
+    first = store._commit(Manifest("a", order=state.order + 1))
+    assert first and other._commit(Manifest("b", order=state.order + 1)) is None
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(lambda s: ingest_batch(s, {"logs": [entry(), entry()]}, NOW).status, [store, other, store, other]))
+    assert results == [200] * 4
+    assert [m.order for m in other.manifests()] == list(range(5))
+    ids = [r.id for r in store.logs().collect()]
+    assert len(set(ids)) == 8 and store.rollups().groupBy().sum("count").first()[0] == 8
+    # a swap whose day was swapped meanwhile is given up
+    day = store.days()[0]
+    frames = lambda: (other.compact(day), {"logs": store.logs(), "rollups": store.rollups()})[1]
+    assert store._replace("late", day, ["logs", "rollups"], frames) is None
+    assert sorted(r.id for r in other.logs().collect()) == sorted(ids)
+
+
+def test_manifest_checkpoints(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "CHECKPOINT_EVERY", 3)
+    rows = spark.createDataFrame([(0, NOW, "info", "s", "m", "{}", {})], "position long, timestamp timestamp, level string, service string, message string, attributes string, attributes_text map<string,string>")
+    for k in [*range(6), 8, *range(6)]:
+        store.append(rows, f"stream-{k}")
+    assert store.state().numbers == {"stream": [[0, 5], [8, 8]]}
+    fresh = LogStore(spark, store.base)
+    assert fresh.state() == store.state() and fresh.logs().count() == 7
+    assert len(fresh.manifests()) < 7  # those that checkpoints cover go
+    assert fresh.append(rows, "stream-8").order == -1 and fresh.append(rows, "stream-7").order == 7
+
+
+def test_attribute_columns(spark, store):
+    ingest_batch(store, {"logs": [entry(attributes={"user_id": 7}), entry(attributes={"user_id": "8", "x": 1}), entry()]}, NOW)
+    found = matching(store.logs(), LogQuery(attributes={"user_id": "7"}))
+    assert found.count() == 1 and "EqualTo(attribute_user_id,7)" in found._jdf.queryExecution().toString()
+    assert LogStore(spark, store.base, promoted=()).promoted == ("user_id",)
+
+
+def test_dense_numbers(spark):
+    lines = spark.createDataFrame([(str(i),) for i in range(50)], "value string").repartition(7).where("value % 3 > 0")
+    held, placed = numbered(lines)
+    rows = placed.collect()
+    assert sorted(r.position for r in rows) == list(range(len(rows))) and len(rows) == 33
+    held.unpersist()
+    assert numbered(lines.limit(0))[1].collect() == []
+
+
+def test_requests_coalesce_and_overload(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/engine", BatchConfig(max_logs=7, batch_size=100, delay_ms=300))
+    gate = threading.Event()
+    write = engine.batcher.write
+    engine.batcher.write = lambda requests: (gate.wait(20), write(requests))[1]
+    with ThreadPoolExecutor(3) as pool:
+        good = pool.submit(engine.ingest, {"logs": [entry()] * 2}, NOW)
+        mixed = pool.submit(engine.ingest, {"logs": [entry(level="x"), entry(), entry(), entry()]}, NOW)
+        while engine.metrics.gauges["ingestion_in_flight_logs"] < 6:
+            time.sleep(0.01)
+        refused = engine.ingest({"logs": [entry()] * 2}, NOW)
+        assert (refused.status, refused.body(), refused.retry_after) == (503, {"error": "ingestion overloaded"}, 1)
+        gate.set()
+        assert good.result(60).body() == {"accepted": 2, "rejected": []}
+        assert mixed.result(60).accepted == 3 and [r["index"] for r in mixed.result().rejected] == [0]
+    engine.close()
+    assert engine.ingest({"logs": [entry()]}, NOW).status == 503
+    assert engine.store.logs().count() == 5
+    text = engine.metrics.render()
+    assert "ingestion_in_flight_requests 0" in text and "logs_accepted_total 5" in text and "logs_rejected_total 1" in text
+
+
+def test_shared_folder():
+    fake = lambda master, folder: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, applicationId="x")
+    )
+    assert shared_folder(fake("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    assert shared_folder(fake("local[2]", None)).startswith("file://")
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(fake(master, None))
+
+
 def test_uncommitted_batches_do_not_exist(store, monkeypatch):
     monkeypatch.setattr(store, "_commit", lambda m: (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError):

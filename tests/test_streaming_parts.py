@@ -13,9 +13,10 @@ from bucketwise.streaming.tail import EventStream, LiveTail
 def test_requests_coalesce_and_are_never_split():
     batches, gate = [], threading.Event()
 
-    def write(logs):
+    def write(requests):
         gate.wait(5)
-        batches.append(logs)
+        batches.append([x for logs, _ in requests for x in logs])
+        return [len(logs) for logs, _ in requests]
 
     b = Batcher(write, BatchConfig(batch_size=4, delay_ms=5))
     first = b.offer([0], 1)
@@ -31,7 +32,9 @@ def test_requests_coalesce_and_are_never_split():
 
 def test_admission_limits():
     gate = threading.Event()
-    b = Batcher(lambda logs: gate.wait(5), BatchConfig(max_requests=2, max_logs=5, max_bytes=100, delay_ms=0))
+    seen = []
+    write = lambda requests: [gate.wait(5) for _ in requests]
+    b = Batcher(write, BatchConfig(max_requests=2, max_logs=5, max_bytes=100, delay_ms=0), lambda *x: seen.append(x))
     assert b.offer([1, 2], 60) is not None
     assert b.offer([1], 41) is None
     assert b.offer([1] * 4, 1) is None
@@ -39,15 +42,17 @@ def test_admission_limits():
     assert b.offer([1], 0) is None
     gate.set()
     b.close()
+    assert (2, 3, 100) in seen and seen[-1] == (0, 0, 0)
 
 
 def test_a_failed_batch_fails_its_requests_only():
     calls = []
 
-    def write(logs):
-        calls.append(logs)
+    def write(requests):
+        calls.append(requests)
         if len(calls) == 1:
             raise OSError("down")
+        return [len(logs) for logs, _ in requests]
 
     b = Batcher(write, BatchConfig(delay_ms=0))
     with pytest.raises(OSError):
