@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -14,45 +13,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bucketwise.sources.files import shared_folder
+
 #: A word: a run of characters that are not one of the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a local session, as in tests) is a
-    temporary folder of this machine used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="bucketwise-")
-    return _own_dirs[app]
+_scratch: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs nothing that was computed before."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
+class temporary:  # noqa: N801  a context manager
+    """Tables that are materialised inside are deleted at the end, but for those
+    handed to :meth:`keep`, which belong to the next scope outside."""
+
+    def __enter__(self) -> "temporary":
+        _scratch.append([])
+        self._made, self._kept, self._spark = _scratch[-1], set(), None
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._kept.add(df._shared_path)
+        self._spark = df.sparkSession
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        _scratch.remove(self._made)
+        spark = self._spark or SparkSession.getActiveSession()
+        for path in self._made:
+            if path not in self._kept:
+                delete(spark, path)
+            elif _scratch:
+                _scratch[-1].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def no_columns(df: DataFrame, prefix: str) -> None:
+    """Refuse a table with columns that an operator would overwrite."""
+    clash = sorted(c for c in df.columns if c.lower().startswith(prefix))
+    if clash:
+        raise ValueError(f"columns that start with {prefix} are the operator's own; rename {', '.join(clash)}")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table from :func:`materialize`."""
     path = getattr(df, "_shared_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        delete(df.sparkSession, path)
 
 
 def word_count(text: Column) -> Column:

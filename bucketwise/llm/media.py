@@ -40,8 +40,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import digest_key, digest_keys, returns_memory, shared_dir
+from bucketwise.llm.common import digest_key, digest_keys, returns_memory
 from bucketwise.llm.url_filter import BlockedBloom
+from bucketwise.sources.files import shared_folder
 
 UNIT, PAD = 576, 255
 LEAST, MOST = 1024, 16384
@@ -140,7 +141,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """Store the payload of every row; the files lie under ``path`` (by default
     a new folder in the shared one)."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
     docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     @returns_memory

@@ -1,23 +1,27 @@
-"""Near-duplicate removal: SimHash and prefix candidates, verified on five-word shingles.
-
-Fingerprints of a text's longer words (lower-cased in A-Z) propose pairs
-through the generalised pigeonhole join of :mod:`bucketwise.llm.simhash`.
-A proposed link stands if the two texts' sets of five-word shingles have a
-Jaccard similarity of ``similarity`` or more.  The fingerprints see single
-words so that texts of that similarity are a few bits apart; on the shingles
-themselves they would be ten bits apart and more.
-
-Fingerprints join most near copies cheaply; what they miss a second, exact
-search finds.  Shingles are put in one order for all texts, rare ones first.
-Of n shingles, the first n - ceil(similarity * n) + 1 are a text's prefix, and
-two texts that are similar enough share a shingle of both prefixes.  All pairs
-of texts that do, that are not joined yet and that sizes and places in the
-order do not rule out are verified.  So the components are those of all pairs
-that are similar enough; fingerprints, forests and the sampled order affect
-the cost alone.
+"""Near-duplicate removal: SimHash candidates, then an exact prefix search, verified on five-word shingles.
+
+Two texts are linked if their sets of five-word shingles (lower-cased in A-Z)
+have a Jaccard similarity of ``similarity`` or more.  A class is a component of
+all such links.  Links are found in three steps, each on what the ones before
+left apart, and each is verified on the whole sets:
+
+1. fingerprints of a text's distinct words propose pairs through the generalised
+   pigeonhole join of :mod:`bucketwise.llm.simhash`; of the pairs within
+   ``RADIUS`` bits a spanning forest is verified;
+2. shingles are put in one order for all texts, rare ones first.  Of n shingles,
+   the first n - ceil(similarity * n) + 1 are a text's prefix, and two texts that
+   are similar enough share a shingle of both prefixes.  Where texts of
+   several components have a shingle in their prefixes, each text proposes the
+   one that it shares most with among its neighbours in size;
+3. all pairs of texts that share such a shingle, that are still apart and that
+   sizes and places in the order do not rule out.
+
+Step 3 leaves no pair out, so the classes are exact; fingerprints, forests,
+neighbours and the sampled order affect the cost alone.  Steps 1 and 2 join
+dense groups with one link a text, so that step 3 meets few pairs.
 
 Exact copies meet by digest first, so a text is fingerprinted, linked and
-verified once however often it occurs.  One document of each component stays:
+verified once however often it occurs.  One document of each class stays:
 that of the smallest doc_id.  Texts that no removal can concern do not move.
 
 Defined results
@@ -25,14 +29,14 @@ Defined results
     five words are one shingle, texts without words have none and are only
     ever linked to equal texts;
   * of rows that repeat with doc_id and text one stays; null doc_ids come first;
-  * an empty table stays empty; all columns are carried; added columns start
-    with ``near_``;
-  * texts are told apart by the first 64 bits of their MD5.
+  * an empty table stays empty; all columns are carried; a column whose name
+    starts with ``near_`` is refused;
+  * texts are told apart by the first 64 bits of their MD5, shingles by 32 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bucketwise.llm.common import materialize, returns_memory
+from bucketwise.llm.common import materialize, no_columns, returns_memory, temporary
 from bucketwise.llm.components import components
 from bucketwise.llm.simhash import CHUNK_ROWS, SEED, SHORT_RUN, fingerprint, near_links, shingle_hashes
 from bucketwise.llm.url_filter import BlockedBloom
@@ -50,24 +54,19 @@ from bucketwise.llm.url_filter import BlockedBloom
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits that the fingerprints of proposed pairs differ in, at most.
-RADIUS = 7
-#: Disjoint forests of proposed links, so that texts stay joined where some
-#: links fail verification; what they leave apart meets by prefixes.
-FORESTS = 8
+RADIUS = 3
 #: Texts that show which shingles are frequent, and frequent shingles that are
 #: told apart from rare ones, at most.
 ORDER_SAMPLE = 20_000
 FREQUENT = 200_000
-#: Texts of one component that a task compares with one another, about.
+#: Texts with one shingle that a task compares with one another, about.
 BLOCK = 8000
-#: Words of fewer bytes are left out of a fingerprint, if there are others.
-LEAST_WORD = 4
 
 
 def word_fingerprint(text: str | None) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    kept = [w for w in words if len(w) >= LEAST_WORD] or words
-    return fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in kept), np.uint64, len(kept)))
+    """The fingerprint of the distinct words of a text."""
+    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    return fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)))
 
 
 def text_node(text: Column) -> Column:
@@ -101,12 +100,13 @@ def _filter(keys: DataFrame) -> "pd.Series":
     return possible
 
 
-def shingle_sets(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """(node, words): the shingle set of every text.
+def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, words): the shingle set of every text, once.
 
-    ``texts``: near_key, near_node, text; ``named``: near_node and the near_key
-    of the row that speaks for it."""
-    possible = _filter(named.select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
+    ``texts``: near_key, near_node, text; ``nodes``: near_node, near_key of a row
+    that speaks for it, and near_copies, the number of its rows."""
+    several = nodes.where("near_copies > 1")
+    repeated = _filter(several.select("near_node"))
 
     @returns_memory
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,13 @@ def shingle_sets(texts: DataFrame, named: DataFrame) -> DataFrame:
                 found = [shingle_set(text.as_py()).tobytes() for text in piece.column(1)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["node", "words"])
 
-    speaking = texts.where(possible(F.xxhash64("near_key", "near_node"))).select("near_node", "text")
-    return materialize(speaking.mapInArrow(sets, "node long, words binary").dropDuplicates(["node"]), "shingles")
+    def of(rows: DataFrame) -> DataFrame:
+        return rows.select("near_node", "text").mapInArrow(sets, "node long, words binary")
+
+    # texts that stand in one row for certain do not move
+    alone = of(texts.where(~repeated("near_node")))
+    others = texts.where(repeated("near_node")).join(nodes.select("near_key", "near_node"), ["near_key", "near_node"], "left_semi")
+    return materialize(alone.unionByName(of(others).dropDuplicates(["node"])), "shingles")
 
 
 def _tokens(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +192,12 @@ def _apart(
                 yield left[i[ok]], right[j[ok]]
 
 
-def prefix_pairs(shingles: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): among all pairs of texts, not yet joined in ``roots`` (node,
-    root), at least those whose similarity is ``similarity`` or more."""
+_PREFIX = "token int, place long, node long"
+
+
+def prefix_rows(shingles: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(token, place, node) of the shingles in texts' prefixes that texts of
+    several components of ``roots`` (node, root) have; place: size << 32 | place."""
     common, count = frequent_shingles(shingles)
     order = shingles.sparkSession.sparkContext.broadcast((common, count))
 
@@ -198,7 +206,7 @@ def prefix_pairs(shingles: DataFrame, roots: DataFrame, similarity: float = SIMI
         known, often = order.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                node, root, words = batch.slice(at, 256).columns
+                node, words = batch.slice(at, 256).columns
                 tokens, n = _tokens(words)
                 owner = np.repeat(np.arange(len(n)), n)
                 rank = np.zeros(len(tokens), np.int64)
@@ -214,18 +222,35 @@ def prefix_pairs(shingles: DataFrame, roots: DataFrame, similarity: float = SIMI
                         pa.array(tokens[by][kept].view(np.int32)),
                         pa.array((n[owner] << 32) + place),
                         pa.array(node.to_numpy(zero_copy_only=False)[owner]),
-                        pa.array(root.to_numpy(zero_copy_only=False)[owner]),
                     ],
-                    names=["token", "place", "node", "root"],
+                    names=["token", "place", "node"],
                 )
 
+    def rows(sets: DataFrame) -> DataFrame:
+        return sets.select("node", "words").mapInArrow(prefixes, _PREFIX)
+
+    # most shingles stand in one text alone; the filter spares their rows the way
+    joined = shingles.join(roots, "node", "left").select(F.coalesce("root", "node").alias("node"), "words")
+    met = rows(joined).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = materialize(met.select("token"), "met")
+    possible = _filter(met.select(F.xxhash64("token").alias("h")))
+    here = rows(shingles).where(possible(F.xxhash64("token")))
+    return materialize(here.join(met, "token", "left_semi"), "prefixes")
+
+
+def _runs_of_tokens(
+    dealt: DataFrame, keys: list[str], pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]
+) -> DataFrame:
+    """(a, b): what ``pairs`` finds among the rows with the same ``keys`` (the
+    last of them the token; place, node and root follow), in order of place."""
+
     @returns_memory
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def pairs(token: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def found(key: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
             got, size = [], 0
-            for i, j in _apart(token, place, root, similarity):
+            for i, j in pairs(key, place, root):
                 got.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
                 size += len(i)
                 if size > CHUNK_ROWS:
@@ -235,80 +260,77 @@ def prefix_pairs(shingles: DataFrame, roots: DataFrame, similarity: float = SIMI
                 yield batch_of(got)
 
         def batch_of(got: list[tuple]) -> pa.RecordBatch:
-            both = np.unique(np.stack([np.concatenate(c) for c in zip(*got)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["a", "b"])
 
         for batch in batches:
             held.append(tuple(np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns))
             if sum(len(h[0]) for h in held) >= CHUNK_ROWS:
                 rows = tuple(np.concatenate(c) for c in zip(*held))
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
                 held = [tuple(c[cut:] for c in rows)]
                 if cut:
-                    yield from pairs(*(c[:cut] for c in rows))
+                    yield from found(*(c[:cut] for c in rows))
         if held:
-            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
-
-    return (
-        shingles.join(roots, "node", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), "words")
-        .mapInArrow(prefixes, "token int, place long, node long, root long")
-        .repartition("token")
-        .sortWithinPartitions("token", "place")
-        .mapInArrow(meet, "a long, b long")
-        .distinct()
-    )
+            yield from found(*(np.concatenate(c) for c in zip(*held)))
+
+    # one number for a run: tokens are 32 bits, and runs of several blocks are few
+    run = F.xxhash64(*keys) if len(keys) > 1 else F.col(keys[0]).cast("long")
+    rows = dealt.select(run.alias("run"), "place", "node", "root").repartition("run").sortWithinPartitions("run", "place", "node")
+    return rows.mapInArrow(meet, "a long, b long")
 
 
-def _dealt(proposed: DataFrame) -> DataFrame:
-    """(root, i, j, a, b): proposed links by the task that compares them.
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").select("token", "place", "node", F.coalesce("root", "node").alias("root"))
 
-    A component of proposed links is one task, or, beyond BLOCK texts, its
-    texts are split into blocks by hash and every pair of blocks is a task; so
-    a task holds at most about two blocks, however large a component is."""
-    roots = materialize(components(proposed.select("a", "b")), "proposed-roots")
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    sizes = named.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = materialize(named.join(sizes, "root").select("node", "root", block.alias("block")), "placed")
-    at_a = placed.select(F.col("node").alias("a"), "root", F.col("block").alias("block_a"))
-    at_b = placed.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
-    links = proposed.select("a", "b").join(at_a, "a").join(at_b, "b")
-    i, j = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
-    return materialize(links.select("root", i.alias("i"), j.alias("j"), "a", "b"), "dealt")
+
+def best_partners(rows: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) with a < b, one at most for each b: of the neighbours by size in
+    the runs of its shingles, that of another component that it meets most often."""
+
+    def neighbours(token: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i = np.flatnonzero((token[1:] == token[:-1]) & (root[1:] != root[:-1]))
+        i = i[_possible(place[i], place[i + 1], similarity)]
+        yield i, i + 1
+
+    met = _runs_of_tokens(_rooted(rows, roots), ["token"], neighbours).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+
+
+def pairs_apart(rows: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): all pairs of texts of different components that share a shingle
+    of ``rows`` and that can be similar enough.
+
+    A run of one shingle beyond BLOCK texts is split into blocks by hash, and
+    every pair of blocks is a run of its own, however large the whole is."""
+    rooted = _rooted(rows, roots)
+    apart = rooted.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")
+    ).where("low < high").select("token", "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = rooted.join(apart, "token").select("token", "place", "node", "root", own.alias("own"), other.alias("other"))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    dealt = dealt.select(i, j, "token", "place", "node", "root")
+    return _runs_of_tokens(dealt, ["i", "j", "token"], lambda *run: _apart(*run, similarity)).distinct()
 
 
 def verified_links(proposed: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of ``proposed`` whose texts are similar enough.  A set
-    moves once to each task that needs it, not once for each of its links."""
-    links = _dealt(proposed)
-    task = ["root", "i", "j"]
-    members = links.select(*task, F.explode(F.array("a", "b")).alias("node")).distinct()
-    possible = _filter(members.select("node").distinct())
-    members = members.join(shingles.where(possible("node")), "node")
-    rows = members.select(*task, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "words").unionByName(
-        links.select(*task, "a", "b", F.lit(None).cast("binary").alias("words"))
-    )
+    """Links (a, b) of ``proposed`` whose texts are similar enough."""
+    proposed = materialize(proposed.select("a", "b"), "proposed")
+    possible = _filter(proposed.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    sets = shingles.where(possible("node"))
 
     @returns_memory
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sets = None, {}
         for batch in batches:
-            found = []
-            for root, i, j, a, b, words in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5)):
-                if (root, i, j) != at:
-                    at, sets = (root, i, j), {}
-                if b is None:
-                    sets[a] = np.frombuffer(words.as_py(), np.uint32)
-                elif similarity_of(sets[a], sets[b]) >= similarity:
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
-            )
-
-    dealt = rows.repartition(*task).sortWithinPartitions(*task, F.col("b").asc_nulls_first())
-    return dealt.select(*task, "a", "b", "words").mapInArrow(judge, "a long, b long")
+            a, b, x, y = batch.columns
+            as_set = lambda w: np.frombuffer(w.as_buffer(), np.uint32)
+            good = [similarity_of(as_set(p), as_set(q)) >= similarity for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = proposed.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "verified")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -324,14 +346,14 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["near_key", "near_node", "fp"])
 
     marked = materialize(rows.mapInArrow(prints, "near_key long, near_node long, fp long"), "marked")
-    nodes = marked.groupBy("near_node").agg(F.min("fp").alias("fp"), F.min("near_key").alias("near_key"))
-    shingles = shingle_sets(rows, nodes.select("near_node", "near_key"))
-    proposed = near_links(nodes.select(F.col("near_node").alias("node"), "fp"), radius, FORESTS)
-    proposed = materialize(proposed, "proposed")
-    roots = components(verified_links(proposed, shingles))
-    rest = materialize(prefix_pairs(shingles, roots), "rest")
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(links.unionByName(verified_links(rest, shingles)))
+    nodes = marked.groupBy("near_node").agg(F.min("fp").alias("fp"), F.min("near_key").alias("near_key"), F.count("*").alias("near_copies"))
+    nodes = materialize(nodes, "nodes")
+    shingles = shingle_sets(rows, nodes)
+    roots = components(verified_links(near_links(nodes.select(F.col("near_node").alias("node"), "fp"), radius), shingles))
+    found = prefix_rows(shingles, roots)
+    for search in (best_partners, pairs_apart):
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(links.unionByName(verified_links(search(found, roots), shingles)))
     classes = nodes.join(roots, F.col("near_node") == F.col("node"), "left").select(
         "near_node", F.coalesce("root", "near_node").alias("near_class")
     )
@@ -349,7 +371,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radiu
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each class of near-duplicates."""
-    classes = materialize(near_classes(docs, key, text, radius), "near-classes")
+    no_columns(docs, "near_")
+    with temporary() as scratch:
+        classes = scratch.keep(materialize(near_classes(docs, key, text, radius), "near-classes"))
     concerned = classes.where(~F.col("near_kept") | (F.col("near_rows") > 1))
     possible = _filter(concerned.select(F.xxhash64("near_key", "near_node").alias("h")).distinct())
     # kept rows that the filter cannot tell from removed ones, and rows that repeat

@@ -53,7 +53,7 @@ ROW_COST = 200.0
 #: Runs up to this length are compared by shifting, longer ones in blocks.
 SHORT_RUN = 48
 CHUNK_ROWS = 250_000
-#: Verified pairs that a task holds before it keeps their forests alone.
+#: Verified pairs that a task holds before it keeps their forest alone.
 CHUNK_PAIRS = 200_000
 
 
@@ -246,26 +246,14 @@ def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
         label = np.fromiter(map(top, range(nodes)), np.int64, nodes)
 
 
-def spanning_forests(
-    a: np.ndarray, b: np.ndarray, distance: np.ndarray, forests: int = 1
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The links a - b of ``forests`` minimum spanning forests, each of those
-    that the ones before left; of a sparse graph, all its links, once each."""
+def spanning_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links a - b of a minimum spanning forest."""
     names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     ends = ends.reshape(2, -1)
     low, high = ends.min(axis=0), ends.max(axis=0)
     order = np.argsort(distance * len(names) ** 2 + low * len(names) + high)
     low, high, distance = low[order], high[order], distance[order]
-    new = np.ones(len(low), dtype=bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    low, high, distance = low[new], high[new], distance[new]
-    left, kept = np.arange(len(low)), np.zeros(len(low), dtype=bool)
-    for _ in range(forests):
-        taken = _forest(low[left], high[left], len(names))
-        kept[left[taken]] = True
-        left = left[~taken]
-        if not len(left):
-            break
+    kept = _forest(low, high, len(names))
     return names[low[kept]], names[high[kept]], distance[kept]
 
 
@@ -300,11 +288,11 @@ def verified_pairs(
                 yield left[i], right[j], d[i, j].astype(np.int64)
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b, distance) that connect all ``nodes`` (node long, fp long)
-    within ``radius`` bits as the whole set of such pairs does.  Every task
-    hands on ``forests`` forests that share no link: one keeps components; more
-    keep them even if some links turn out not to hold."""
+    within ``radius`` bits as the whole set of such pairs does: every task
+    hands on a spanning forest of the pairs that it found, which has the same
+    components."""
     nodes = nodes.select("node", "fp")
     drawn = nodes.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64)
     partitions = plan(np.ascontiguousarray(drawn).view(np.uint64), nodes.count(), radius)
@@ -335,11 +323,10 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, forests: int = 1) -> Data
             for i, j, d in verified_pairs(key, look, fp.view(np.uint64), radius):
                 got.append((node[i], node[j], d))
                 size += len(d)
-                if size > CHUNK_PAIRS:  # the forests of what is held so far, and of more, are enough
-                    got = [spanning_forests(*(np.concatenate(c) for c in zip(*got)), forests)]
-                    size = len(got[0][0])
-                    size = 0 if size > CHUNK_PAIRS // 2 else size
-            found = spanning_forests(*(np.concatenate(c) for c in zip(*got)), forests)
+                if size > CHUNK_PAIRS:  # the forest of the forest so far and of more is the forest of all
+                    got = [spanning_forest(*(np.concatenate(c) for c in zip(*got)))]
+                    size = 0
+            found = spanning_forest(*(np.concatenate(c) for c in zip(*got)))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "distance"])
 
         def columns() -> tuple:

@@ -18,13 +18,16 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bucketwise.llm.common import discard, materialize
+from bucketwise.llm.common import discard, materialize, no_columns, returns_memory
 
 #: (verdict, host, path prefix); of those that fit, the longest wins.
 RULES = (
@@ -45,7 +48,8 @@ PROBES = 8
 BITS_PER_KEY = 16
 #: Upper bound of the filter: 2**28 bits are 32 MB.
 MAX_BLOCKS = 2**28 // BLOCK_BITS
-SEGMENTS = 64
+#: Parts of a filter that are built apart, at most 64 kB each.
+SEGMENTS = 512
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -105,6 +109,10 @@ class BlockedBloom:
         need = max(1, -(-keys * BITS_PER_KEY // BLOCK_BITS))
         return min(MAX_BLOCKS, max(SEGMENTS, 1 << (need - 1).bit_length()))
 
+    @staticmethod
+    def segment_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+        return _places(keys, blocks)[0] // (blocks // SEGMENTS)
+
     @staticmethod
     def fill(keys: np.ndarray, blocks: int, first: int, count: int) -> np.ndarray:
         """The words of blocks ``first`` to ``first + count`` for these keys."""
@@ -126,24 +134,31 @@ class BlockedBloom:
         column, hashes = hashes.columns[0], materialize(hashes, "bloom-keys")  # counted first, then used
         blocks = cls.blocks_for(hashes.count())
         span = blocks // SEGMENTS
-        segment = (
-            F.shiftright(F.shiftrightunsigned(F.col(column), 32) * F.lit(blocks), 32) / F.lit(span)
-        ).cast("int")
-
-        def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            words = cls.fill(frame["h"].to_numpy(np.int64), blocks, int(key[0]) * span, span)
-            return pd.DataFrame({"segment": [int(key[0])], "words": [words.tobytes()]})
 
+        @returns_memory
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}  # segments are small; keys stream by
+            for batch in batches:
+                keys = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
+                segment = cls.segment_of(keys, blocks)
+                for k in np.unique(segment).tolist():
+                    words = cls.fill(keys[segment == k], blocks, k * span, span)
+                    found[k] = found[k] | words if k in found else words
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int32()), pa.array([w.tobytes() for w in found.values()], pa.binary())], names=["segment", "words"]
+            )
+
+        # a segment is a range of the keys' upper bits, so 512 ranges deal out whole segments
         parts = (
-            hashes.select(segment.alias("segment"), F.col(column).alias("h"))
-            .groupBy("segment")
-            .applyInPandas(one, "segment int, words binary")
+            hashes.select(F.col(column).cast("long").alias("h"))
+            .repartition(min(SEGMENTS, max(1, blocks // 4096)), F.shiftrightunsigned("h", 55))
+            .mapInArrow(fill, "segment int, words binary")
             .collect()
         )
         words = np.zeros(blocks * WORDS_PER_BLOCK, dtype=np.uint64)
         for row in parts:
             at = row.segment * span * WORDS_PER_BLOCK
-            words[at : at + span * WORDS_PER_BLOCK] = np.frombuffer(row.words, dtype=np.uint64)
+            words[at : at + span * WORDS_PER_BLOCK] |= np.frombuffer(row.words, dtype=np.uint64)
         discard(hashes)
         return cls(words)
 

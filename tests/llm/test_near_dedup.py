@@ -22,9 +22,7 @@ def test_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute_kept(rows)
     got = sorted(r.doc_id for r in deduplicate(docs).collect())
-    assert len(got) < len(rows)
-    # fingerprints propose; a link or two in a hundred may go unseen, none is made up
-    assert set(want) <= set(got) and len(got) <= len(want) + 0.02 * len(rows)
+    assert got == want and len(got) < len(rows)
 
 
 def test_copies_and_near_copies(spark):
@@ -87,7 +85,7 @@ def zipf_texts(number, length, vocabulary, s, seed):
 
 
 def test_near_copies_among_dense_unrelated_texts(spark):
-    # frequent words bring all fingerprints together, so forests fill with unrelated pairs
+    # frequent words bring all fingerprints together
     texts = zipf_texts(1500, 200, 60, 1.5, 3)
     rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
     rows += [(10_000 + i, " ".join(texts[i][: 200 - 24]), "en", "a", 1) for i in range(150)]

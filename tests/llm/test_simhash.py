@@ -75,20 +75,18 @@ def test_long_runs_are_compared_in_full():
     assert got == int(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1).sum())
 
 
-def test_spanning_forests():
+def test_spanning_forest():
     a, b, d = np.array([1, 3, 2, 5, 5, 2]), np.array([2, 1, 3, 6, 6, 1]), np.array([1, 2, 1, 4, 4, 1])
-    links = lambda n: sorted(zip(*(c.tolist() for c in sh.spanning_forests(a, b, d, n))))
-    assert links(1) == [(1, 2, 1), (2, 3, 1), (5, 6, 4)]
-    assert links(9) == [(1, 2, 1), (1, 3, 2), (2, 3, 1), (5, 6, 4)]
+    assert sorted(zip(*(c.tolist() for c in sh.spanning_forest(a, b, d)))) == [(1, 2, 1), (2, 3, 1), (5, 6, 4)]
     none = np.zeros(0, np.int64)
-    assert [len(c) for c in sh.spanning_forests(none, none, none, 3)] == [0, 0, 0]
+    assert [len(c) for c in sh.spanning_forest(none, none, none)] == [0, 0, 0]
 
 
 def test_dense_groups_keep_their_components(spark, monkeypatch):
     monkeypatch.setattr(sh, "CHUNK_PAIRS", 50)
     fps = _close_family(np.random.default_rng(8), 120)
     nodes = spark.createDataFrame([(i, int(np.int64(f))) for i, f in enumerate(fps.view(np.int64))], "node long, fp long")
-    found = [(r.a, r.b) for r in sh.near_links(nodes, 3, 2).collect()]
+    found = [(r.a, r.b) for r in sh.near_links(nodes, 3).collect()]
     apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
     want = list(zip(*(x.tolist() for x in np.nonzero(np.triu(apart <= 3, 1)))))
     every = [(i, i) for i in range(len(fps))]
