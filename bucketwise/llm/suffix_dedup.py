@@ -1,21 +1,29 @@
 """Suffix-array deduplication: removal of every byte under a string of
 ``length`` bytes that also starts anywhere else.
 
-Sharding.  A window of ``length`` bytes is filed under the least hash of its
-32-byte grams, so equal windows meet wherever they stand.  A maximal run of
-windows with one least hash is a *segment*; every window start is in exactly
-one.  Segments whose hash stands at one place of the corpus cannot repeat and never
+Passages of over ``WORDS - 1`` words are often shorter than that, so the same
+arrays also tell which bytes of a document are *shared*: they lie in a string of
+``length`` bytes, or in a passage of ``WORDS`` words and at least ``FILED``
+bytes, that another document has too.  Shared bytes are counted, not removed.
+
+Sharding.  A place is filed under the least hash of the 32-byte grams in the
+``FILED`` bytes from it on, so equal strings of that length and more meet
+wherever they stand.  A maximal run of places with one least hash is a
+*segment*, with as many bytes more as its last place needs; every place is in
+exactly one.  Segments whose hash stands at one place of the corpus cannot repeat and never
 move (a Bloom filter of bounded size passes the others).
 
-Shards.  Segments with equal contents are merged, with their number, before
-they move.  A shard takes whole hash groups, concatenates the distinct
-segments, builds their suffix array by induced sorting and the permuted common
-prefixes.  A window repeats if it shares ``length`` bytes with its neighbour in
-the order, or if its segment occurs twice.
+Shards.  Segments with equal contents are merged, with their number and the
+first and last document that has them, before they move.  A shard takes whole
+hash groups, concatenates the distinct segments, builds their suffix array by
+induced sorting and the permuted common prefixes.  A string repeats if it shares
+its whole length with its neighbour in the order, or if its segment occurs
+twice; it is shared if the nearest suffixes of other documents, on either side
+in the order, have it.
 
 Hot hashes.  Around a passage that very many documents share, one hash has
-very many distinct segments.  Beyond ``HOT`` of them a group is not one
-shard: its windows are dealt out one by one, by 128-bit digests of their whole
+very many distinct segments.  Beyond ``HOT_BYTES`` of them a group is not one
+shard: its strings are dealt out one by one, by 128-bit digests of their whole
 contents, and counted.  No cap, no sampling: this is the same comparison, dealt
 over all tasks.
 
@@ -26,7 +34,9 @@ Defined results
   * strings are judged on the input; overlapping occurrences count, also
     within one document; nothing matches across documents;
   * repeated rows are documents of their own, so each repeats the other;
-    null keys are kept; an empty table stays empty; other columns are not read.
+    null keys are kept; an empty table stays empty; other columns are not read;
+  * a document's repeats within itself are removed but not shared; the words of
+    a passage end at ASCII white space or at the end of the text.
 """
 
 from __future__ import annotations
@@ -45,15 +55,22 @@ from bucketwise.llm.suffix_array import plcp, suffix_array
 from bucketwise.llm.url_filter import BlockedBloom
 
 LENGTH = 400
+WORDS = 51
+FILED = 256
 GRAM = 32
 #: Bytes of segments that are sorted in one suffix array, about.
-SHARD_BYTES = 1 << 21
-#: Distinct segments of one hash beyond which its windows are dealt out singly.
-HOT = 512
+SHARD_BYTES = 3 << 19
+#: Bytes of the distinct segments of one hash beyond which its strings are dealt out singly.
+HOT_BYTES = 1 << 20
 _SLICE_BYTES = 1 << 21
 _MOST_PLACES = 1 << 28
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEPARATOR = 255  # neither a UTF-8 byte plus one nor the end
+_SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: A segment's first byte: whether it follows white space (or nothing) in its
+#: text.  In the arrays it becomes a symbol that no text has.
+_LEAD = (b"x", b" ")
+_AFTER_WORD, _AFTER_SPACE = 253, 254
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -80,9 +97,9 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of all segments: hash, text number, first window, number of windows, and
-    at how many places the gram with the least hash stands.  A window can
+def segments(texts: list[bytes], length: int = FILED) -> tuple[np.ndarray, ...]:
+    """Of all segments: hash, text number, first place, number of places, and
+    at how many places the gram with the least hash stands.  A string can
     repeat within a segment only if that is more than one."""
     if sum(map(len, texts)) > _MOST_PLACES:  # piece by piece; a cut only ends a segment
         found, number = [], 0
@@ -131,25 +148,102 @@ def _name(data: bytes | memoryview) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each distinct segment, whether each of its windows starts elsewhere
-    too: in another segment, at another place of its own, or in a copy."""
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    s = np.zeros(int(sizes.sum()) + len(parts), dtype=np.uint8)
+def _symbols(part: bytes) -> np.ndarray:
+    s = np.frombuffer(part, dtype=np.uint8) + 1
+    s[0] = _AFTER_SPACE if part[:1] == _LEAD[True] else _AFTER_WORD
+    return s
+
+
+def passage_lengths(s: np.ndarray) -> np.ndarray:
+    """Of each place of ``s`` (parts with bytes plus one between the symbol of
+    their lead and the separator or zero) where a word starts: bytes to the end
+    of the WORDS-th word of the same part, else zero."""
+    stop = (s == _SEPARATOR) | (s == 0)
+    space = stop | (s == 33) | ((s >= 10) & (s <= 14)) | (s == _AFTER_SPACE)
+    begins = np.flatnonzero(space[:-1] & ~space[1:] & (s[1:] != _AFTER_WORD)) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    out = np.zeros(len(s), dtype=np.int64)
+    if len(begins) < WORDS:
+        return out
+    ends = ends[np.searchsorted(ends, begins, side="right")]
+    part = np.cumsum(stop)[begins]
+    last = len(begins) - WORDS + 1
+    whole = part[:last] == part[WORDS - 1 :]
+    out[begins[:last][whole]] = (ends[WORDS - 1 :] - begins[:last])[whole]
+    return out
+
+
+def _other_documents(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For suffixes in order, with ``common`` symbols shared with the one
+    before: how many are shared with the nearest one of another document."""
+
+    def before(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        # least value since the document changed: a falling offset restarts it
+        change = np.concatenate([[True], doc[1:] != doc[:-1]])
+        offset = np.cumsum(change) * (1 << 32)
+        least = np.minimum.accumulate(common - offset) + offset
+        least[offset == 1 << 32] = 0  # nothing before the first stretch
+        return least
+
+    after = before(np.concatenate([[0], common[:0:-1]]), doc[::-1])[::-1]
+    return np.maximum(before(common, doc), after)
+
+
+def _spans(firsts: np.ndarray, ends: np.ndarray) -> list[int]:
+    """[first, end, ...] of the union of spans, firsts ascending."""
+    if not len(firsts):
+        return []
+    ends = np.maximum.accumulate(ends)
+    new = np.flatnonzero(np.concatenate([[True], firsts[1:] > ends[:-1]]))
+    return np.stack([firsts[new], ends[np.concatenate([new[1:], [len(ends)]]) - 1]], axis=1).ravel().tolist()
+
+
+def repeated_strings(rows: list[tuple], length: int = LENGTH) -> list[tuple[list[int], list[int]]]:
+    """For each distinct segment (number, first and last document, places,
+    bytes after its lead): runs of the places whose
+    ``length`` bytes start elsewhere too - in another segment, at another place
+    of its own, or in a copy - and spans of bytes that another document shares."""
+    sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
+    s = np.zeros(int(sizes.sum()) + len(rows), dtype=np.uint8)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    for at, size, part in zip(starts.tolist(), sizes.tolist(), parts):
-        s[at : at + size] = np.frombuffer(part, dtype=np.uint8) + 1
+    doc = np.empty(len(s), dtype=np.int64)
+    for k, (at, size, (_, low, high, _, part)) in enumerate(zip(starts.tolist(), sizes.tolist(), rows)):
+        s[at : at + size] = _symbols(part)
         s[at + size] = _SEPARATOR
+        doc[at : at + size + 1] = low if low == high else -1 - k
     s[-1] = 0
+    passage = passage_lengths(s)
     sa = suffix_array(s)
     phi, common = plcp(s, sa, length)
     again = common >= length
     hits = np.flatnonzero(again)
     again[phi[hits]] = True
-    return [
-        np.ones(size - length + 1, dtype=bool) if n > 1 else again[at : at + size - length + 1]
-        for at, size, n in zip(starts.tolist(), sizes.tolist(), counts.tolist())
-    ]
+    other = np.empty_like(common)
+    other[sa] = _other_documents(common[sa], doc[sa])
+    out, met_by = [], {}
+    for at, size, (n, low, high, places, part) in zip(starts.tolist(), sizes.tolist(), rows):
+        first = at + 1
+        whole = max(0, min(places, size - length))  # places with ``length`` bytes
+        flags = np.ones(whole, dtype=bool) if n > 1 else again[first : first + whole]
+        words = passage[first : first + places]
+        words = np.where((words >= FILED) & (words < length), words, 0)
+        near = other[first : first + places]
+        bytes_met = np.flatnonzero(near[:whole] >= length) if low == high else np.arange(whole)
+        i = np.flatnonzero((words > 0) & ((near >= words) | (low != high)))
+        # the same bytes may go on within a word elsewhere; passages are compared whole
+        passages = [(k, k + m, _name(part[k + 1 : k + 1 + m])) for k, m in zip(i.tolist(), words[i].tolist())]
+        for _, _, name in passages:
+            least, most = met_by.get(name, (low, high))
+            met_by[name] = min(least, low), max(most, high)
+        out.append((_runs(flags), bytes_met, passages))
+
+    def shared(at: np.ndarray, passages: list[tuple]) -> list[int]:
+        found = [(a, b) for a, b, name in passages if met_by[name][0] != met_by[name][1]]
+        both = np.concatenate([np.stack([at, at + length], axis=1), np.array(found, dtype=np.int64).reshape(-1, 2)])
+        both = both[np.argsort(both[:, 0], kind="stable")]
+        return _spans(both[:, 0], both[:, 1])
+
+    return [(runs, shared(at, passages)) for runs, at, passages in out]
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -158,17 +252,17 @@ def _runs(flags: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
-SEGMENT = "h long, s binary, t binary, first int, places int, part binary"
+SEGMENT = "h long, s binary, t binary, first int, width int, places int, doc long, part binary"
 
 
-def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
+def _recurring_segments(docs: DataFrame, length: int, filed: int) -> DataFrame:
     """One row per occurrence of a segment whose hash may recur (SEGMENT); a
     task sends the bytes of equal segments once, as far as it remembers."""
 
     @returns_memory
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batches, 0):
-            h, _, _, _, places = segments(texts, length)
+            h, _, _, _, places = segments(texts, filed)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(places)], names=["h", "places"])
 
     twice = docs.select("text").mapInArrow(hashes, "h long, places long").groupBy("h").agg(F.sum("places").alias("n"))
@@ -177,17 +271,20 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
 
     @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         known, sent = BlockedBloom(bloom.value), set()
+        row = TaskContext.get().partitionId() << 40  # numbers the documents
         for _, texts in _slices(batches, 0):
-            h, number, first, n, places = segments(texts, length)
+            h, number, first, n, places = segments(texts, filed)
             pick = np.flatnonzero(known.may_contain(np.ascontiguousarray(h))) if len(h) else np.zeros(0, np.int64)
             names: dict[int, bytes] = {}
             s, t, part = [], [], []
             for k, i, m in zip(number[pick].tolist(), first[pick].tolist(), n[pick].tolist()):
                 if k not in names:
                     names[k] = _name(texts[k])
-                piece = texts[k][i : i + m + length - 1]
-                name = _name(piece)
+                piece = _LEAD[not i or texts[k][i - 1] in _SPACES] + texts[k][i : i + m + length - 1]
+                name = _name(piece + m.to_bytes(8))
                 s.append(name)
                 t.append(names[k])
                 part.append(None if name in sent else piece)
@@ -200,17 +297,24 @@ def _recurring_segments(docs: DataFrame, length: int) -> DataFrame:
                     pa.array(s, pa.binary()),
                     pa.array(t, pa.binary()),
                     pa.array(first[pick].astype(np.int32)),
+                    pa.array(n[pick].astype(np.int32)),
                     pa.array(places[pick].astype(np.int32)),
+                    pa.array(number[pick].astype(np.int64) + row),
                     pa.array(part, pa.binary()),
                 ],
-                names=["h", "s", "t", "first", "places", "part"],
+                names=["h", "s", "t", "first", "width", "places", "doc", "part"],
             )
+            row += len(texts)
 
     return materialize(docs.select("text").mapInArrow(rows, SEGMENT), "segments")
 
 
+MARKS = "h long, s binary, runs array<int>, shared array<int>"
+_DISTINCT = ["h", "s", "n", "low", "high", "width", "part"]
+
+
 def _shard_marks(distinct: DataFrame, length: int) -> DataFrame:
-    """(h, s, runs) of distinct segments by suffix arrays of whole hash groups."""
+    """MARKS of distinct segments by suffix arrays of whole hash groups."""
 
     @returns_memory
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,15 +322,16 @@ def _shard_marks(distinct: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def marks() -> pa.RecordBatch:
-            flags = repeated_windows([r[3] for r in held], np.array([r[2] for r in held]), length)
-            found = [(r[0], r[1], _runs(f)) for r, f in zip(held, flags) if f.any()]
+            found = zip(held, repeated_strings([r[2:] for r in held], length))
+            found = [(r[0], r[1], runs, shared) for r, (runs, shared) in found if runs or shared]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in found], pa.int64()),
                     pa.array([r[1] for r in found], pa.binary()),
                     pa.array([r[2] for r in found], pa.list_(pa.int32())),
+                    pa.array([r[3] for r in found], pa.list_(pa.int32())),
                 ],
-                names=["h", "s", "runs"],
+                names=["h", "s", "runs", "shared"],
             )
 
         for batch in batches:
@@ -235,75 +340,98 @@ def _shard_marks(distinct: DataFrame, length: int) -> DataFrame:
                     yield marks()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[6])
         if held:
             yield marks()
 
-    return (
-        distinct.select("h", "s", "n", "part")
-        .repartition("h")
-        .sortWithinPartitions("h", "s")
-        .mapInArrow(sort, "h long, s binary, runs array<int>")
-    )
+    return distinct.select(*_DISTINCT).repartition("h").sortWithinPartitions("h", "s").mapInArrow(sort, MARKS)
 
 
 def _single_marks(distinct: DataFrame, length: int) -> DataFrame:
-    """(h, s, runs) of distinct segments of hot hashes, window by window."""
+    """MARKS of distinct segments of hot hashes, string by string."""
 
     @returns_memory
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, s, n, part in zip(*(c.to_pylist() for c in batch.columns)):
-                view, m = memoryview(part), len(part) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([h] * m, pa.int64()),
-                        pa.array([s] * m, pa.binary()),
-                        pa.array([n] * m, pa.int64()),
-                        pa.array(np.arange(m, dtype=np.int32)),
-                        pa.array([_name(view[i : i + length]) for i in range(m)], pa.binary()),
-                    ],
-                    names=["h", "s", "n", "at", "w"],
-                )
+            for h, s, n, low, high, width, part in zip(*(c.to_pylist() for c in batch.columns)):
+                view = memoryview(part)
+                words = passage_lengths(np.append(_symbols(part), np.uint8(0)))
+                words = words[1 : width + 1]
+                at = np.flatnonzero((words >= FILED) & (words < length))
+                whole = max(0, min(width, len(part) - length))
+                for lower in range(0, whole, 1 << 16):  # a long segment in pieces
+                    upper = min(whole, lower + (1 << 16))
+                    here = at[(at >= lower) & ((at < upper) | (upper == whole))]
+                    places = np.concatenate([np.arange(lower, upper), here]).astype(np.int32)
+                    sizes = np.concatenate([np.full(upper - lower, length), words[here]]).astype(np.int32)
+                    yield strings_of(h, s, n, low, high, view, places, sizes)
+                if not whole and len(at):
+                    yield strings_of(h, s, n, low, high, view, at.astype(np.int32), words[at].astype(np.int32))
+
+    def strings_of(h, s, n, low, high, view, places, sizes) -> pa.RecordBatch:
+        m = len(places)
+        digests = [_name(view[i + 1 : i + 1 + size]) for i, size in zip(places.tolist(), sizes.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v] * m, kind) for v, kind in ((h, pa.int64()), (s, pa.binary()), (n, pa.int64()), (low, pa.int64()), (high, pa.int64()))]
+            + [pa.array(places), pa.array(sizes), pa.array(digests, pa.binary())],
+            names=["h", "s", "n", "low", "high", "at", "size", "w"],
+        )
 
     single = materialize(
-        distinct.select("h", "s", "n", "part").repartition("s").mapInArrow(windows, "h long, s binary, n long, at int, w binary"),
-        "windows",
+        distinct.select(*_DISTINCT)
+        .repartition("s")
+        .mapInArrow(strings, "h long, s binary, n long, low long, high long, at int, size int, w binary"),
+        "strings",
     )
-    again = single.groupBy("w").agg(F.sum("n").alias("all")).where("all > 1").select("w")
+    again = single.groupBy("w", "size").agg(
+        F.sum("n").alias("all"), (F.min("low") < F.max("high")).alias("others")
+    ).where("all > 1")
+    of = lambda met, end: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(met, F.struct("at", end)))), lambda x: F.array(x["at"], x["end"])))
     return (
-        single.join(again, "w")
+        single.join(again, ["w", "size"])
         .groupBy("h", "s")
-        .agg(F.array_sort(F.collect_list("at")).alias("at"))
-        .select("h", "s", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
+        .agg(
+            of(F.col("size") == length, (F.col("at") + 1).alias("end")).alias("runs"),
+            of(F.col("others"), (F.col("at") + F.col("size")).alias("end")).alias("shared"),
+        )
     )
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(t, spans): for every distinct text with repeated strings, its name and
-    the spans [first, end, ...) of bytes to remove, as runs of windows."""
-    occurrences = _recurring_segments(docs.select(F.col(text).alias("text")), length)
+    """(t, runs, shared): for every distinct text with repeated strings, its name,
+    the runs [first, end, ...) of places whose ``length`` bytes start elsewhere
+    too, and spans [first, end, ...) of bytes that another document shares."""
+    occurrences = _recurring_segments(docs.select(F.col(text).alias("text")), length, min(length, FILED))
     distinct = occurrences.groupBy("h", "s").agg(
-        F.count("*").alias("n"), F.sum("places").alias("places"), F.max("part").alias("part")
+        F.count("*").alias("n"),
+        F.sum("places").alias("places"),
+        F.min("doc").alias("low"),
+        F.max("doc").alias("high"),
+        F.max("width").alias("width"),
+        F.max("part").alias("part"),
     )
     distinct = materialize(distinct, "distinct-segments")
-    groups = distinct.groupBy("h").agg(F.sum("places").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    groups = distinct.groupBy("h").agg(F.sum("places").alias("all"), F.sum(F.length("part")).alias("size")).where("all > 1")
     met = distinct.join(groups, "h")
-    marks = _shard_marks(met.where(F.col("kinds") <= HOT), length).unionByName(
-        _single_marks(met.where(F.col("kinds") > HOT), length)
+    marks = _shard_marks(met.where(F.col("size") <= HOT_BYTES), length).unionByName(
+        _single_marks(met.where(F.col("size") > HOT_BYTES), length)
     )
     places = occurrences.select("h", "s", "t", "first").distinct()
+    moved = lambda c: F.transform(c, lambda r: r + F.col("first")).alias(c)
     return (
         places.join(marks, ["h", "s"])
-        .select("t", F.transform("runs", lambda r: r + F.col("first")).alias("runs"))
+        .select("t", moved("runs"), moved("shared"))
         .groupBy("t")
-        .agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        .agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("shared")).alias("shared"))
     )
 
 
 def merge_spans(runs: np.ndarray, length: int) -> np.ndarray:
-    """Disjoint spans (first, end) of bytes from runs of windows (first, end)."""
+    """Disjoint spans (first, end) of bytes from runs (first, end) of places
+    where ``length`` bytes start; with length 1, of spans of bytes."""
     spans = runs.reshape(-1, 2)
+    if not len(spans):
+        return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     ends = np.maximum.accumulate(spans[:, 1] + length - 1)
     new = np.concatenate([[True], spans[1:, 0] > ends[:-1]])
@@ -318,7 +446,7 @@ def cut_spans(data: bytes, spans: np.ndarray) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, n_shared) of every row."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = materialize(repeats(docs, "text", length), "repeats")
     bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(found.select(digest_key(F.col("t")).alias("h")).distinct()).words)
@@ -354,18 +482,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, data, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for t, data, runs, shared in zip(*batch.columns):
                 data = data.as_py()
                 spans = merge_spans(runs.values.to_numpy().astype(np.int64), length)
-                rows.append((t.as_py(), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(cut_spans(data, spans)).hexdigest()))
+                common = merge_spans(shared.values.to_numpy().astype(np.int64), 1)
+                sizes = [int((x[:, 1] - x[:, 0]).sum()) for x in (spans, common)]
+                rows.append((t.as_py(), sizes[0], len(spans), hashlib.sha256(cut_spans(data, spans)).hexdigest(), sizes[1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.binary()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([r[3] for r in rows], pa.string()),
+                    pa.array([r[4] for r in rows], pa.int64()),
                 ],
-                names=["t", "n_removed", "n_spans", "kept_sha256"],
+                names=["t", "n_removed", "n_spans", "kept_sha256", "n_shared"],
             )
 
     known = docs.mapInArrow(facts, "key long, t binary, n_bytes long, whole_sha256 string")
@@ -374,8 +505,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         .mapInArrow(touched, "t binary, data binary")
         .dropDuplicates(["t"])
         .join(found, "t")
-        .select("t", "data", "runs")
-        .mapInArrow(removed, "t binary, n_removed long, n_spans long, kept_sha256 string")
+        .select("t", "data", "runs", "shared")
+        .mapInArrow(removed, "t binary, n_removed long, n_spans long, kept_sha256 string, n_shared long")
     )
     zero = F.lit(0).cast("long")
     return known.join(cut, "t", "left").select(
@@ -384,6 +515,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+        F.coalesce("n_shared", zero).alias("n_shared"),
     )
 
 

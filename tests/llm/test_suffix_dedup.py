@@ -1,5 +1,7 @@
 import hashlib
-from collections import Counter
+import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -25,28 +27,63 @@ def test_suffix_array(symbols, times):
 
 def brute(rows, length):
     texts = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
+    seen, owners = Counter(), defaultdict(set)
+    for k, (_, b) in enumerate(texts):
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] += 1
+            owners[b[i : i + length]].add(k)
+        for a, z in passages(b, length):
+            owners[b[a:z], "words"].add(k)
     out = []
     for d, b in texts:
-        gone = np.zeros(len(b), dtype=bool)
+        gone, common = np.zeros(len(b), dtype=bool), np.zeros(len(b), dtype=bool)
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = True
+            if len(owners[b[i : i + length]]) > 1:
+                common[i : i + length] = True
+        for a, z in passages(b, length):
+            if len(owners[b[a:z], "words"]) > 1:
+                common[a:z] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(common.sum())))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+def passages(b, length):
+    """(first, end) of all runs of 51 words of 256 bytes and more, shorter than ``length``."""
+    at = [m.span() for m in re.finditer(rb"[^ \t-\r]+", b)]
+    both = [(a[0], z[1]) for a, z in zip(at, at[50:])]
+    return [(a, z) for a, z in both if 256 <= z - a < length]
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 1])
 def test_against_brute_force(spark, tables, monkeypatch, hot):
-    monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "HOT_BYTES", hot)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/odd/documents.parquet").collect()]
     got = sd.op3_suffix_dedup(spark, f"{tables}/odd").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 400)
     assert sum(r.n_removed > 0 for r in got) > 8
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 1])
+def test_shared_passages(spark, monkeypatch, hot):
+    """Passages of over 50 words below 400 bytes, in mid-text and at the ends, cut within words, and repeats within one text."""
+    monkeypatch.setattr(sd, "HOT_BYTES", hot)
+    rng = random.Random(5)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n)]
+    passage, other, alone = some(51), some(53), some(60)
+    texts = [
+        some(80) + passage + some(30), passage + some(20), some(90) + passage, some(10) + [passage[0] + "x"] + passage[1:] + some(9),
+        some(9) + passage[:50] + [passage[50] + "x"] + some(9), some(40) + other + some(40), some(20) + other, alone + some(70) + alone, some(200),
+    ]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9, "\n".join(other))]
+    got = {r.doc_id: r for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(map(tuple, got.values()), key=str) == brute(rows, 400)
+    assert {i for i, r in got.items() if r.n_shared} == {0, 1, 2, 5, 6} and got[7].n_removed > 0
+
+
 def test_test_data(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, sd.op3_suffix_dedup(spark, sf_dir).collect()), key=str) == brute(rows, 400)
