@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from bucketwise.llm import pii
@@ -7,7 +8,7 @@ from bucketwise.llm import pii
 
 def replaced(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+    return [r.text for r in pii.replace_pii(df, "k").orderBy("doc_id").collect()]
 
 
 def luhn(digits):
@@ -38,13 +39,13 @@ def test_formats_and_coreference(spark):
 
 def test_collisions_are_resolved(spark, monkeypatch):
     # a space of ten addresses, of which five are themselves entities
-    def small(kind, norm, attempt, key=pii.KEY):
+    def small(kind, norm, attempt, key):
         n = F.pmod(F.xxhash64(norm, attempt), F.lit(40))
         return F.concat(F.lit("1.1.1."), n.cast("string"))
 
     monkeypatch.setattr(pii, "surrogate", small)
     norms = [f"1.1.1.{i}" for i in range(10)] + [f"9.9.9.{i}" for i in range(12)]
-    out = pii.surrogates(spark.createDataFrame([("ip", n) for n in norms], "kind string, norm string")).collect()
+    out = pii.surrogates(spark.createDataFrame([("ip", n) for n in norms], "kind string, norm string"), "k").collect()
     new = [r.new for r in out]
     assert len(out) == 22 and len(set(new)) == 22 and not set(new) & set(norms)
 
@@ -56,10 +57,13 @@ def test_test_data(spark, sf_dir):
     seen = {}
     for r in pii.op1_pii_surrogates(spark, sf_dir).collect():
         old = docs[r.doc_id]
-        found = [x for p in (email, phone, ip, card, secret) for x in re.findall(p, old)]
+        kinds = (email, phone, ip, card, secret)
+        of = lambda p, text: [x for x in re.findall(p, text) if p != card or luhn(x)]
+        found = [x for p in kinds for x in of(p, old)]
+        assert [x for x in re.findall(card, old) if not luhn(x)] == [x for x in re.findall(card, r.text) if not luhn(x)]
         assert (r.n_replaced > 0) == bool(found) and (found or r.text == old)
-        for p in (email, phone, ip, card, secret):
-            before, after = re.findall(p, old), re.findall(p, r.text)
+        for p in kinds:
+            before, after = of(p, old), of(p, r.text)
             assert len(before) == len(after) and not set(before) & set(after)
             for x, y in zip(before, after):
                 assert seen.setdefault(x, y) == y
@@ -68,11 +72,11 @@ def test_test_data(spark, sf_dir):
 
 def test_odd_rows(spark, odd, empty):
     marked = odd.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("to q@r.org "), "text")).otherwise(F.col("text")))
-    out = pii.replace_pii(marked)
+    out = pii.replace_pii(marked, "k")
     assert out.columns == [*odd.columns, "pii_found"] and out.count() == odd.count()
     assert out.where(F.col("text").contains("q@r.org")).count() == 0
     assert out.where("text is null").count() == odd.where("text is null").count()
-    assert pii.replace_pii(empty).count() == 0
+    assert pii.replace_pii(empty, "k").count() == 0
 
 
 def test_no_python_on_the_executors(spark, sf_dir):
@@ -83,12 +87,79 @@ def test_no_python_on_the_executors(spark, sf_dir):
 def test_small_spaces_are_widened(spark, monkeypatch):
     # more names than surrogates of three syllables, all one-letter addresses of a domain, a secret that cannot change
     monkeypatch.setitem(pii.SYLLABLES, "latin", ["bar", "bel", "cor"])
-    rows = [("name", f"m:{a}{b}") for a in "abcdefgh" for b in "mnopqrst"]
+    rows = [("family", f"latin:{a}{b}") for a in "abcdefgh" for b in "mnopqrst"] + [("given", f"m:latin:{a}{b}") for a in "abcdef" for b in "mnopqrst"]
     rows += [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "--------")]
-    out = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
     new = {(r.kind, r.new) for r in out}
     assert len(out) == len(rows) == len(new) and not new & set(rows)
-    for r in out:
-        shape = {"name": r"m:(?:bar|bel|cor){3,}son", "email": r"[a-z]+@m[0-9a-f]{6}\.example\.net", "secret": "-{8}[a-z]+"}[r.kind]
-        assert re.fullmatch(shape, r.new)
+    shapes = {"family": r"latin:(?:bar|bel|cor){3,}son", "given": r"m:latin:[a-z]+", "email": r"[a-z]+@m[0-9a-f]{6}\.example\.net", "secret": "-{8}[a-z]+"}
+    assert all(re.fullmatch(shapes[r.kind], r.new) for r in out)
     assert replaced(spark, ['token = "--------"'])[0] != 'token = "--------"'
+
+
+def test_a_full_space_is_permuted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, norm, attempt, key: F.when(norm == "x0", "free").otherwise("x1"))
+    rows = [("ssn", f"x{i}") for i in range(30)]
+    out = {r.norm: r.new for r in pii.surrogates(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()}
+    assert len(out) == 30 == len(set(out.values())) and out["x0"] == "free" and all(k != v for k, v in out.items())
+
+
+def test_names_share_what_they_have_in_common(spark):
+    a, b, c, d, e, f = replaced(
+        spark,
+        [
+            "Dr John Smith saw Mr John Smith and Mr Smith.",
+            "Mrs Smith and Mr. John Brown; Prof Maria Smith, Mrs Maria Lee.",
+            "г-н Иванов и г-жа Иванова, г-жа Мария Иванова",
+            "Mr Παπαδόπουλος and Frau Άννα Παπαδόπουλος",
+            "Mr 田中 and Mrs Հակոբ stay; John Smith without a title too",
+            "Dr Robin Smith",
+        ],
+    )
+    m = re.fullmatch(r"Dr (\w+) (\w+) saw Mr (\w+) (\w+) and Mr (\w+)\.", a)
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[5]) == (given, family, family) and family != "Smith" and given in pii.GIVEN["m", "latin"]
+    m = re.fullmatch(r"Mrs (\w+) and Mr\. (\w+) (\w+); Prof (\w+) (\w+), Mrs (\w+) (\w+)\.", b)
+    assert m[1] == m[5] == family and m[2] == given and m[4] == m[6] in pii.GIVEN["f", "latin"] and len({m[3], m[7], family}) == 3
+    m = re.fullmatch(r"г-н (\w+ов) и г-жа (\w+ова), г-жа (\w+) (\w+ова)", c)
+    assert m[2] == m[4] == m[1] + "а" and m[1] != "Иванов" and m[3] in pii.GIVEN["f", "cyrillic"]
+    m = re.fullmatch(r"Mr (\w+ίδης) and Frau (\w+) (\w+ίδης)", d)
+    assert m[1] == m[3] and m[2] in pii.GIVEN["f", "greek"]
+    assert e == "Mr 田中 and Mrs Հակոբ stay; John Smith without a title too"
+    assert f.split()[1] in pii.GIVEN["u", "latin"] and f.split()[2] == family
+
+
+def test_checked_numbers_and_networks(spark):
+    def valid(iban):
+        moved = (iban[4:] + iban[:4]).replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+    (text,) = replaced(
+        spark,
+        [
+            "DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819; 123-45-6789 | 10.0.0.5 192.168.3.4 172.20.1.1 127.0.0.1 169.254.9.9 8.8.4.4 | "
+            "+33 1 23 45 67 89, +44 20 7946 0958, +49 30 1234567, (409) 555-8387, +1 409 555 8387 | 4111 1111 1111 1112"
+        ],
+    )
+    numbers, nets, phones, card = text.split(" | ")
+    a, b, ssn = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d), (GB\d\d[A-Z]{4}\d{14}); (\d{3}-\d\d-\d{4})", numbers).groups()
+    assert valid(a) and valid(b) and a != "DE89 3704 0044 0532 0130 00" and ssn != "123-45-6789"
+    ten, home, middle, own, link, public = nets.split()
+    assert ten.startswith("10.") and home.startswith("192.168.") and own.startswith("127.") and link.startswith("169.254.")
+    assert re.match(r"172\.(1[6-9]|2\d|3[01])\.", middle) and not set(nets.split()) & {"10.0.0.5", "192.168.3.4", "172.20.1.1", "127.0.0.1", "169.254.9.9", "8.8.4.4"}
+    assert int(public.split(".")[0]) in pii._PUBLIC
+    m = re.fullmatch(r"\+33 (\d \d\d \d\d \d\d \d\d), \+44 (\d\d \d{4} \d{4}), \+49 (\d\d \d{7}), \((\d{3})\) (\d{3})-(\d{4}), \+1 (\d{3}) (\d{3}) (\d{4})", phones)
+    assert m and m[1] != "1 23 45 67 89" and m.group(4, 5, 6) == m.group(7, 8, 9) != ("409", "555", "8387")
+    assert card == "4111 1111 1111 1112"  # its check digit is wrong
+
+
+def test_a_key_is_needed_and_own_columns_are_refused(spark, odd):
+    with pytest.raises(TypeError):
+        pii.replace_pii(odd)
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(odd, "")
+    with pytest.raises(ValueError, match="pii_found"):
+        pii.replace_pii(odd.withColumn("pii_found", F.lit(1)), "k")
+    (a,), (b,) = (r for r in (pii.replace_pii(spark.createDataFrame([("a@b.org",)], "text string"), k).select("text").first() for k in ("k", "l")))
+    assert a != b
