@@ -13,7 +13,7 @@ from bucketwise.llm.common import materialize
 from bucketwise.llm.language_id import UNDETERMINED, train, with_language
 from bucketwise.llm.mixing import emit_copies, mix_sources
 from bucketwise.llm.near_dedup import deduplicate
-from bucketwise.llm.pii import replace_pii
+from bucketwise.llm.pii import replace_pii, session_key
 from bucketwise.llm.sentence_pieces import with_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows a text that changed."""
-    changed = replace_pii(docs)
+    changed = replace_pii(docs, session_key(spark))
     return changed.withColumn(
         "n_chars", F.when(F.col("pii_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*COLUMNS)
