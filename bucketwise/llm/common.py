@@ -21,13 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 _scratch: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs nothing that was computed before."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if _scratch:
         _scratch[-1].append(path)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

@@ -11,9 +11,9 @@ predicted one: those that make up ``USUAL`` of its training texts.  Enough is
 half-way from what the training texts of other families have on average (or,
 without any, random n-grams) to what all but ``UNUSUAL`` of its own have.
 
-Training reads a bounded, labelled sample (``PER_LANGUAGE`` documents of each
-language, fewer beyond ``MOST_SAMPLED`` in all, drawn by a hash of doc_id from
-the training fold); its vectors, a few
+Training reads a bounded, labelled sample (``PER_LANGUAGE`` distinct texts of each
+language, fewer beyond ``MOST_SAMPLED`` in all, at least one, drawn by a hash of
+the text from the training fold); its vectors, a few
 kilobytes each, go to the driver.  Everything else is one pass over the
 documents without a shuffle.
 
@@ -23,8 +23,10 @@ Defined results
   * a language is learned if the sample has a document of it; without any
     labelled document every text is ``und``;
   * equal texts have equal predictions; lang, source and doc_id are no inputs
-    of a prediction; extra columns are carried by :func:`with_language`;
-    added columns start with ``lid_``; an empty table stays empty.
+    of a prediction; rows that repeat a text and a language count once in the
+    sample, whatever their doc_id;
+  * extra columns are carried by :func:`with_language`; a column whose name
+    starts with ``lid_`` is refused; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bucketwise.llm.common import returns_memory
+from bucketwise.llm.common import no_columns, returns_memory
 
 UNDETERMINED = "und"
 #: Labelled documents of each language that the classifiers are fitted on, at most.
@@ -216,14 +218,16 @@ class LanguageModel:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fit on at most ``per_language`` documents of every language of the training fold."""
-    labelled = docs.select(key, text, lang).where(F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    counts = labelled.groupBy(lang).count().collect()
+    draw = F.xxhash64(F.lit("sample"), F.col(text)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+    labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key)))
+    labelled = labelled.select(draw.alias("draw"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return None
     per_language = max(1, min(per_language, MOST_SAMPLED // len(counts)))
-    # a somewhat larger draw by hash, of which the first per_language are taken
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r[lang], min(1.0, (1.3 * per_language + 50) / r["count"]))))
-    draw = (F.xxhash64(F.lit("sample"), F.col(key)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))).alias("draw")
+    # a somewhat larger draw by hash, of which the first per_language are taken; one at least
+    most = {r.lang: max(r.least, min(1.0, (1.3 * per_language + 50) / max(1, r.n))) for r in counts}
+    share = F.create_map(*(F.lit(v) for pair in most.items() for v in pair))
 
     @returns_memory
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +238,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             )
 
     drawn = (
-        labelled.select(draw, F.col(lang).alias("lang"), F.col(text).alias("text"))
-        .where(F.col("draw") < F.element_at(share, F.col("lang")))
+        labelled.where(F.col("draw") <= F.element_at(share, F.col("lang")))
+        .dropDuplicates(["lang", "draw"])
         .mapInArrow(rows, "draw double, lang string, vector binary")
         .collect()
     )
@@ -253,6 +257,7 @@ def with_language(docs: DataFrame, model: LanguageModel | None, text: str = "tex
     """``docs`` with ``lid_lang`` and ``lid_score``.  The model has
     BINS weights for each family and each pair of languages of a family.
     ``lid_known``: whether the text looks like one of the predicted language."""
+    no_columns(docs, "lid_")
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_score", T.DoubleType()), T.StructField("lid_known", T.BooleanType())])

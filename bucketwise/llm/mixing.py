@@ -14,7 +14,7 @@ Defined results
   * rows that repeat a doc_id are separate rows that share one coin;
   * an empty table gives an empty table; extra columns are carried by
     :func:`mix_sources` and :func:`emit_copies` unchanged;
-  * column names that this module adds start with ``mix_``.
+  * added columns start with ``mix_``; a column whose name does is refused.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import materialize, unit_hash, word_count
+from bucketwise.llm.common import materialize, no_columns, unit_hash, word_count
 
 #: No source is repeated more often than this.
 MAX_RATE = 3
 #: Weights that sources take in turn, in the order of their names' code points.
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
 
 
 def cyclic_weight(rank: Column, weights: tuple[int, ...] = WEIGHTS) -> Column:
@@ -79,6 +80,7 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``,
     ``mix_rate`` and ``mix_copies`` (how often the mix takes the document)."""
+    no_columns(docs, "mix_")
     sized = docs.withColumn("mix_size", word_count(F.col(text)))
     # written first, so that its size is known when the join is planned
     targets = materialize(
@@ -100,8 +102,7 @@ def mix_sources(
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """The mixed corpus: each document ``mix_copies`` times, as rows."""
     copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    added = [c for c in mixed.columns if c.startswith("mix_")]
-    return mixed.withColumn("mix_copy", F.explode(copies)).drop(*added, "mix_copy")
+    return mixed.withColumn("mix_copy", F.explode(copies)).drop(*ADDED, "mix_copy")
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

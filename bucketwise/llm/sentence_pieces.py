@@ -18,7 +18,11 @@ Defined results
   * without byte pieces an unknown character becomes the unknown id, which
     decodes to U+2047 between spaces;
   * rows that repeat are encoded alike; an empty table stays empty; extra
-    columns are carried by :func:`with_pieces`; added columns start with ``sp_``.
+    columns are carried by :func:`with_pieces`; a column whose name starts with
+    ``sp_`` is refused;
+  * models that change texts before they are cut (a character map, removal of
+    extra white space, unescaped white space) or that have user-defined pieces are
+    refused: their texts would be cut otherwise than the format says.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bucketwise.llm.common import returns_memory
+from bucketwise.llm.common import no_columns, returns_memory
 from bucketwise.llm.id_cache import IdCache, joined
 
 MODEL = "piece_bpe_32k.model"
@@ -84,15 +88,20 @@ class PieceModel:
 
     def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        dummy_prefix = True
+        dummy_prefix, normaliser = True, {}
         for number, value in _fields(data):
             if number == 1:
                 piece = dict(_fields(value))
                 self.pieces.append((piece[1].decode(), float(piece.get(2, 0.0)), int(piece.get(3, NORMAL))))
             elif number == 3:
-                dummy_prefix = bool(dict(_fields(value)).get(3, 1))
+                normaliser = dict(_fields(value))
+                dummy_prefix = bool(normaliser.get(3, 1))
+        if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+            raise ValueError("a model with a normaliser of its own is not supported")
+        if any(kind == USER_DEFINED for _, _, kind in self.pieces):
+            raise ValueError("a model with user-defined pieces is not supported")
         self.dummy_prefix = dummy_prefix
-        ordinary = [(i, p, s) for i, (p, s, k) in enumerate(self.pieces) if k in (NORMAL, USER_DEFINED) and p]
+        ordinary = [(i, p, s) for i, (p, s, k) in enumerate(self.pieces) if k == NORMAL and p]
         self.unknown_id = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
         self.unknown_score = min((s for _, _, s in ordinary), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids = {int(p[3:-1], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
@@ -200,6 +209,7 @@ def read_model(path: str | None = None) -> bytes:
 def with_pieces(docs: DataFrame, model: bytes | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``sp_ids`` (array of int) and ``sp_decoded``, the text that
     those ids decode to.  The model (below a megabyte) is broadcast."""
+    no_columns(docs, "sp_")
     shared = docs.sparkSession.sparkContext.broadcast(model or read_model())
     at = docs.columns.index(text)
     schema = T.StructType(

@@ -8,6 +8,13 @@ continuation bitmap that tells which ids go on; level 1 has the next 8 bits of
 those, and so on.  Each bitmap has a rank directory (ones before every 512th
 bit), so the ``i``-th id is found level by level without decoding a block.
 
+The files hold the codes as they are: without compression or dictionary, a
+page for each block, in order of ``part`` and ``ids_before``, whose page index
+leads a look-up to the one page that it needs.  ``offsets`` tells where in
+``codes`` each level's chunks, bitmap and directory begin; a look-up takes one
+byte, up to 64 bytes of bitmap and one rank of each level out of the block
+where it lies, and only these reach the driver.
+
 The tokenizer's vocabulary drops white space and never merges across it, so a
 text's ids are the ids of its words in turn.  Each worker asks the tokenizers
 library for a word once and keeps its ids; texts for which that split would
@@ -38,12 +45,12 @@ from bucketwise.llm.common import materialize, returns_memory
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: A block is closed at this many ids, at the end of a document.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 RANK_BITS = 512
 #: Words that a worker keeps; beyond, it starts anew.
 CACHED_WORDS = 1_500_000
 
-BLOCK_SCHEMA = "part int, seq int, ids_before long, doc_ids array<long>, n_ids array<long>, codes binary"
+BLOCK_SCHEMA = "part int, seq int, ids_before long, doc_ids array<long>, n_ids array<long>, offsets array<long>, codes binary"
 _BLOCK_ARROW = pa.schema(
     [
         ("part", pa.int32()),
@@ -51,9 +58,17 @@ _BLOCK_ARROW = pa.schema(
         ("ids_before", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("n_ids", pa.list_(pa.int64())),
+        ("offsets", pa.list_(pa.int64())),
         ("codes", pa.binary()),
     ]
 )
+#: A page for each block, its bytes as they are.
+FILE_OPTIONS = {
+    "compression": "none",
+    "parquet.enable.dictionary": "false",
+    "parquet.page.size": "4096",
+    "parquet.page.size.row.check.min": "1",
+}
 
 
 # -- directly addressable codes ------------------------------------------------
@@ -82,11 +97,12 @@ class DacReader:
     """Random access to, or all of, the ids in :func:`dac_encode`'s bytes."""
 
     def __init__(self, data: bytes):
-        self.levels, at = [], 4
+        self.levels, self.offsets, at = [], [], 4
         for _ in range(int(np.frombuffer(data, "<u4", 1)[0])):
             n = int(np.frombuffer(data, "<u8", 1, at)[0])
             at += 8
             low = np.frombuffer(data, np.uint8, n, at)
+            self.offsets += [at, at + n, at + n + -(-n // 8)]
             at += n
             bitmap = np.frombuffer(data, np.uint8, -(-n // 8), at)
             at += len(bitmap)
@@ -287,7 +303,8 @@ def encode_documents(
         held = 0
 
         def block() -> pa.RecordBatch:
-            row = [[part], [seq], [before], [keys], [lengths], [dac_encode(np.concatenate(ids))]]
+            codes = dac_encode(np.concatenate(ids))
+            row = [[part], [seq], [before], [keys], [lengths], [DacReader(codes).offsets], [codes]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _BLOCK_ARROW)], schema=_BLOCK_ARROW)
 
         for batch in batches:
@@ -359,22 +376,36 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     )
 
 
+def write_blocks(blocks: DataFrame, name: str = "token-blocks") -> DataFrame:
+    """``blocks`` in the file format, written and opened again."""
+    return materialize(blocks, name, **FILE_OPTIONS)
+
+
 def token_at(blocks: DataFrame, position: int, starts: dict[int, int] | None = None) -> int:
-    """The id at ``position`` of the whole corpus: one block is read, none decoded."""
+    """The id at ``position`` of the whole corpus, out of the codes of one block."""
     starts = part_starts(blocks) if starts is None else starts
-    part = max((p for p in starts if starts[p] <= position), key=lambda p: (starts[p], p), default=None)
+    part = max((p for p in starts if 0 <= starts[p] <= position), key=lambda p: (starts[p], p), default=None)
     if part is None:
         raise IndexError(position)
     inside = position - starts[part]
-    row = (
-        blocks.where((F.col("part") == part) & (F.col("ids_before") <= inside))
-        .orderBy(F.desc("ids_before"))
-        .select("ids_before", "codes")
-        .first()
-    )
-    return DacReader(row.codes).token(inside - row.ids_before)
+    here = blocks.where((F.col("part") == part) & (F.col("ids_before") <= inside))
+    block = here.orderBy(F.desc("ids_before")).select("ids_before", "offsets", F.length("codes").alias("size")).first()
+    at = blocks.where((F.col("part") == part) & (F.col("ids_before") == block.ids_before))
+    if position < 0 or inside - block.ids_before >= block.offsets[1] - block.offsets[0]:
+        raise IndexError(position)
+    value, i = 0, inside - block.ids_before
+    for level in range(len(block.offsets) // 3):
+        chunk, bitmap, rank = block.offsets[3 * level : 3 * level + 3]
+        first, group = i // RANK_BITS * (RANK_BITS // 8), i // RANK_BITS
+        cut = lambda offset, size: F.substring("codes", offset + 1, size)
+        low, bits, before = at.select(cut(chunk + i, 1), cut(bitmap + first, i // 8 - first + 1), cut(rank + 4 * group, 4)).first()
+        value |= low[0] << (8 * level)
+        if not bits[-1] >> (i & 7) & 1:
+            break
+        i = int.from_bytes(before, "little") + sum(b.bit_count() for b in bits[:-1]) + (bits[-1] & ((1 << (i & 7)) - 1)).bit_count()
+    return value
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_documents(materialize(encode_documents(docs), "token-blocks"))
+    return read_documents(write_blocks(encode_documents(docs)))

@@ -13,7 +13,8 @@ Defined results
     fits no rule, has no canonical form and is allowed by the method;
   * null or empty listed URLs list nothing; repeated ones count once;
   * repeated rows are judged alike, each on its own; an empty table stays
-    empty; extra columns are carried; added columns start with ``url_``.
+    empty; extra columns are carried; added columns start with ``url_``; a
+    column whose name does is refused.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Hosts with one of these labels supply the list in the registered query.
-LISTED_LABELS = ("spam-farm", "ads-track")
+#: A session can name a list of URLs (lines of text) for the registered query;
+#: else pages on hosts with one of these labels supply it.
+LIST_SETTING = "spark.bucketwise.urlList"
+LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 #: Query parameters that do not name a different page.
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)(?:=[^&]*)?"
 
@@ -168,6 +171,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RUL
 
     ``listed``: one column of URLs to block.
     """
+    no_columns(pages, "url_")
     spark = pages.sparkSession
     keys = (
         listed.select(canonical_url(F.col(listed.columns[0])).alias("url_listed"))
@@ -207,7 +211,8 @@ def listed_by_label(pages: DataFrame, url: str = "url", labels=LISTED_LABELS) ->
 
 def op10_filter_urls(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(pages, listed_by_label(pages)).select(
+    path = spark.conf.get(LIST_SETTING, None)
+    return filter_urls(pages, spark.read.text(path) if path else listed_by_label(pages)).select(
         "page_id",
         F.col("url_host").alias("host"),
         F.col("url_path").alias("path"),
@@ -231,7 +236,7 @@ WITH parsed AS (
   FROM parsed
 ), listed AS (
   SELECT DISTINCT canonical AS c FROM canon
-  WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'ads-track']) AND length(canonical) > 0
+  WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AND length(canonical) > 0
 ), rules(verdict, rhost, prefix) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
          ('allow', 'com', '/fr/'), ('block', 'com', '/de/')

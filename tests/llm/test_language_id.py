@@ -81,3 +81,14 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(lid.LanguageModel, "fit", lambda x, labels: seen.extend(labels))
     lid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(seen) == ["en"] * 4 + ["fr"] * 4 + ["ru"] * 4
+
+
+def test_null_ids_and_repeated_texts(spark):
+    texts = ["the cat sat on the mat", "der Hund lief durch den Wald", "le chat dort dans la maison"]
+    rows = [(None, texts[i % 3], ("en", "de", "fr")[i % 3]) for i in range(9000)] + [(None, "rara avis", "la")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.train(docs)
+    assert sorted(sum(model.langs, [])) == ["de", "en", "fr", "la"]
+    assert {(r.text, r.lid_lang) for r in lid.with_language(docs, model).distinct().collect()} == {*zip(texts, ("en", "de", "fr")), ("rara avis", "la")}
+    varied = spark.createDataFrame([(None, f"{texts[i % 3]} {i}", ("en", "de", "fr")[i % 3]) for i in range(9000)], "doc_id long, text string, lang string")
+    assert len(lid.train(varied).families) == 2

@@ -1,8 +1,11 @@
 """Every query: over the test data, an empty table, and against its SQL."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
-from bucketwise.llm import registry
+from bucketwise.llm import common, language_id, mixing, near_dedup, pii, registry, sentence_pieces, url_filter
 from tests.oracle import same
 
 DOCUMENT_QUERIES = sorted(n for n in registry.QUERIES if n != "op10_filter_urls")
@@ -31,3 +34,32 @@ def test_one_row_per_row(spark, tables, name):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize(
+    "run, column",
+    [
+        (lambda d: mixing.mix_sources(d), "mix_size"),
+        (lambda d: language_id.with_language(d, None), "LID_lang"),
+        (lambda d: sentence_pieces.with_pieces(d), "sp_ids"),
+        (lambda d: near_dedup.deduplicate(d), "near_key"),
+        (lambda d: pii.replace_pii(d, "k"), "pii_raw"),
+        (lambda d: url_filter.filter_urls(d, d.select("text"), "text"), "url_host"),
+    ],
+)
+def test_own_columns_are_refused(odd, run, column):
+    with pytest.raises(ValueError, match=column):
+        run(odd.withColumn(column, F.lit(1)))
+
+
+def test_emitting_copies_keeps_other_columns(odd):
+    mixed = mixing.mix_sources(odd).withColumn("mix_own", F.lit(1))
+    assert mixing.emit_copies(mixed).columns == [*odd.columns, "mix_own"]
+
+
+def test_temporary_tables_go(spark):
+    with common.temporary() as outer:
+        with common.temporary() as inner:
+            kept, gone = (inner.keep(common.materialize(spark.range(3), "kept")), common.materialize(spark.range(3), "gone"))
+        assert kept.count() == 3 and not os.path.exists(gone._shared_path.removeprefix("file://"))
+    assert not os.path.exists(kept._shared_path.removeprefix("file://"))

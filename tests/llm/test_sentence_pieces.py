@@ -93,3 +93,13 @@ def test_unknown_without_bytes(data):
 def test_query(spark, sf_dir):
     out = sp.op4_sentence_pieces(spark, sf_dir)
     assert out.where(~F.col("exact")).count() == 0 and out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_models_that_change_texts_are_refused(data):
+    field = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    piece = lambda text, kind: field(1, field(1, text) + bytes([0x18, kind]))
+    keeps = field(3, bytes([0x20, 0]))
+    assert len(sp.PieceModel(piece(b"a", sp.NORMAL) + keeps).pieces) == 1
+    for spoilt in (piece(b"a", sp.NORMAL), piece(b"a", sp.NORMAL) + field(3, field(2, b"map") + bytes([0x20, 0])), piece(b"a", sp.USER_DEFINED) + keeps):
+        with pytest.raises(ValueError, match="not supported"):
+            sp.PieceModel(spoilt)

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from bucketwise.llm import token_files as tf
-from bucketwise.llm.common import materialize
 
 ODD = [
     "", None, "it's we'll don't, x's.", "a\x1cb c", "ΑΣ ΣΑΣ.", "İstanbul ISTANBUL.", "<|endoftext|> a<|startoftext|>b. c", "á. é! ́x",
@@ -51,10 +52,26 @@ def test_query(spark, tables):
 
 
 def test_random_access(spark, odd):
-    blocks = materialize(tf.encode_documents(odd, block_ids=500), "blocks")
+    blocks = tf.write_blocks(tf.encode_documents(odd, block_ids=500))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in blocks.inputFiles()]
+    columns = [f.metadata.row_group(g).column(c) for f in files for g in range(f.num_row_groups) for c in range(f.metadata.num_columns)]
+    codes = [c for c in columns if c.path_in_schema == "codes"]
+    assert codes and all(c.compression == "UNCOMPRESSED" and c.has_offset_index and "PLAIN_DICTIONARY" not in c.encodings for c in codes)
     rows = sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or ""))
     everything = sum(library([r.text for r in rows]), [])
     assert blocks.count() > 3
     starts = tf.part_starts(blocks)
     for at in random.Random(2).sample(range(len(everything)), 12) + [0, len(everything) - 1]:
         assert tf.token_at(blocks, at, starts) == everything[at]
+    for at in (-1, len(everything)):
+        with pytest.raises(IndexError):
+            tf.token_at(blocks, at, starts)
+
+
+def test_look_ups_in_three_levels(spark):
+    ids = np.random.default_rng(3).integers(0, 1 << 20, 3000, dtype=np.uint32)
+    ids[::3] &= 0xFF
+    codes = tf.dac_encode(ids)
+    row = (0, 0, 0, [1], [3000], tf.DacReader(codes).offsets, codes)
+    blocks = spark.createDataFrame([row], tf.BLOCK_SCHEMA)
+    assert [tf.token_at(blocks, at, {0: 0}) for at in (0, 511, 512, 1500, 2999)] == ids[[0, 511, 512, 1500, 2999]].tolist()
