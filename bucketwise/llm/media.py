@@ -283,7 +283,7 @@ def media_facts(store: MediaStore) -> DataFrame:
     fetched = (
         placed.where("frame is null")
         .drop("frame")
-        .join(store.chunks, "digest")
+        .join(store.chunks, "digest", "left")  # a missing chunk is an error, not a missing row
         .select("recipe_id", F.struct("at", "frame").alias("f"))
     )
     frames = (

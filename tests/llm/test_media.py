@@ -1,8 +1,10 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -20,6 +22,37 @@ def check(rows, facts):
     assert got == sorted(want, key=str)
 
 
+def stored(text):
+    """(media_bytes, media_sha256, feature), byte by byte."""
+    data = m.payload(text)
+    ends, last, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(m.GEAR[byte])) % 2**32  # what is older than 32 bytes has been shifted out
+        if i + 1 - last == 16384 or (i + 1 - last >= 1024 and h >> 20 == 0):
+            last = i + 1
+            ends.append(last)
+    if last < len(data):
+        ends.append(len(data))
+    chunks = [data[a:b] for a, b in zip([0, *ends], ends)]
+    frames = [zstandard.ZstdCompressor(level=3).compress(c) for c in chunks]
+    head = b"CDM1" + len(chunks).to_bytes(4, "little")
+    for c, f in zip(chunks, frames):
+        head += len(c).to_bytes(4, "little") + len(f).to_bytes(4, "little") + hashlib.blake2b(c, digest_size=16).digest()
+    form = head + b"".join(frames)
+    mean = sum(data) / len(data)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in data) / len(data))
+    crossings = sum((x >= 128) != (y >= 128) for x, y in zip(data, data[1:]))
+    shares = [sum(k * 32 <= x < k * 32 + 32 for x in data) / len(data) for k in range(8)]
+    feature = ",".join([f"{mean:.4f}", f"{deviation:.4f}", str(crossings), *(f"{s:.4f}" for s in shares)])
+    return len(form), hashlib.sha256(form).hexdigest(), feature
+
+
+def test_stored_form_and_features(spark, tables):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/odd/documents.parquet").collect()}
+    for r in m.op6_media_columns(spark, f"{tables}/odd").collect():
+        assert (r.media_bytes, r.media_sha256, r.feature) == stored(rows[r.doc_id])
+
+
 def test_odd_rows(spark, odd, empty):
     store = m.write_media(odd)
     facts = m.media_facts(store).collect()
@@ -33,19 +66,20 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_a_filter_that_passes_all(spark, odd, monkeypatch):
-    monkeypatch.setattr(m.BlockedBloom, "may_contain", lambda self, keys: np.ones(len(keys), bool))
-    # the workers import their own copy, so only the recipe of false positives in this process is checked
+    # the words of the filter are broadcast, so the workers' filters pass all keys too
+    full = lambda keys: m.BlockedBloom(np.full(512 * 8, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(m.BlockedBloom, "build", full)
     store = m.write_media(odd)
+    assert store.recipes.where("n_missing < size(lengths)").count() == 0
     check([(r.doc_id, r.text) for r in odd.collect()], m.media_facts(store).collect())
 
 
 def test_damage_is_noticed(spark, odd):
     store = m.write_media(odd)
     broken = m.MediaStore(store.recipes, store.chunks.where("false"))
-    assert m.media_facts(broken).count() < odd.count()
+    with pytest.raises(Exception, match="is missing"):
+        m.media_facts(broken).collect()
     parts = [b"a" * 2000]
-    import zstandard
-
     frame = zstandard.ZstdCompressor().compress(b"b" * 2000)
     with pytest.raises(ValueError, match="damaged"):
         m.rebuild(m.digest(parts[0]), [2000], [frame])
