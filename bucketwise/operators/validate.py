@@ -44,13 +44,9 @@ def open_envelope(body: object) -> Envelope:
     return Envelope(logs)
 
 
-def _field(name: str) -> Column:
-    return F.try_variant_get(F.col("entry_variant"), f"$.{name}", "variant")
-
-
 def _string(name: str) -> Column:
-    value = _field(name)
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col("entry_variant"), f"$.{name}", "string"))
+    value = F.col("entry_fields")[name]
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def validated(entries: DataFrame, now: Column | None = None, raw: str = "raw") -> DataFrame:
@@ -61,21 +57,19 @@ def validated(entries: DataFrame, now: Column | None = None, raw: str = "raw") -
     objects, repeat a key, or have unknown keys are ``invalid log entry``.
     """
     now = F.current_timestamp() if now is None else now
-    df = entries.withColumn("entry_variant", F.try_parse_json(F.col(raw)))
-    is_object = F.coalesce(F.schema_of_variant("entry_variant").startswith("OBJECT"), F.lit(False))
-    df = df.withColumn("entry_keys", F.when(is_object, F.json_object_keys(F.col(raw))))
+    # the text is parsed once and taken apart once; all fields are looked up in the map
+    df = entries.withColumn("entry_fields", F.try_variant_get(F.try_parse_json(F.col(raw)), "$", "map<string,variant>"))
+    fields = F.col("entry_fields")
+    is_object = fields.isNotNull()
     df = df.withColumn("timestamp", instant_column(_string("timestamp")))
     df = df.withColumn("level_text", _string("level"))
     df = df.withColumn("service", trimmed(_string("service"))).withColumn("message", trimmed(_string("message")))
-    given = F.array_contains("entry_keys", "attributes")
-    members = F.try_variant_get(F.col("entry_variant"), "$.attributes", "map<string,variant>")
-    of_kind = F.coalesce(F.schema_of_variant(_field("attributes")).startswith("OBJECT"), F.lit(False))
-    df = df.withColumn("members", F.when(given & of_kind, members))
+    given = F.coalesce(F.map_contains_key(fields, F.lit("attributes")), F.lit(False))
+    df = df.withColumn("members", F.when(given, F.try_variant_get(fields["attributes"], "$", "map<string,variant>")))
     flat = ~given | F.coalesce(
-        of_kind & F.forall(F.map_values("members"), lambda v: F.coalesce(F.schema_of_variant(v).rlike(_SCALAR), F.lit(False))),
-        F.lit(False),
+        F.forall(F.map_values("members"), lambda v: F.coalesce(F.schema_of_variant(v).rlike(_SCALAR), F.lit(False))), F.lit(False)
     )
-    known = F.size(F.array_except("entry_keys", F.array(*map(F.lit, FIELDS)))) == 0
+    known = F.forall(F.map_keys(fields), lambda k: k.isin(*FIELDS))
     blank = F.lit("")
     reason = (
         F.when(~is_object, "invalid log entry")
@@ -95,8 +89,8 @@ def validated(entries: DataFrame, now: Column | None = None, raw: str = "raw") -
     return (
         df.withColumn("level", F.col("level_text"))
         .withColumn("attributes_text", F.when(accepted, F.coalesce(text, empty)))
-        .withColumn("attributes", F.when(accepted, F.coalesce(F.to_json(_field("attributes")), F.lit("{}"))))
-        .drop("entry_variant", "entry_keys", "level_text", "members")
+        .withColumn("attributes", F.when(accepted, F.coalesce(F.to_json(F.col("entry_fields")["attributes"]), F.lit("{}"))))
+        .drop("entry_fields", "level_text", "members")
     )
 
 
