@@ -22,6 +22,8 @@ def session(master: str | None = None, app: str = "bucketwise", **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # a larger method is never compiled by the JVM; smaller ones without whole-stage code are faster
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings |= {_setting(k): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
