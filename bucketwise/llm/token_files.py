@@ -22,7 +22,8 @@ not be exact are handed over whole.
 
 Defined results
   * null text counts as empty: it has the end id alone;
-  * null keys come last; rows that repeat a key are ordered by their text;
+  * null keys come last; rows that repeat a key are ordered by a hash of their
+    text, then by the text, so that one key's rows, however many, are dealt out;
   * an empty table gives an empty table of blocks; extra columns are ignored;
   * a very long text stays in one block of its own size.
 """
@@ -326,9 +327,8 @@ def encode_documents(
             yield block()
 
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    ordered = ordered.repartitionByRange(F.col("k").asc_nulls_last()).sortWithinPartitions(
-        F.col("k").asc_nulls_last(), F.col("t").asc_nulls_first()
-    )
+    order = [F.col("k").asc_nulls_last(), F.xxhash64("t").asc()]
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, F.col("t").asc_nulls_first())
     return ordered.mapInArrow(blocks, BLOCK_SCHEMA)
 
 

@@ -4,8 +4,10 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bucketwise.llm import token_files as tf
@@ -16,6 +18,12 @@ ODD = [
 ]
 
 
+def spark_hash(text):
+    """Spark's xxhash64; a null leaves the seed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def library(texts):
     t = Tokenizer.from_file(tf.default_tokenizer())
     return [t.encode(x or "", add_special_tokens=False).ids + [tf.END_ID] for x in texts]
@@ -43,7 +51,7 @@ def test_codes(ids):
 
 def test_query(spark, tables):
     rows = spark.read.parquet(f"{tables}/odd/documents.parquet").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    rows.sort(key=lambda r: (r.doc_id, spark_hash(r.text)))
     want, start = [], 0
     for r, ids in zip(rows, library([r.text for r in rows])):
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
@@ -57,7 +65,7 @@ def test_random_access(spark, odd):
     columns = [f.metadata.row_group(g).column(c) for f in files for g in range(f.num_row_groups) for c in range(f.metadata.num_columns)]
     codes = [c for c in columns if c.path_in_schema == "codes"]
     assert codes and all(c.compression == "UNCOMPRESSED" and c.has_offset_index and "PLAIN_DICTIONARY" not in c.encodings for c in codes)
-    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or ""))
+    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, spark_hash(r.text)))
     everything = sum(library([r.text for r in rows]), [])
     assert blocks.count() > 3
     starts = tf.part_starts(blocks)
@@ -75,3 +83,16 @@ def test_look_ups_in_three_levels(spark):
     row = (0, 0, 0, [1], [3000], tf.DacReader(codes).offsets, codes)
     blocks = spark.createDataFrame([row], tf.BLOCK_SCHEMA)
     assert [tf.token_at(blocks, at, {0: 0}) for at in (0, 511, 512, 1500, 2999)] == ids[[0, 511, 512, 1500, 2999]].tolist()
+
+
+def test_one_key_is_dealt_out(spark):
+    rows = [(None, f"text {i}") for i in range(400)] + [(7, f"other {i}") for i in range(400)] + [(i, "x") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would meet in one partition
+    try:
+        blocks = tf.write_blocks(tf.encode_documents(docs, block_ids=50))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r.n for r in blocks.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 400
+    assert sorted(r.start for r in tf.read_documents(blocks).collect())[0] == 0
