@@ -29,3 +29,13 @@ def test_entry_without_the_training_data_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'agg_1m' in q and not any(n.startswith('op') for n in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_entry_without_a_library_of_the_training_data_subpackage():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'agg_1m' in q and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
