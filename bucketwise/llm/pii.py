@@ -11,7 +11,7 @@ drawn from a keyed SHA-256 of its kind, its normal form and an attempt number:
     their own, so "Dr John Smith", "Mr John Smith" and "Mr Smith" share what
     they have in common, as do "Иванов" and "Иванова";
   * format: digits stay digits, letters stay letters of their case, separators
-    stay; cards keep their issuer's digit and pass the Luhn check, account
+    stay; cards keep their issuer's first two digits and pass the Luhn check, account
     numbers (IBAN) keep country and length and pass the check modulo 97; mail
     addresses lie in domains reserved for examples; private network addresses
     stay private and public ones public; names keep title, gender and script;
@@ -24,7 +24,7 @@ drawn from a keyed SHA-256 of its kind, its normal form and an attempt number:
     format that found no free value in MOST_ATTEMPTS take one another's.
 
 Scope.  Mail addresses; secrets after a word such as token or password; IBAN;
-card numbers that pass the Luhn check; IPv4 addresses; US social security
+card numbers of payment issuers (beginning with 3 to 6, or 22 to 27) that pass the Luhn check; IPv4 addresses; US social security
 numbers; telephone numbers of ten digits in groups, or with + and a country
 code; names of one or two words in Latin, Cyrillic or Greek after one of TITLES
 (a single word is a family name).  Names without a title, other scripts, IPv6
@@ -277,7 +277,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         F.lit(".example.net"),
     )
     country, account = F.substring(norm, 1, 2), _same_shape(F.substring(norm, 5, 1 << 20), seed)
-    body = F.concat(F.substring(norm, 1, 1), _same_shape(F.substring(norm, F.lit(2), F.length(norm) - 2), seed))
+    body = F.concat(F.substring(norm, 1, 2), _same_shape(F.substring(norm, F.lit(3), F.length(norm) - 3), seed))
     return (
         F.when(kind == "email", F.concat(_same_shape(local, seed), _further(list(_LOWER), seed, further), F.lit("@"), domain))
         .when(
@@ -410,10 +410,11 @@ def replacements(forms: DataFrame, key: str) -> DataFrame:
 
 
 def _is_entity(raw: Column) -> Column:
-    """A number that looks like a card's is one only if its check digit is right."""
+    """A number that looks like a card's is one only if a card issuer's numbers
+    begin like it and its check digit is right."""
     digits = F.regexp_replace(raw, r"\D", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    return ~raw.rlike(f"^(?:{PATTERNS['card']})$") | (_luhn(body) == digits)
+    return ~raw.rlike(f"^(?:{PATTERNS['card']})$") | (digits.rlike("^(?:[3-6]|2[2-7])") & (_luhn(body) == digits))
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
