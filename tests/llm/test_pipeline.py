@@ -18,9 +18,9 @@ def test_stages(spark, sf_dir):
     assert known > 0.97 * all_
     rows = [(r.doc_id, r.text) for r in seen["language_id"].collect()]
     kept = seen["simhash_near_dedup"].count()
-    assert len(brute_kept(rows)) <= kept <= len(brute_kept(rows)) + 0.02 * known
+    assert sorted(r.doc_id for r in seen["simhash_near_dedup"].collect()) == brute_kept(rows) and kept < known
     assert seen["pii_surrogates"].count() == kept
-    assert pii.replace_pii(seen["simhash_near_dedup"]).where("pii_found > 0").count() > 0
+    assert pii.replace_pii(seen["simhash_near_dedup"], "k").where("pii_found > 0").count() > 0
     mixed = seen["mix_sources"]
     assert mixed.groupBy("doc_id").count().where("count > 3").count() == 0 and seen["sentence_pieces"].count() == mixed.count()
     assert seen["sentence_pieces"].where(~F.col("exact")).count() == 0
