@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketwise.llm.common import materialize
+from bucketwise.llm.common import discard, materialize, temporary
 from bucketwise.llm.language_id import UNDETERMINED, train, with_language
 from bucketwise.llm.mixing import emit_copies, mix_sources
 from bucketwise.llm.near_dedup import deduplicate
@@ -70,5 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary() as scratch:  # what a stage wrote for itself goes with it
+            after = scratch.keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
