@@ -11,8 +11,9 @@ left apart, and each is verified on the whole sets:
 2. shingles are put in one order for all texts, rare ones first.  Of n shingles,
    the first n - ceil(similarity * n) + 1 are a text's prefix, and two texts that
    are similar enough share a shingle of both prefixes.  Where texts of
-   several components have a shingle in their prefixes, each text proposes the
-   one that it shares most with among its neighbours in size;
+   several components have a shingle in their prefixes, each text proposes
+   those that it shares most with, among its neighbours in size and the texts
+   there that share most with others;
 3. all pairs of texts that share such a shingle, that are still apart and that
    sizes and places in the order do not rule out.
 
@@ -42,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +60,8 @@ RADIUS = 3
 #: told apart from rare ones, at most.
 ORDER_SAMPLE = 20_000
 FREQUENT = 200_000
+#: Texts that a text proposes in the second step, at most; the third has no limit.
+PARTNERS = 3
 #: Texts with one shingle that a task compares with one another, about.
 BLOCK = 8000
 
@@ -238,19 +241,17 @@ def prefix_rows(shingles: DataFrame, roots: DataFrame, similarity: float = SIMIL
     return materialize(here.join(met, "token", "left_semi"), "prefixes")
 
 
-def _runs_of_tokens(
-    dealt: DataFrame, keys: list[str], pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]
-) -> DataFrame:
-    """(a, b): what ``pairs`` finds among the rows with the same ``keys`` (the
-    last of them the token; place, node and root follow), in order of place."""
+def _runs_of_tokens(dealt: DataFrame, keys: list[str], pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(a, b): what ``pairs`` finds among the rows with the same ``keys``, in
+    order of place; it gets the columns run, place, root and weight."""
 
     @returns_memory
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def found(key: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def found(run: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
             got, size = [], 0
-            for i, j in pairs(key, place, root):
+            for i, j in pairs(run, place, root, weight):
                 got.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
                 size += len(i)
                 if size > CHUNK_ROWS:
@@ -273,45 +274,57 @@ def _runs_of_tokens(
         if held:
             yield from found(*(np.concatenate(c) for c in zip(*held)))
 
-    # one number for a run: tokens are 32 bits, and runs of several blocks are few
-    run = F.xxhash64(*keys) if len(keys) > 1 else F.col(keys[0]).cast("long")
-    rows = dealt.select(run.alias("run"), "place", "node", "root").repartition("run").sortWithinPartitions("run", "place", "node")
+    rows = dealt.select(F.xxhash64(*keys).alias("run"), "place", "node", "root", "weight")
+    rows = rows.repartition("run").sortWithinPartitions("run", "place", "node")
     return rows.mapInArrow(meet, "a long, b long")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "node", "left").select("token", "place", "node", F.coalesce("root", "node").alias("root"))
+def _apart_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` of shingles that still meet several components, with root, weight
+    (the shingles of the node in ``rows``), blocks (of a run of one shingle, each
+    of BLOCK texts or so) and own, the block of the node."""
+    weights = rows.groupBy("node").agg(F.count("*").alias("weight"))
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(weights, "node")
+    apart = rooted.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")
+    ).where("low < high").select("token", "blocks")
+    return rooted.join(apart, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
 
 def best_partners(rows: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) with a < b, one at most for each b: of the neighbours by size in
-    the runs of its shingles, that of another component that it meets most often."""
+    """(a, b), PARTNERS at most of each text: of its neighbours by size in the runs
+    of its shingles, and of the texts there that share most shingles with
+    others, those of other components that it meets most often.
+
+    An original shares all its shingles with its copies, a copy not all with
+    others, so copies that are alike only by way of the original find it."""
 
-    def neighbours(token: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i = np.flatnonzero((token[1:] == token[:-1]) & (root[1:] != root[:-1]))
-        i = i[_possible(place[i], place[i + 1], similarity)]
-        yield i, i + 1
+    def partners(run: np.ndarray, place: np.ndarray, root: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        heaviest = np.lexsort((-np.arange(len(run)), weight, run))  # runs stay in order
+        hub = np.repeat(heaviest[np.append(first[1:], len(run)) - 1], np.diff(np.append(first, len(run))))
+        every = np.arange(len(run))
+        for i, j in ((every[:-1][run[1:] == run[:-1]], every[1:][run[1:] == run[:-1]]), (every, hub)):
+            ok = (root[i] != root[j]) & _possible(place[i], place[j], similarity)
+            yield i[ok], j[ok]
 
-    met = _runs_of_tokens(_rooted(rows, roots), ["token"], neighbours).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    met = _runs_of_tokens(_apart_rows(rows, roots), ["own", "token"], partners).groupBy("a", "b").agg(F.count("*").alias("n"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    order = Window.partitionBy("node").orderBy(F.desc("n"), "other")
+    best = met.select(ends.alias("e"), "n").select("e.*", "n").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PARTNERS)
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def pairs_apart(rows: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): all pairs of texts of different components that share a shingle
     of ``rows`` and that can be similar enough.
 
-    A run of one shingle beyond BLOCK texts is split into blocks by hash, and
-    every pair of blocks is a run of its own, however large the whole is."""
-    rooted = _rooted(rows, roots)
-    apart = rooted.groupBy("token").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")
-    ).where("low < high").select("token", "blocks")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = rooted.join(apart, "token").select("token", "place", "node", "root", own.alias("own"), other.alias("other"))
-    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    dealt = dealt.select(i, j, "token", "place", "node", "root")
-    return _runs_of_tokens(dealt, ["i", "j", "token"], lambda *run: _apart(*run, similarity)).distinct()
+    Of a run of one shingle beyond BLOCK texts every pair of blocks is a run of
+    its own, however large the whole is."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = _apart_rows(rows, roots).select("token", "place", "node", "root", "weight", "own", other)
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return _runs_of_tokens(dealt, ["i", "j", "token"], lambda run, place, root, _: _apart(run, place, root, similarity)).distinct()
 
 
 def verified_links(proposed: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

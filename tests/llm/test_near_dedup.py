@@ -75,6 +75,27 @@ def test_components_in_blocks(spark, monkeypatch):
     assert [r.doc_id for r in deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
 
 
+def test_copies_that_only_the_original_joins(spark, monkeypatch):
+    import random
+
+    from bucketwise.llm import near_dedup
+
+    seen = []
+    judge = near_dedup.verified_links
+    monkeypatch.setattr(near_dedup, "verified_links", lambda links, sets: seen.append(links.count()) or judge(links, sets))
+    rng = random.Random(12)
+    base = words(rng, 300, 5000).split()
+    rows = [(500, " ".join(base), "en", "a", 1)]
+    for i in range(150):
+        other = list(base)
+        for at in rng.sample(range(0, 300, 6), 6):
+            other[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other), "en", "a", 1))
+    assert similarity_of(shingle_set(rows[1][1]), shingle_set(rows[2][1])) < 0.8
+    assert [r.doc_id for r in deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+    assert seen[1] <= 3 * 151 and seen[2] < 300  # of 11,175 pairs
+
+
 def zipf_texts(number, length, vocabulary, s, seed):
     import numpy as np
 
