@@ -1,10 +1,12 @@
 """Document fingerprints by one-permutation MinHash, in column expressions only.
 
 Every five-word shingle is hashed once; the top bits of the hash name a bin
-and each bin keeps its least hash.  An empty bin takes the value of the
-occupied bin that is first in an order of its own (drawn by a universal hash
-of both bins), so each occupied bin is equally likely and documents agree on
-the choice: optimal densification.  The fingerprint packs the low 8 bits of
+and each bin keeps its least hash.  An empty bin probes other bins in an order
+of its own (drawn by a universal hash of its number and the attempt) and takes
+the value of the first occupied one, so each occupied bin is equally likely and
+documents agree on the choice: optimal densification.  After PROBES attempts, as
+in texts of few shingles, the occupied bin of least hash with its number is
+taken, which is as likely to be any.  The fingerprint packs the low 8 bits of
 every bin.  Two different values agree in them once in 256, which the estimate
 of likeness corrects.
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 BINS = 128
 LOW_BITS = 8
+PROBES = 12
 _SHIFT = 57  # the top log2(BINS) bits of a hash name its bin
 _REST = (1 << _SHIFT) - 1
 
@@ -73,16 +76,21 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(heads, F.filter(first, lambda h: h.isNotNull()))
     df = df.withColumn(used, F.filter(heads, lambda h: h.bitwiseAND(_REST) != _REST))
 
+    bins = F.transform(heads, lambda h: F.when(h.bitwiseAND(_REST) != _REST, h))
+
     def dense(s: Column) -> Column:
         mine = _bin(s["h"])
+        probes = [F.element_at(s["b"], (F.pmod(F.xxhash64(mine, F.lit(k)), F.lit(BINS)) + 1).cast("int")) for k in range(PROBES)]
         # structs order by their first field; the bin breaks ties
         ranked = F.transform(s["u"], lambda v: F.struct(F.xxhash64(mine, _bin(v)).alias("o"), v.alias("v")))
         # hashed with its new bin, so that one borrowed hash is not the same bits in every bin
-        borrowed = F.xxhash64(F.array_min(ranked)["v"], mine)
+        borrowed = F.xxhash64(F.coalesce(*probes, F.array_min(ranked)["v"]), mine)
         return F.when(s["h"].bitwiseAND(_REST) != _REST, s["h"]).otherwise(borrowed)
 
+    all_bins = f"{out}_a"
+    df = df.withColumn(all_bins, bins)
     filled = F.transform(
-        F.arrays_zip(F.col(heads).alias("h"), F.array_repeat(F.col(used), BINS).alias("u")), dense
+        F.arrays_zip(F.col(heads).alias("h"), F.array_repeat(F.col(all_bins), BINS).alias("b"), F.array_repeat(F.col(used), BINS).alias("u")), dense
     )
     low = F.transform(filled, lambda v: v.bitwiseAND((1 << LOW_BITS) - 1).cast("smallint"))
     return df.withColumn(out, F.when(n > 0, low)).select(*keep, out)
@@ -107,51 +115,43 @@ def with_next(df: DataFrame, key: str, values: dict[str, str], tie: str) -> Data
     """``df`` with, for each ``name: column`` of ``values``, that column of the
     row that follows in descending order of ``key`` (the first follows the last).
 
-    Rows are dealt into ranges of keys; a range also gets a copy of the row
-    that follows its last one.  The driver sees a quantile and the greatest key
-    of each range, a bounded number; each row moves once.
+    Rows are dealt into ranges of keys, null keys into one of their own, and a
+    range that one key fills into ranges of the hash of ``tie``, which orders the
+    rows of a key.  A range also gets a copy of the row that follows its last
+    one.  The driver sees quantiles, and of each range its first row's key and
+    hash and its size, a bounded number; each row moves once.
     """
     spark = df.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.col(key).cast("long").alias("k"))
-    cuts = keys.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    table = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    k = F.col(key).cast("long")
-    dealt = F.coalesce(F.size(F.filter(table, lambda c: c < k)), F.lit(0))
-    greatest = {
-        r.b: r.g
-        for r in keys.groupBy(F.coalesce(F.size(F.filter(table, lambda c: c < F.col("k"))), F.lit(0)).alias("b"))
-        .agg(F.max("k").alias("g"))
-        .collect()
-    }
-    order = sorted(greatest, reverse=True)
-    df = df.withColumn("next_range", dealt)
-    # a range's greatest rows also go to the range above it; the very first row to the lowest
-    above = {b: order[i - 1] for i, b in enumerate(order)}
-    wanted = F.lit(None).cast("int")
-    if order:
-        known = [b for b in order if greatest[b] is not None]
-        goes = F.create_map(*(F.lit(x) for b in known for x in (b, above[b]))) if known else None
-        top = F.create_map(*(F.lit(x) for b in known for x in (b, greatest[b]))) if known else None
-        if known:
-            wanted = F.when(k == F.element_at(top, F.col("next_range")), F.element_at(goes, F.col("next_range")))
-        else:  # no row has a key: one range, followed by itself
-            wanted = F.lit(order[0])
-    places = F.when(
-        wanted.isNotNull(),
-        F.array(
-            F.struct(F.col("next_range").alias("next_at"), F.lit(0).alias("next_copy")),
-            F.struct(wanted.alias("next_at"), F.lit(1).alias("next_copy")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("next_range").alias("next_at"), F.lit(0).alias("next_copy"))))
+    k, h = F.col(key).cast("long"), F.xxhash64(tie)
+    cuts = df.agg(F.percentile_approx(k, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    table = F.lit(sorted(set(cuts))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    dealt = F.when(k.isNull(), F.lit(-1)).otherwise(F.size(F.filter(table, lambda c: c < k)))
+    sizes = df.groupBy(dealt.alias("r")).agg(F.count("*").alias("n"), F.min(k).eqNullSafe(F.max(k)).alias("one")).collect()
+    share = max(1, sum(r.n for r in sizes) // ranges)
+    parts = {r.r: max(1, -(-r.n // share)) if r.one else 1 for r in sizes}
+    # ranges of hashes: ascending, so later ones come later in the order
+    whole = F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), dealt) if parts else F.lit(1)
+    inner = F.floor((h.cast("double") / F.lit(2.0**64) + 0.5) * whole).cast("int")
+    place = F.struct((-dealt).alias("r"), F.least(F.greatest(inner, F.lit(0)), whole - 1).alias("i"))
+    heads = df.groupBy(place.alias("p")).agg(F.min(F.struct((-F.coalesce(k, F.lit(-(2**63) + 1))).alias("k"), h.alias("h"))).alias("head")).collect()
+    order = sorted(((r.p.r, r.p.i), r.head.h) for r in heads)
+    # what follows the last row of a range is the first of the next; the very first follows the last
+    number = {at: i for i, (at, _) in enumerate(order)}
+    own = F.element_at(F.create_map(*(F.lit(x) for (r, i), n in number.items() for x in (f"{r}:{i}", n))), F.concat_ws(":", place["r"], place["i"])) if order else F.lit(0)
+    df = df.withColumn("next_range", own).withColumn("next_hash", h)
+    first = F.element_at(F.lit([x for _, x in order]), F.col("next_range") + 1) if order else F.lit(None).cast("long")
+    w = Window.partitionBy("next_at").orderBy("next_copy", F.col(key).desc_nulls_last(), "next_hash", F.col(tie))
+    here = F.struct(F.col("next_range").alias("next_at"), F.lit(0).alias("next_copy"))
+    before = F.pmod(F.col("next_range") - 1, F.lit(max(1, len(order)))).alias("next_at")
+    # rows that may be the first of their range: those with its hash (of other keys, a few in vain)
+    places = F.when(F.col("next_hash") == first, F.array(here, F.struct(before, F.lit(1).alias("next_copy")))).otherwise(F.array(here))
     df = df.withColumn("next_place", F.explode(places)).select(
         *[c for c in df.columns if c != "next_range"], "next_place.next_at", "next_place.next_copy"
     )
-    w = Window.partitionBy("next_at").orderBy("next_copy", F.col(key).desc_nulls_last(), F.xxhash64(tie), F.col(tie))
     for name, column in values.items():
         df = df.withColumn(name, F.lead(column).over(w))
-    return df.where("next_copy = 0").drop("next_at", "next_copy")
+    return df.where("next_copy = 0").drop("next_at", "next_copy", "next_hash")
 
 
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
