@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import numpy as np
@@ -33,6 +33,20 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def materialize_each(spark: SparkSession, frames: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """Write tables of one schema, each before the next is made, and read them as one."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    parts = []
+    for df in frames:
+        parts.append(f"{path}/{len(parts)}")
+        df.write.option("compression", "zstd").parquet(parts[-1])
+    out = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    out._shared_path = path
+    return out
+
+
 class temporary:  # noqa: N801  a context manager
     """Tables that are materialised inside are deleted at the end, but for those
     handed to :meth:`keep`, which belong to the next scope outside."""

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from bucketwise.llm import fingerprints, language_id, media, mixing, pii, sentence_pieces, simhash, suffix_dedup, token_files, url_filter
+from bucketwise.llm import (
+    byte_pairs,
+    fingerprints,
+    hard_negatives,
+    language_id,
+    media,
+    mixing,
+    pii,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    token_files,
+    url_filter,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -15,9 +29,14 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_filter_urls": url_filter.op10_filter_urls,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_byte_pairs": byte_pairs.op12_byte_pairs,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_filter_urls": url_filter.OP10_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }

@@ -36,6 +36,20 @@ def odd(spark):
     return df.withColumns(clash).cache()
 
 
+def odd_vectors():
+    """(vec_id, embedding, label): nulls, infinities, ties, repeated rows, an outlier, two labels with most rows."""
+    rng = random.Random(5)
+    base = [[rng.choice((-0.75, -0.25, 0.0, 0.3, 0.5, 0.9)) for _ in range(8)] for _ in range(25)]
+    rows = [(i, rng.choice(base) if i % 3 else [rng.gauss(0, 0.5) for _ in range(8)], rng.choice((0, 1, 1, 1, 9))) for i in range(420)]
+    bad = [None, [None] * 8, [float("nan")] * 8, [float("inf")] + [0.0] * 7, [0.1] * 7 + [None]]
+    rows += [(1000 + k, v, 1) for k, v in enumerate(bad)] + [(1100, base[0], None), (None, base[1], 0), (None, None, None)]
+    rows += [rows[100], rows[100], rows[7], (1200, [50.0, -70.0] + [0.0] * 6, 0), (-100, base[2], 1), (-7, base[3], -3)]
+    return rows
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.limit(0)
@@ -47,4 +61,7 @@ def tables(spark, odd, tmp_path_factory):
     base = tmp_path_factory.mktemp("sf")
     odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").write.parquet(f"{base}/odd/documents.parquet")
     odd.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{base}/none/documents.parquet")
+    vectors = spark.createDataFrame(odd_vectors(), VECTORS).repartition(3)
+    vectors.write.parquet(f"{base}/odd/embeddings.parquet")
+    vectors.limit(0).write.parquet(f"{base}/none/embeddings.parquet")
     return str(base)

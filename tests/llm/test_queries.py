@@ -5,10 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from bucketwise.llm import common, language_id, mixing, near_dedup, pii, registry, sentence_pieces, url_filter
+from bucketwise.llm import byte_pairs, common, language_id, mixing, near_dedup, pii, registry, sentence_pieces, url_filter
 from tests.oracle import same
 
-DOCUMENT_QUERIES = sorted(n for n in registry.QUERIES if n != "op10_filter_urls")
+VECTOR_QUERIES = ["op11_hard_negatives", "op13_vector_codes"]
+DOCUMENT_QUERIES = sorted(n for n in registry.QUERIES if n not in ("op10_filter_urls", *VECTOR_QUERIES))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -32,8 +33,19 @@ def test_one_row_per_row(spark, tables, name):
     assert registry.QUERIES[name](spark, f"{tables}/odd").count() == rows
 
 
+@pytest.mark.parametrize("name", VECTOR_QUERIES)
+def test_vectors_match_sql_on_odd_rows(spark, tables, name):
+    same(spark, f"{tables}/odd", registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", VECTOR_QUERIES)
+def test_empty_vectors(spark, tables, name):
+    got, whole = (registry.QUERIES[name](spark, f"{tables}/{d}") for d in ("none", "odd"))
+    assert got.count() == 0 and got.dtypes == whole.dtypes
+
+
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize(
@@ -44,6 +56,7 @@ def test_names():
         (lambda d: sentence_pieces.with_pieces(d), "sp_ids"),
         (lambda d: near_dedup.deduplicate(d), "near_key"),
         (lambda d: pii.replace_pii(d, "k"), "pii_raw"),
+        (lambda d: byte_pairs.with_ids(d), "bpe_ids"),
         (lambda d: url_filter.filter_urls(d, d.select("text"), "text"), "url_host"),
     ],
 )
