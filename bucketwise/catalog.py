@@ -23,7 +23,7 @@ from bucketwise.operators.validate import validated
 from bucketwise.plans.cursor import Cursor
 from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.events import events_as_logs
-from bucketwise.sources.files import shared_folder
+from bucketwise.sources.files import Files, shared_folder
 from bucketwise.sources.store import LogStore, retention_cutoff
 from bucketwise.streaming.ingest import ingest_stream
 
@@ -375,12 +375,12 @@ def _filled_store(spark: SparkSession, d: str, batches: int = 2) -> LogStore:
     return store
 
 
-_stores: dict[tuple[str, str], LogStore] = {}
+_stores: dict[tuple[str, str, float], LogStore] = {}
 
 
 def _stored(spark: SparkSession, d: str) -> LogStore:
-    """The session's store with the events of a folder, filled once."""
-    key = spark.sparkContext.applicationId, d
+    """The session's store with the events of a folder, filled once for each state of the table."""
+    key = spark.sparkContext.applicationId, d, Files(spark, d).modified(f"{d}/events.parquet")
     if key not in _stores:
         _stores[key] = _filled_store(spark, d)
     return _stores[key]
@@ -427,6 +427,57 @@ QUERIES["store_search_attribute"] = store_search_attribute
 ORACLE_SQL["store_search_attribute"] = f"WITH logs AS ({_LOGS}) SELECT \"timestamp\", level, message FROM logs WHERE user_id = '7'"
 
 
+def _chosen(name: str, q: LogQuery, where: str) -> None:
+    """All rows of a search, from the files that zones and signatures leave."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = matching(_stored(spark, d).logs_for(q), q)
+        return found.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "level", "service", "message")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH logs AS ({_LOGS}) SELECT {_TS}, level, service, message FROM logs WHERE {where}"
+
+
+_HOUR = DAY_3 + 10 * BUCKETS["1h"]
+_chosen("store_search_q", LogQuery(q="By User 14"), "message ILIKE '%by user 14%'")
+_chosen("store_search_q_rare", LogQuery(q="purchase by user 7", since=DAY_3), f"message ILIKE '%purchase by user 7%' AND {_TS} >= {_micros_sql(DAY_3)}")
+_chosen("store_search_q_short", LogQuery(q="7", until=DAY_3), f"contains(message, '7') AND {_TS} < {_micros_sql(DAY_3)}")
+_chosen("store_search_any_attribute", LogQuery(attributes={"k": "42"}), "k = '42'")
+_chosen("store_search_attributes_and_q", LogQuery(attributes={"k": "69", "user_id": "8"}, q="USER 8"), "k = '69' AND user_id = '8' AND message ILIKE '%user 8%'")
+_chosen(
+    "store_search_hour_level",
+    LogQuery("view", "info", _HOUR, _HOUR + BUCKETS["1h"]),
+    f"service = 'view' AND level = 'info' AND {_TS} >= {_micros_sql(_HOUR)} AND {_TS} < {_micros_sql(_HOUR + BUCKETS['1h'])}",
+)
+
+
+def _newest(name: str, q: LogQuery, where: str) -> None:
+    """A page of a search that stops opening files when no other can hold a row of it."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = [(r.timestamp, r.level, r.message) for r in _stored(spark, d).newest(q)]
+        page = spark.createDataFrame(rows, "timestamp timestamp, level string, message string")
+        return page.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH logs AS ({_LOGS}) SELECT {_TS}, level, message FROM logs WHERE {where} ORDER BY {_TS} DESC, id DESC LIMIT {q.limit + 1}"
+
+
+_newest("store_newest", LogQuery(), "TRUE")
+_newest("store_newest_service", LogQuery(service="error", limit=250, until=DAY_20), f"service = 'error' AND {_TS} < {_micros_sql(DAY_20)}")
+_newest("store_newest_q", LogQuery(q="user 1", limit=40), "message ILIKE '%user 1%'")
+
+
+def store_agg_q(spark: SparkSession, d: str) -> DataFrame:
+    """Counts with a text filter, which rollups cannot answer, from the files that may fit."""
+    q = AggregateQuery(DAY_3, DAY_20, "1d", "service", q="user 12")
+    return plan_aggregate(_stored(spark, d).logs_for(q), q).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+QUERIES["store_agg_q"] = store_agg_q
+ORACLE_SQL["store_agg_q"] = _count_sql(AggregateQuery(DAY_3, DAY_20, "1d", "service"), "AND message ILIKE '%user 12%'")
+
+
 def store_after_retention(spark: SparkSession, d: str) -> DataFrame:
     """Rows per day in rows and rollup, after one day was compacted and the old days were dropped."""
     store = _filled_store(spark, d)

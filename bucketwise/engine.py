@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from bucketwise.metrics import GAUGES, Metrics
 from bucketwise.operators.aggregate import aggregate
-from bucketwise.operators.search import search
+from bucketwise.operators.search import page_of
 from bucketwise.operators.validate import open_envelope
 from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.store import LogStore, retention_days
@@ -103,7 +103,7 @@ class Engine:
                 query = LogQuery.from_params(params)
             except ValueError as e:
                 return 400, {"error": str(e)}
-            return 200, search(self.store.logs(), query, self.store.days())
+            return 200, page_of(self.store.newest(query), query)
 
     def aggregate(self, params: Mapping[str, object]) -> tuple[int, dict]:
         self.metrics.add("aggregation_requests_total")
@@ -112,7 +112,10 @@ class Engine:
                 query = AggregateQuery.from_params(params)
             except ValueError as e:
                 return 400, {"error": str(e)}
-            return 200, aggregate(self.store.logs(), query, self.store.rollups())
+            state = self.store.state()
+            if query.rollup_answers:
+                return 200, aggregate(self.store.logs(state), query, self.store.rollups(state))
+            return 200, aggregate(self.store.logs_for(query, state), query)
 
     def listen(self, capacity: int = 64) -> EventStream:
         return EventStream(self.tail, capacity)

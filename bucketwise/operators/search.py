@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable
 from dataclasses import replace
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from bucketwise.operators.predicates import before_cursor, equals, has_attribute
 from bucketwise.plans.cursor import Cursor
 from bucketwise.plans.query import LogQuery
 
+#: Files that a search opens first.
+FIRST_FILES = 4
+Part = TypeVar("Part")
+
 
 def matching(logs: DataFrame, query: LogQuery) -> DataFrame:
     """Rows that fit all filters, the cursor included."""
@@ -36,6 +42,10 @@ def plan_search(logs: DataFrame, query: LogQuery, ahead: int = 1) -> DataFrame:
     return ordered.limit(query.limit + ahead)
 
 
+def with_micros(page: DataFrame) -> DataFrame:
+    return page.withColumn("micros", F.unix_micros(F.col("timestamp").cast("timestamp")))
+
+
 def newest_rows(logs: DataFrame, query: LogQuery, days: list[str] | None = None) -> list:
     """The rows of :func:`plan_search`.
 
@@ -53,13 +63,38 @@ def newest_rows(logs: DataFrame, query: LogQuery, days: list[str] | None = None)
         part = logs
         if days is not None:
             part = logs.where((F.col("day") <= F.lit(days[first]).cast("date")) & (F.col("day") >= F.lit(days[last - 1]).cast("date")))
-        page = plan_search(part, query).withColumn("micros", F.unix_micros(F.col("timestamp").cast("timestamp")))
+        page = with_micros(plan_search(part, query))
         rows += page.limit(wanted - len(rows)).collect() if rows else page.collect()
         if len(rows) >= wanted:
             break
     return rows[:wanted]
 
 
+def newest_in_files(
+    files: Iterable[Part], wanted: int, last: Callable[[Part], int], rows_of: Callable[[list[Part], int | None, int], list], first: int = FIRST_FILES
+) -> list:
+    """The newest ``wanted`` rows by (micros, id) of files that come by their last instant, newest first.
+
+    ``rows_of(files, since, n)`` gives the newest n rows of some files, none of them
+    before ``since``.  Files are read a few at a time, twice as many each time.
+    Once the last row of the page is newer than all that unread files hold,
+    no further file is opened."""
+    rows: list = []
+    ahead = iter(files)
+    pending = next(ahead, None)
+    while pending is not None:
+        edge = rows[wanted - 1].micros if len(rows) >= wanted else None
+        if edge is not None and last(pending) < edge:
+            break
+        some = []
+        while pending is not None and len(some) < first and (edge is None or last(pending) >= edge):
+            some.append(pending)
+            pending = next(ahead, None)
+        first *= 2
+        rows = sorted([*rows, *rows_of(some, edge, wanted)], key=lambda r: (r.micros, r.id), reverse=True)[:wanted]
+    return rows
+
+
 def _doubling(n: int) -> list[tuple[int, int]]:
     """(0, 1), (1, 3), (3, 7), ... up to n."""
     out, first, width = [], 0, 1
@@ -71,7 +106,11 @@ def _doubling(n: int) -> list[tuple[int, int]]:
 
 def search(logs: DataFrame, query: LogQuery, days: list[str] | None = None) -> dict:
     """One page as the API shows it: ``{"logs": [...], "next_cursor": ...}``."""
-    rows = newest_rows(logs, query, days)
+    return page_of(newest_rows(logs, query, days), query)
+
+
+def page_of(rows: list, query: LogQuery) -> dict:
+    """The page of a query's newest rows, of which one more than its limit are sought."""
     shown = rows[: query.limit]
     found = [
         {

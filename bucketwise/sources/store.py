@@ -16,6 +16,12 @@ Layout: days are partitions; inside a file rows are sorted by service and time,
 so row-group statistics serve both service and time filters.  Attributes named
 in ``promoted`` also stand in a column of their own, with a Bloom filter for
 each row group, so that a search for a value reads few row groups.
+
+Each day of a batch has an index of its files (``index/batch=.../of=<day>``, see
+:mod:`bucketwise.sources.file_index`): zones, which the driver reads, and
+signatures of texts and attributes.  :meth:`LogStore.candidates` goes through the
+files that a query may need, newest first, a day at a time; :meth:`LogStore.choose`
+asks the signatures.  Days without an index (of older stores) are read whole.
 """
 
 from __future__ import annotations
@@ -24,7 +30,8 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta, timezone
 
 from py4j.protocol import Py4JJavaError
@@ -32,8 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bucketwise.functions.time import EPOCH, utc_day
 from bucketwise.model import LOG, PROMOTED, ROLLUP, promoted_column
 from bucketwise.operators.rollup import build_rollup, merge_rollups
+from bucketwise.operators.search import newest_in_files, plan_search, with_micros
+from bucketwise.plans.query import AggregateQuery, LogQuery
+from bucketwise.sources import file_index
+from bucketwise.sources.file_index import Zone
 from bucketwise.sources.files import Files
 
 _DAY = T.StructField("day", T.DateType())
@@ -43,6 +55,8 @@ TABLES = ("logs", "rollups")
 #: Rows of a file that compaction writes, about.
 FILE_ROWS = 5_000_000
 CHECKPOINT_EVERY = 32
+#: Days of batches whose zones are kept in memory.
+ZONES_KEPT = 20_000
 #: How often a writer tries again when others commit before it.
 ATTEMPTS = 20
 
@@ -114,6 +128,7 @@ class LogStore:
         self.spark, self.base = spark, base.rstrip("/")
         self.files = Files(spark, self.base)
         self._known = State()
+        self._zones: dict[tuple[str, str], list[Zone]] = {}
         for folder in ("manifests", "checkpoints"):
             self.files.make(f"{self.base}/{folder}")
         # fixed when the store is made, so that every file has the columns
@@ -141,21 +156,21 @@ class LogStore:
             written = self._read("logs", LOG, [folder])
             total, days, next_id = 0, [], first
             if written is not None:
-                self._write(build_rollup(written).withColumn("day", F.to_date("bucket_start")), "rollups", folder)
-                counts = self._read("rollups", ROLLUP, [folder]).agg(F.sum("count").alias("n"), F.collect_set("day").alias("days")).first()
-                total, days = counts.n, sorted(map(str, counts.days))
-                next_id = written.agg(F.max("id")).first()[0] + 1
+                rollup = build_rollup(written).withColumn("day", F.to_date("bucket_start"))
+                found = self._index(written, folder, lambda: self._write(rollup, "rollups", folder))  # a row a file
+                total, days = sum(r.rows for r in found), sorted({r.day for r in found})
+                next_id = max(r.last_id for r in found) + 1
             done = self._commit(Manifest(batch, folder, total, next_id, days, named=named, order=state.order + 1))
             if done:
                 return done
-            for table in TABLES:  # ids and number went to another writer
+            for table in (*TABLES, "index"):  # ids and number went to another writer
                 self.files.delete(f"{self.base}/{table}/batch={folder}")
         raise RuntimeError(f"batch {batch}: other writers were first {ATTEMPTS} times")
 
-    def _write(self, df: DataFrame, table: str, folder: str) -> None:
-        """Rows by day, a day in as few files as their size asks for."""
+    def _write(self, df: DataFrame, table: str, folder: str, dealt: bool = False) -> None:
+        """Rows by day, a day in as few files as their size asks for, or ``dealt`` as they are."""
         keys = ["day", "service", "timestamp"] if table == "logs" else ["day", "service", "bucket_start"]
-        df = df.hint("rebalance", "day")
+        df = df if dealt else df.hint("rebalance", "day")
         if table == "logs":
             for name in self.promoted:
                 df = df.withColumn(promoted_column(name), F.col("attributes_text")[name])
@@ -165,6 +180,23 @@ class LogStore:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{promoted_column(name)}", "true")
         writer.parquet(f"{self.base}/{table}/batch={folder}")
 
+    def _index(self, written: DataFrame, folder: str, beside: Callable[[], None] = lambda: None) -> list:
+        """Describe the files of a batch that is not yet committed; ``beside`` is
+        another pass over them, whose tasks share the cluster with these."""
+        base = f"{self.base}/index/batch={folder}"
+
+        def sign() -> None:
+            signed = file_index.signatures(written).hint("rebalance", "of").sortWithinPartitions("of", "kind", "block")
+            signed.write.mode("overwrite").partitionBy("of").parquet(base)
+
+        with ThreadPoolExecutor(3) as pool:
+            passes = [pool.submit(p) for p in (sign, beside, lambda: file_index.zones(written).collect())]
+        *_, found = [p.result() for p in passes]
+        for day in sorted({r.day for r in found}):
+            own = [r.asDict() for r in found if r.day == day]
+            self.files.write(f"{base}/of={day}/_zones.json", json.dumps(own))
+        return found
+
     def _commit(self, manifest: Manifest) -> Manifest | None:
         """Claim the manifest's number; None if another writer has it."""
         if not self.files.write(f"{self.base}/manifests/{manifest.order:012d}.json", json.dumps(manifest.__dict__)):
@@ -231,24 +263,102 @@ class LogStore:
         full = T.StructType([*schema.fields, _DAY])
         return self.spark.read.schema(full).option("basePath", f"{self.base}/{table}").parquet(*paths)
 
-    def _table(self, table: str, schema: T.StructType) -> DataFrame:
-        full = T.StructType([*schema.fields, _DAY])
-        paths = [f"{self.base}/{table}/batch={b}/day={d}" for b, days in sorted(self.visible(table).items()) for d in sorted(days)]
+    def _log_schema(self) -> T.StructType:
+        return T.StructType([*LOG.fields, *(T.StructField(promoted_column(name), T.StringType()) for name in self.promoted), _DAY])
+
+    def _table(self, table: str, full: T.StructType, state: State | None) -> DataFrame:
+        live = (state or self.state()).live[table]
+        paths = [f"{self.base}/{table}/batch={b}/day={d}" for b, days in sorted(live.items()) for d in sorted(days)]
         if not paths:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).option("basePath", f"{self.base}/{table}").parquet(*paths).select(*full.fieldNames())
 
-    def logs(self) -> DataFrame:
-        own = [T.StructField(promoted_column(name), T.StringType()) for name in self.promoted]
-        return self._table("logs", T.StructType([*LOG.fields, *own]))
+    def logs(self, state: State | None = None) -> DataFrame:
+        return self._table("logs", self._log_schema(), state)
 
-    def rollups(self) -> DataFrame:
+    def rollups(self, state: State | None = None) -> DataFrame:
         """Deltas as they were written; every consumer sums them."""
-        return self._table("rollups", ROLLUP)
+        return self._table("rollups", T.StructType([*ROLLUP.fields, _DAY]), state)
 
     def days(self) -> list[str]:
         return sorted(set().union(*self.visible().values()))
 
+    # -- choosing files ------------------------------------------------------------
+
+    def zones(self, folder: str, day: str) -> list[Zone]:
+        """The files of a day of a batch."""
+        known = self._zones.get((folder, day))
+        if known is None:
+            path = f"{self.base}/index/batch={folder}/of={day}/_zones.json"
+            if self.files.exists(path):
+                rows = json.loads(self.files.read(path))
+                known = [Zone(folder, day, r["name"], r["rows"], r["first"], r["last"], tuple(r["levels"]), tuple(r["services"])) for r in rows]
+            else:
+                midnight = datetime.combine(date.fromisoformat(day), datetime.min.time(), timezone.utc)
+                known = [Zone.unknown(folder, day, (midnight - EPOCH) // timedelta(microseconds=1))]
+            while len(self._zones) >= ZONES_KEPT:
+                self._zones.pop(next(iter(self._zones)), None)
+            self._zones[folder, day] = known
+        return known
+
+    def candidates(self, query: LogQuery | AggregateQuery, state: State | None = None) -> Iterator[Zone]:
+        """Files that by their zones may hold rows of a query, by last instant, newest
+        first.  A day's zones are read when the files of later days are used up."""
+        live = (state or self.state()).live["logs"]
+        cursor = getattr(query, "cursor", None)
+        upper = min((m for m in (query.until, cursor and cursor.micros + 1) if m is not None), default=None)
+        low = None if query.since is None else str(utc_day(query.since))
+        high = None if upper is None else str(utc_day(upper - 1))
+        folders: dict[str, list[str]] = {}
+        for folder, days in live.items():
+            for day in days:
+                if (low is None or day >= low) and (high is None or day <= high):
+                    folders.setdefault(day, []).append(folder)
+        for day in sorted(folders, reverse=True):
+            own = [z for folder in folders[day] for z in self.zones(folder, day) if z.may_fit(query)]
+            yield from sorted(own, key=lambda z: (z.last, z.folder, z.name or ""), reverse=True)
+
+    def choose(self, files: list[Zone], query: LogQuery | AggregateQuery) -> list[Zone]:
+        """Those of ``files`` whose signatures do not rule the query's text and attributes out."""
+        if not files or not file_index.uses_signatures(query):
+            return files
+        signed = sorted({(z.folder, z.day) for z in files if z.name is not None})
+        if not signed:
+            return files
+        base = f"{self.base}/index"
+        paths = [f"{base}/batch={folder}/of={day}" for folder, day in signed]
+        table = self.spark.read.schema(file_index.SIGNATURES).option("basePath", base).parquet(*paths)
+        fit = {tuple(r) for r in file_index.fitting(table, query.q, query.attributes).collect()}  # names of files
+        return [z for z in files if z.name is None or (z.folder, z.day, z.name) in fit]
+
+    def read(self, files: list[Zone]) -> DataFrame:
+        """Rows of some files, with the columns of :meth:`logs`."""
+        schema = self._log_schema()
+        paths = sorted(f"{self.base}/logs/batch={z.folder}/day={z.day}" + (f"/{z.name}" if z.name else "") for z in files)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.base}/logs").parquet(*paths).select(*schema.fieldNames())
+
+    def logs_for(self, query: LogQuery | AggregateQuery, state: State | None = None) -> DataFrame:
+        """Rows of all files that may fit; the query's filters are still to be applied."""
+        return self.read(self.choose(list(self.candidates(query, state)), query))
+
+    def newest(self, query: LogQuery, state: State | None = None, opened: list[Zone] | None = None) -> list:
+        """The newest rows of a search, one more than its limit: files are opened
+        from the newest on, until no other can hold a row of the page.  ``opened``
+        gets the files that were read."""
+
+        def rows_of(files: list[Zone], since: int | None, wanted: int) -> list:
+            chosen = self.choose(files, query)
+            if opened is not None:
+                opened.extend(chosen)
+            if not chosen:
+                return []
+            narrowed = query if since is None or query.since is not None and query.since > since else replace(query, since=since)
+            return with_micros(plan_search(self.read(chosen), narrowed, ahead=wanted - query.limit)).collect()
+
+        return newest_in_files(self.candidates(query, state), query.limit + 1, lambda z: z.last, rows_of)
+
     # -- lifecycle ---------------------------------------------------------------
 
     def _replace(self, kind: str, day: str, tables: list[str], frames: Callable[[], dict[str, DataFrame]]) -> Manifest | None:
@@ -258,7 +368,11 @@ class LogStore:
         before = self.state()
         old = {t: sorted(f for f, days in before.live[t].items() if day in days) for t in tables}
         for table, frame in frames().items():
-            self._write(frame, table, folder)
+            self._write(frame, table, folder, dealt=kind == "compact")
+            if table == "logs":
+                written = self._read("logs", LOG, [folder])
+                if written is not None:
+                    self._index(written, folder)
 
         def swap(state: State) -> Manifest | None:
             if any(day not in state.live[t].get(f, []) for t in tables for f in old[t]):
@@ -268,7 +382,7 @@ class LogStore:
 
         done = self._commit_when(swap)
         if done is None:
-            for table in tables:
+            for table in (*tables, "index"):
                 self.files.delete(f"{self.base}/{table}/batch={folder}")
         return done
 
@@ -311,7 +425,7 @@ class LogStore:
         done = self._commit_when(drop)
         for table, folder, day in self._stored():
             if date.fromisoformat(day) < cutoff:
-                self.files.delete(f"{self.base}/{table}/{folder}/day={day}")
+                self._delete_day(table, folder, day)
         return done.dropped if done else []
 
     def vacuum(self, now: datetime, hours: float = 24.0) -> int:
@@ -322,10 +436,15 @@ class LogStore:
             path = f"{self.base}/{table}/{folder}/day={day}"
             seen = day in live[table].get(folder.removeprefix("batch="), set())
             if not seen and self.files.modified(path) < now.timestamp() - hours * 3600:
-                self.files.delete(path)
+                self._delete_day(table, folder, day)
                 gone += 1
         return gone
 
+    def _delete_day(self, table: str, folder: str, day: str) -> None:
+        self.files.delete(f"{self.base}/{table}/{folder}/day={day}")
+        if table == "logs":
+            self.files.delete(f"{self.base}/index/{folder}/of={day}")
+
     def _stored(self) -> Iterator[tuple[str, str, str]]:
         """(table, folder, day) of all that is on disk."""
         for table in TABLES:
