@@ -9,7 +9,9 @@ import threading
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from bucketwise.metrics import GAUGES, Metrics
 from bucketwise.operators.aggregate import aggregate
@@ -18,11 +20,15 @@ from bucketwise.operators.validate import open_envelope
 from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.store import LogStore, retention_days
 from bucketwise.streaming.batcher import BatchConfig, Batcher, retained_bytes
-from bucketwise.streaming.ingest import OVERLOADED, IngestResult, ingest_requests
+from bucketwise.streaming.ingest import OVERLOADED, BatchCounts, IngestResult, as_published, ingest_requests, ingest_stream
+from bucketwise.streaming.progress import StreamProgress
 from bucketwise.streaming.tail import EventStream, LiveTail
 
 log = logging.getLogger(__name__)
 
+#: Rows of a stream's batch that the tail gets, at most: the last ones.
+TAIL_ROWS = 1000
+
 
 class Engine:
     """Methods answer ``(status, body)`` as an HTTP interface would.
@@ -36,6 +42,7 @@ class Engine:
         self.tail = LiveTail()
         self.metrics = Metrics()
         self.batcher = Batcher(self._write, batching or BatchConfig.from_environment(), self._in_flight)
+        self.progress = StreamProgress(self.metrics)
         self.ready = False
 
     def prepare(self, now: datetime | None = None, env: Mapping[str, str] = os.environ) -> list[str]:
@@ -92,9 +99,37 @@ class Engine:
         for name, value in zip(GAUGES, (requests, logs, size)):
             self.metrics.set(name, value)
 
+    def stream(
+        self, lines: DataFrame, checkpoint: str, rejects: str | None = None, trigger: dict | None = None, name: str = "ingest", tail_rows: int = TAIL_ROWS
+    ) -> StreamingQuery:
+        """Ingest a stream of JSON entries.  Its entries are counted like those of
+        requests; the tail gets the last ``tail_rows`` rows of each batch once it
+        is committed, and the others are counted as dropped."""
+        latest = BatchCounts(0, 0)
+
+        def report(counts: BatchCounts) -> None:
+            nonlocal latest
+            latest = counts
+            self.metrics.add("logs_accepted_total", counts.accepted)
+            self.metrics.add("logs_rejected_total", counts.rejected)
+            if counts.accepted:
+                self.metrics.add("ingestion_db_writes_total")
+                self.metrics.add("ingestion_db_write_logs_total", counts.accepted)
+
+        def publish(valid: DataFrame) -> None:
+            if not self.tail.subscribers:
+                return
+            rows = as_published(valid.orderBy(F.col("position").desc()).limit(tail_rows))[::-1]
+            self.metrics.add("tail_rows_dropped_total", latest.accepted - len(rows))
+            self.tail.publish(rows)
+
+        self.progress.watch(self.spark, name)
+        return ingest_stream(self.store, lines, checkpoint, rejects, publish, trigger, name, report)
+
     def close(self) -> None:
         """Take no more requests and commit those that are waiting."""
         self.batcher.close()
+        self.progress.close()
 
     def search(self, params: Mapping[str, object]) -> tuple[int, dict]:
         self.metrics.add("query_requests_total")

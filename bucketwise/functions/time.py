@@ -15,15 +15,15 @@ _WINDOWS = {"1m": "1 minute", "5m": "5 minutes", "1h": "1 hour", "1d": "1 day"}
 
 #: Date and time with a zone; seconds are optional, a zone is not.
 ISO_8601 = (
-    r"^(\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))T((?:[01]\d|2[0-3]):[0-5]\d)"
-    r"(?::([0-5]\d)(?:\.(\d+))?)?(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)$"
+    r"(\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))T((?:[01]\d|2[0-3]):[0-5]\d)"
+    r"(?::([0-5]\d)(?:\.(\d+))?)?(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)"
 )
-_ISO = re.compile(ISO_8601)
+_ISO = re.compile(ISO_8601, re.ASCII)
 
 
 def parse_instant(text: str) -> int:
     """Microseconds since the epoch; ValueError if ``text`` is not ISO 8601 with a zone."""
-    m = _ISO.match(text) if isinstance(text, str) else None
+    m = _ISO.fullmatch(text) if isinstance(text, str) else None
     if not m:
         raise ValueError(f"not a timestamp: {text!r}")
     day, minute, second, fraction, zone = m.groups()
@@ -39,7 +39,7 @@ def instant_column(text: Column) -> Column:
     """The same for a column: a timestamp, or null where it is not one."""
     whole = F.regexp_replace(text, r"T(\d\d:\d\d)([Z+-])", "T$1:00$2")  # only where seconds are missing
     parsed = F.coalesce(text.try_cast("timestamp"), whole.try_cast("timestamp"))
-    return F.when(text.rlike(ISO_8601), parsed)
+    return F.when(text.rlike(rf"\A{ISO_8601}\z"), parsed)
 
 
 def iso_millis(micros: int) -> str:

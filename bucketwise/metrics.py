@@ -6,6 +6,7 @@ import resource
 import threading
 import time
 
+# fixed values: names that dashboards of the API know; those of streams are our own
 COUNTERS = (
     "ingestion_requests_total",
     "logs_accepted_total",
@@ -14,9 +15,17 @@ COUNTERS = (
     "ingestion_db_write_logs_total",
     "query_requests_total",
     "aggregation_requests_total",
+    "stream_batches_total",
+    "stream_input_rows_total",
+    "tail_rows_dropped_total",
+)
+GAUGES = ("ingestion_in_flight_requests", "ingestion_in_flight_logs", "ingestion_in_flight_bytes", "stream_last_batch")
+HISTOGRAMS = (
+    "ingestion_db_write_duration_seconds",
+    "query_duration_seconds",
+    "aggregation_duration_seconds",
+    "stream_batch_duration_seconds",
 )
-GAUGES = ("ingestion_in_flight_requests", "ingestion_in_flight_logs", "ingestion_in_flight_bytes")
-HISTOGRAMS = ("ingestion_db_write_duration_seconds", "query_duration_seconds", "aggregation_duration_seconds")
 BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5)
 
 

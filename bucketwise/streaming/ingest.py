@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,14 @@ OVERLOADED = "ingestion overloaded"
 _ENTRIES = "request long, index long, raw string, received timestamp, position long"
 
 
+@dataclass(frozen=True)
+class BatchCounts:
+    """Entries of a batch of a stream that was committed just now."""
+
+    accepted: int
+    rejected: int
+
+
 @dataclass
 class IngestResult:
     """What the API answers: 200 if any entry was accepted, 400 if none, 503
@@ -55,14 +63,19 @@ def ingest_requests(
         if sum(map(len, rejected)) < len(rows):
             store.append(valid)
             if publish:
-                text = valid.orderBy("position").select(F.to_json(F.struct("timestamp", "level", "service", "message")).alias("j"), "attributes")
-                publish([json.loads(r.j) | {"attributes": json.loads(r.attributes)} for r in text.collect()])
+                publish(as_published(valid.orderBy("position")))
         counts = [len(logs) - len(gone) for (logs, _), gone in zip(requests, rejected)]
         return [IngestResult(200 if n else 400, n, gone) for n, gone in zip(counts, rejected)]
     finally:
         judged.unpersist()
 
 
+def as_published(rows: DataFrame) -> list[dict]:
+    """Rows as the tail shows them; the caller bounds their number."""
+    text = rows.select(F.to_json(F.struct("timestamp", "level", "service", "message")).alias("j"), "attributes")
+    return [json.loads(r.j) | {"attributes": json.loads(r.attributes)} for r in text.collect()]
+
+
 def ingest_batch(
     store: LogStore, body: object, now: datetime | None = None, publish: Callable[[list[dict]], None] | None = None
 ) -> IngestResult:
@@ -96,6 +109,7 @@ def ingest_stream(
     publish: Callable[[DataFrame], None] | None = None,
     trigger: dict | None = None,
     name: str = "ingest",
+    report: Callable[[BatchCounts], None] | None = None,
 ) -> StreamingQuery:
     """Ingest a stream with a string column ``value`` of JSON entries.
 
@@ -103,18 +117,28 @@ def ingest_stream(
     is repeated after a failure is committed once.  Rows may be as late as they
     like: rollup deltas add up in any order, so there is no watermark and no
     state.  Rejected entries are written to ``rejects``.
+
+    ``report`` gets the numbers of entries of each batch after it was committed,
+    before ``publish`` gets its rows.  The numbers are observed while the rows are
+    written, so they cost no pass of their own; a batch that an earlier run has
+    committed is neither reported nor published again.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
         held, placed = numbered(batch)
         judged = validated(placed).persist()
         try:
+            counts = Observation(f"{name}-{number}")
+            accepted, rejected = F.count_if(F.col("reason").isNull()), F.count("reason")
             valid, bad = split(judged, ["position"])
-            store.append(valid, f"{name}-{number}")
+            observed, _ = split(judged.observe(counts, accepted.alias("accepted"), rejected.alias("rejected")), ["position"])
+            fresh = store.append(observed, f"{name}-{number}").order >= 0
             if rejects:
                 out = bad.select(F.lit(f"{name}-{number}").alias("batch_id"), F.col("position").alias("index"), "reason")
                 out.select(*REJECTED.fieldNames()).write.mode("overwrite").parquet(f"{rejects}/batch={name}-{number}")
-            if publish:
+            if fresh and report:
+                report(BatchCounts(**counts.get))
+            if fresh and publish:
                 publish(valid)
         finally:
             judged.unpersist()
