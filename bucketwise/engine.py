@@ -19,6 +19,7 @@ from bucketwise.operators.search import page_of
 from bucketwise.operators.validate import open_envelope
 from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.store import LogStore, retention_days
+from bucketwise.sources.upkeep import Upkeep, UpkeepConfig
 from bucketwise.streaming.batcher import BatchConfig, Batcher, retained_bytes
 from bucketwise.streaming.ingest import OVERLOADED, BatchCounts, IngestResult, as_published, ingest_requests, ingest_stream
 from bucketwise.streaming.progress import StreamProgress
@@ -34,15 +35,19 @@ class Engine:
     """Methods answer ``(status, body)`` as an HTTP interface would.
 
     Requests that come at once are coalesced: they are validated and committed
-    as one batch, within limits on the requests, entries and bytes in flight."""
+    as one batch, within limits on the requests, entries and bytes in flight.
 
-    def __init__(self, spark: SparkSession, base: str, batching: BatchConfig | None = None):
+    After each batch ``upkeep`` merges pieces of days in the background, if due;
+    None leaves that to another process."""
+
+    def __init__(self, spark: SparkSession, base: str, batching: BatchConfig | None = None, upkeep: UpkeepConfig | None = UpkeepConfig()):
         self.spark = spark
         self.store = LogStore(spark, base)
         self.tail = LiveTail()
         self.metrics = Metrics()
         self.batcher = Batcher(self._write, batching or BatchConfig.from_environment(), self._in_flight)
         self.progress = StreamProgress(self.metrics)
+        self.upkeep = Upkeep(self.store, upkeep) if upkeep else None
         self.ready = False
 
     def prepare(self, now: datetime | None = None, env: Mapping[str, str] = os.environ) -> list[str]:
@@ -89,12 +94,17 @@ class Engine:
     def _write(self, requests: list) -> list[IngestResult]:
         with self.metrics.timed("ingestion_db_write_duration_seconds"):
             results = ingest_requests(self.store, requests, self.tail.publish)
+        self._kept_up()
         accepted = sum(r.accepted for r in results)
         if accepted:
             self.metrics.add("ingestion_db_writes_total")
             self.metrics.add("ingestion_db_write_logs_total", accepted)
         return results
 
+    def _kept_up(self) -> None:
+        if self.upkeep:
+            self.upkeep.wake()
+
     def _in_flight(self, requests: int, logs: int, size: int) -> None:
         for name, value in zip(GAUGES, (requests, logs, size)):
             self.metrics.set(name, value)
@@ -110,6 +120,7 @@ class Engine:
         def report(counts: BatchCounts) -> None:
             nonlocal latest
             latest = counts
+            self._kept_up()
             self.metrics.add("logs_accepted_total", counts.accepted)
             self.metrics.add("logs_rejected_total", counts.rejected)
             if counts.accepted:
@@ -130,6 +141,8 @@ class Engine:
         """Take no more requests and commit those that are waiting."""
         self.batcher.close()
         self.progress.close()
+        if self.upkeep:
+            self.upkeep.close()
 
     def search(self, params: Mapping[str, object]) -> tuple[int, dict]:
         self.metrics.add("query_requests_total")

@@ -61,6 +61,7 @@ class Zone:
     last: int = 0
     levels: tuple[str, ...] = ()
     services: tuple[str, str] = ("", "")
+    size: int = 0
 
     @staticmethod
     def unknown(folder: str, day: str, first: int) -> "Zone":
@@ -89,6 +90,7 @@ def zones(written: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("level")).alias("levels"),
         F.array(F.min("service"), F.max("service")).alias("services"),
         F.max("id").alias("last_id"),
+        F.max("_metadata.file_size").alias("size"),
     )
 
 

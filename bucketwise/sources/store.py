@@ -292,7 +292,7 @@ class LogStore:
             path = f"{self.base}/index/batch={folder}/of={day}/_zones.json"
             if self.files.exists(path):
                 rows = json.loads(self.files.read(path))
-                known = [Zone(folder, day, r["name"], r["rows"], r["first"], r["last"], tuple(r["levels"]), tuple(r["services"])) for r in rows]
+                known = [Zone(folder, day, r["name"], r["rows"], r["first"], r["last"], tuple(r["levels"]), tuple(r["services"]), r["size"]) for r in rows]
             else:
                 midnight = datetime.combine(date.fromisoformat(day), datetime.min.time(), timezone.utc)
                 known = [Zone.unknown(folder, day, (midnight - EPOCH) // timedelta(microseconds=1))]
@@ -361,12 +361,17 @@ class LogStore:
 
     # -- lifecycle ---------------------------------------------------------------
 
-    def _replace(self, kind: str, day: str, tables: list[str], frames: Callable[[], dict[str, DataFrame]]) -> Manifest | None:
+    def _replace(
+        self, kind: str, day: str, tables: list[str], frames: Callable[[], dict[str, DataFrame]], state: State | None = None, folders: list[str] | None = None
+    ) -> Manifest | None:
         """Write a day's tables anew and swap them in by one manifest; None if
-        another writer replaced or dropped the day meanwhile."""
+        another writer replaced or dropped the day meanwhile.
+
+        ``frames`` reads the day as ``state`` has it, or some ``folders`` of it;
+        batches that are committed meanwhile stay as they are."""
         folder = f"{kind}-{day}-{uuid.uuid4().hex[:12]}"
-        before = self.state()
-        old = {t: sorted(f for f, days in before.live[t].items() if day in days) for t in tables}
+        before = state or self.state()
+        old = {t: sorted(f for f, days in before.live[t].items() if day in days and (folders is None or f in folders)) for t in tables}
         for table, frame in frames().items():
             self._write(frame, table, folder, dealt=kind == "compact")
             if table == "logs":
@@ -386,29 +391,37 @@ class LogStore:
                 self.files.delete(f"{self.base}/{table}/batch={folder}")
         return done
 
-    def compact(self, day: str, file_rows: int = FILE_ROWS) -> Manifest | None:
-        """Rewrite one day's batches as one, in few files with disjoint ranges
-        of service and time, and one row per rollup key."""
+    def _day(self, table: str, day: str, state: State, folders: list[str] | None = None) -> DataFrame:
+        """A table's rows of a day as a state has them, or of some folders of it."""
+        live = {f: [day] for f, days in state.live[table].items() if day in days and (folders is None or f in folders)}
+        only = replace(state, live=state.live | {table: live})
+        return self.logs(only) if table == "logs" else self.rollups(only)
+
+    def compact(self, day: str, file_rows: int = FILE_ROWS, folders: list[str] | None = None) -> Manifest | None:
+        """Rewrite a day's batches, or those of some ``folders``, as one, in few files
+        with disjoint ranges of service and time, and one row per rollup key."""
+        state = self.state()
+        if folders is not None and any(day not in state.live[t].get(f, []) for t in TABLES for f in folders):
+            return None
 
         def frames() -> dict[str, DataFrame]:
-            at = F.lit(day).cast("date")
-            logs, rollups = self.logs().where(F.col("day") == at), self.rollups().where(F.col("day") == at)
+            logs, rollups = self._day("logs", day, state, folders), self._day("rollups", day, state, folders)
             files = max(1, -(-logs.count() // file_rows))
             return {
                 "logs": logs.repartitionByRange(files, "service", "timestamp"),
                 "rollups": merge_rollups(rollups).select(*ROLLUP.fieldNames(), "day").repartitionByRange(files, "service", "bucket_start"),
             }
 
-        return self._replace("compact", day, list(TABLES), frames)
+        return self._replace("compact", day, list(TABLES), frames, state, folders)
 
     def rebuild_rollups(self, day: str) -> Manifest | None:
         """Write one day's rollup anew from its rows, as the backfill does."""
+        state = self.state()
 
         def frames() -> dict[str, DataFrame]:
-            logs = self.logs().where(F.col("day") == F.lit(day).cast("date"))
-            return {"rollups": build_rollup(logs).withColumn("day", F.to_date("bucket_start"))}
+            return {"rollups": build_rollup(self._day("logs", day, state)).withColumn("day", F.to_date("bucket_start"))}
 
-        return self._replace("rebuild", day, ["rollups"], frames)
+        return self._replace("rebuild", day, ["rollups"], frames, state)
 
     def drop_expired(self, days: int, now: datetime) -> list[str]:
         """Drop the days before the cutoff from rows and rollups at once; the

@@ -1,0 +1,133 @@
+"""Pieces of days are merged by themselves, while others read and write."""
+
+import math
+import random
+import threading
+import time
+
+import pytest
+
+from bucketwise.engine import Engine
+from bucketwise.plans.query import LogQuery
+from bucketwise.sources.store import LogStore, Manifest, State
+from bucketwise.sources.upkeep import Merge, Upkeep, UpkeepConfig, plan
+from tests.test_file_index import HOUR, NOON, frame
+
+
+def test_many_batches_leave_few_pieces():
+    """500 batches of odd sizes over a month, late ones too: live folders and rewritten bytes stay bounded."""
+    rng, config = random.Random(2), UpkeepConfig(pieces=4, full=2000, small=10)
+    state, sizes, written, total, most = State(), {}, 0, 0, 0
+    for k in range(500):
+        days = sorted({f"2024-05-{min(30, 1 + k // 20 + rng.randrange(-3, 1) % 30):02d}" for _ in range(2)})
+        for day in days:
+            sizes[f"b{k}", day] = rng.randrange(1, 20)
+            total += sizes[f"b{k}", day]
+        state.add(Manifest(f"b{k}", f"b{k}", days=days, order=state.order + 1))
+        while due := plan(state.live["logs"], lambda f, d: sizes[f, d], config):
+            for m in due:
+                folder = f"m{state.order}"
+                assert len(m.folders) >= 4 and all(m.day in state.live["logs"][f] for f in m.folders)
+                sizes[folder, m.day] = sum(sizes[f, m.day] for f in m.folders)
+                written += sizes[folder, m.day]
+                state.add(Manifest(folder, folder, days=[m.day], replaces={f: [m.day] for f in m.folders}, order=state.order + 1))
+        most = max(most, *(sum(d in days for days in state.live["logs"].values()) for d in {d for days in state.live["logs"].values() for d in days}))
+    assert sum(sizes[f, d] for f, days in state.live["logs"].items() for d in days) == total
+    assert most <= 3 * (2 + math.log(2000 / 10, 4)) and written <= total * (2 + math.log(2000 / 10, 4))
+    assert plan({"a": ["2024-05-01"], "b": ["2024-05-01"]}, lambda f, d: 0, UpkeepConfig(pieces=2)) == [Merge("2024-05-01", ("a", "b"))]
+    assert plan({"a": ["2024-05-01"], "b": ["2024-05-01"]}, lambda f, d: 1 << 30, UpkeepConfig(pieces=2)) == []
+
+
+def test_an_engine_merges_while_it_is_read_and_written(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", upkeep=UpkeepConfig(pieces=3))
+    wrong, reads, done = [], [], threading.Event()
+
+    def reader() -> None:
+        seen = 0
+        while not done.is_set():
+            state = engine.store.state()
+            rows, counted = engine.store.logs(state).count(), engine.store.rollups(state).groupBy().sum("count").first()[0] or 0
+            reads.append(rows)
+            if rows != counted or rows < seen:
+                wrong.append((seen, rows, counted))
+            seen = rows
+
+    thread = threading.Thread(target=reader)
+    thread.start()
+    for k in range(14):
+        logs = [{"timestamp": f"2024-05-0{1 + (k + i) % 2}T10:00:0{i}Z", "level": "info", "service": "s", "message": f"m{k}-{i}"} for i in range(3)]
+        assert engine.ingest({"logs": logs}).accepted == 3
+    engine.upkeep.run()
+    done.set()
+    thread.join()
+    engine.close()
+    assert not wrong and reads[-1] > 0
+    state = engine.store.state()
+    assert engine.upkeep.merged >= 6 and all(sum(d in days for days in state.live["logs"].values()) < 3 for d in engine.store.days())
+    rows = engine.store.logs().select("id", "message").collect()
+    assert sorted(r.id for r in rows) == list(range(1, 43)) and len({r.message for r in rows}) == 42
+    assert [r.id for r in engine.store.newest(LogQuery(q="M13-"))]
+    engine.close()
+
+
+def test_batches_that_come_during_a_merge_stay(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, f"file://{tmp_path}/s")
+    one = lambda k: frame(spark, [(NOON + k, "info", "s", f"m{k}", {})])
+    folders = [store.append(one(k)).folder for k in range(3)]
+    write, late = store._write, []
+
+    def slow(df, table, folder, dealt=False):
+        if dealt and not late:
+            late.append(1)
+            LogStore(spark, store.base).append(one(3))
+        write(df, table, folder, dealt)
+
+    monkeypatch.setattr(store, "_write", slow)
+    assert store.compact("2024-05-01", folders=folders[:2]) is not None
+    assert sorted(r.message for r in store.logs().collect()) == ["m0", "m1", "m2", "m3"]
+    assert store.rollups().groupBy().sum("count").first()[0] == 4
+    assert store.compact("2024-05-01", folders=folders[:2]) is None  # they are gone
+    late.clear()
+    monkeypatch.setattr(store, "_write", lambda df, table, folder, dealt=False: (late or late.append(LogStore(spark, store.base).append(one(4))), write(df, table, folder, dealt)))
+    assert store.rebuild_rollups("2024-05-01") is not None
+    assert store.logs().count() == store.rollups().groupBy().sum("count").first()[0] == 5
+
+
+def test_two_upkeepers_lose_nothing(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/s")
+    for k in range(6):
+        store.append(frame(spark, [(NOON + k * HOUR % (12 * HOUR), "info", "s", f"m{k}", {})]))
+    both = [Upkeep(LogStore(spark, store.base), UpkeepConfig(pieces=3, small=1 << 30)) for _ in range(2)]
+    threads = [threading.Thread(target=u.run) for u in both]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(r.message for r in store.logs().collect()) == [f"m{k}" for k in range(6)]
+    assert store.rollups().groupBy().sum("count").first()[0] == 6
+    assert sum(u.merged for u in both) >= 1
+
+
+def test_a_failure_is_tried_again(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, f"file://{tmp_path}/s", upkeep=UpkeepConfig(pieces=2))
+    compact, calls = engine.store.compact, []
+
+    def failing(*a, **kw):
+        calls.append(a)
+        if len(calls) == 1:
+            raise OSError("lost")
+        return compact(*a, **kw)
+
+    monkeypatch.setattr(engine.store, "compact", failing)
+    entry = {"logs": [{"timestamp": "2024-05-01T10:00:00Z", "level": "info", "service": "s", "message": "m"}]}
+    for _ in range(2):
+        engine.ingest(entry)
+    for _ in range(100):
+        if calls:
+            break
+        time.sleep(0.1)
+    engine.ingest(entry)
+    for _ in range(200):
+        if engine.upkeep.merged:
+            break
+        time.sleep(0.1)
+    engine.close()
+    assert engine.upkeep.merged >= 1 and engine.store.logs().count() == 3
