@@ -478,6 +478,18 @@ QUERIES["store_agg_q"] = store_agg_q
 ORACLE_SQL["store_agg_q"] = _count_sql(AggregateQuery(DAY_3, DAY_20, "1d", "service"), "AND message ILIKE '%user 12%'")
 
 
+def store_rebuilt_rollups(spark: SparkSession, d: str) -> DataFrame:
+    """The rollups of all days, backfilled from the rows by one job."""
+    store = _filled_store(spark, d)
+    store.rebuild_all_rollups()
+    found = store.rollups().withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+    return found.select("bucket_start", "service", "level", "count")
+
+
+QUERIES["store_rebuilt_rollups"] = store_rebuilt_rollups
+ORACLE_SQL["store_rebuilt_rollups"] = ORACLE_SQL["rollup_build_1m"]
+
+
 def store_after_retention(spark: SparkSession, d: str) -> DataFrame:
     """Rows per day in rows and rollup, after one day was compacted and the old days were dropped."""
     store = _filled_store(spark, d)

@@ -54,7 +54,8 @@ def validated(entries: DataFrame, now: Column | None = None, raw: str = "raw") -
 
     ``raw`` is a column of JSON text.  A future limit of five minutes holds
     from ``now``, by default the start of the query.  Entries that are not
-    objects, repeat a key, or have unknown keys are ``invalid log entry``.
+    objects or have unknown keys are ``invalid log entry``.  Of a repeated key the
+    last value counts in sessions with ``session.REPEATED_KEYS``, as a store sets it.
     """
     now = F.current_timestamp() if now is None else now
     # the text is parsed once and taken apart once; all fields are looked up in the map

@@ -10,6 +10,10 @@ def _setting(name: str) -> str:
     return name.replace("_", ".")
 
 
+#: Of a key that a JSON object repeats the last value counts, as in JSON parsers.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def session(master: str | None = None, app: str = "bucketwise", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` keys use ``_`` for ``.``."""
     builder = SparkSession.builder.appName(app)
@@ -24,6 +28,7 @@ def session(master: str | None = None, app: str = "bucketwise", **conf: str) ->
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         # a larger method is never compiled by the JVM; smaller ones without whole-stage code are faster
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        REPEATED_KEYS: "true",
     }
     settings |= {_setting(k): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()

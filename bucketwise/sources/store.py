@@ -44,6 +44,7 @@ from bucketwise.model import LOG, PROMOTED, ROLLUP, promoted_column
 from bucketwise.operators.rollup import build_rollup, merge_rollups
 from bucketwise.operators.search import newest_in_files, plan_search, with_micros
 from bucketwise.plans.query import AggregateQuery, LogQuery
+from bucketwise.session import REPEATED_KEYS
 from bucketwise.sources import file_index
 from bucketwise.sources.file_index import Zone
 from bucketwise.sources.files import Files
@@ -127,6 +128,7 @@ class LogStore:
     def __init__(self, spark: SparkSession, base: str, promoted: tuple[str, ...] = PROMOTED):
         self.spark, self.base = spark, base.rstrip("/")
         self.files = Files(spark, self.base)
+        spark.conf.set(REPEATED_KEYS, "true")  # batches and streams judge entries alike
         self._known = State()
         self._zones: dict[tuple[str, str], list[Zone]] = {}
         for folder in ("manifests", "checkpoints"):
@@ -423,6 +425,34 @@ class LogStore:
 
         return self._replace("rebuild", day, ["rollups"], frames, state)
 
+    def rebuild_all_rollups(self) -> list[str]:
+        """Write the rollups of all days anew by one job and swap them in by one
+        manifest; the days that were rebuilt.
+
+        Days whose rows or rollups were replaced or dropped meanwhile are left as
+        they are: call it again for those.  Batches that are committed meanwhile
+        keep their own deltas."""
+        state = self.state()
+        days = sorted({d for own in state.live["logs"].values() for d in own})
+        if not days:
+            return []
+        folder = f"rebuild-all-{uuid.uuid4().hex[:12]}"
+        self._write(build_rollup(self.logs(state)).withColumn("day", F.to_date("bucket_start")), "rollups", folder)
+        seen = {d: {t: {f for f, own in state.live[t].items() if d in own} for t in TABLES} for d in days}
+
+        def swap(now: State) -> Manifest | None:
+            kept = [d for d in days if all(d in now.live[t].get(f, []) for t in TABLES for f in seen[d][t])]
+            gone: dict[str, list[str]] = {}
+            for d in kept:
+                for f in seen[d]["rollups"]:
+                    gone.setdefault(f, []).append(d)
+            return Manifest(folder, folder, 0, 1, kept, gone, tables=["rollups"], order=now.order + 1) if kept else None
+
+        done = self._commit_when(swap)
+        if done is None:
+            self.files.delete(f"{self.base}/rollups/batch={folder}")
+        return done.days if done else []
+
     def drop_expired(self, days: int, now: datetime) -> list[str]:
         """Drop the days before the cutoff from rows and rollups at once; the
         cutoff day stays.  The manifest comes first, then the files go: those

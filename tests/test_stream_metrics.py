@@ -76,3 +76,15 @@ def test_nothing_may_follow_a_timestamp(spark, end):
         parse_instant(text)
     df = spark.createDataFrame([(text,), (text[:20],)], "t string").select(instant_column(F.col("t")).alias("i"))
     assert [r.i is None for r in df.collect()] == [True, False]
+
+
+def test_of_a_repeated_key_the_last_counts_in_batches_and_streams(spark, tmp_path):
+    text = '{"timestamp":"2024-05-01T10:00:00Z","level":"odd","level":"info","service":"s","message":"m","attributes":{"a":1,"a":"2"}}'
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    assert engine.ingest(json.loads(f'{{"logs": [{text}]}}')).accepted == 1
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text(text)
+    engine.stream(spark.readStream.text(f"file://{tmp_path}/in"), f"file://{tmp_path}/cp").awaitTermination()
+    rows = engine.store.logs().collect()
+    assert [(r.level, r.attributes, r.attributes_text) for r in rows] == [("info", '{"a":"2"}', {"a": "2"})] * 2
+    engine.close()

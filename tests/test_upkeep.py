@@ -93,6 +93,36 @@ def test_batches_that_come_during_a_merge_stay(spark, tmp_path, monkeypatch):
     assert store.logs().count() == store.rollups().groupBy().sum("count").first()[0] == 5
 
 
+def test_all_rollups_are_rebuilt_while_a_writer_appends(spark, tmp_path, monkeypatch):
+    """Thirty days; meanwhile one day is compacted, one dropped, and a batch comes for another."""
+    from datetime import datetime, timezone
+
+    store, day = LogStore(spark, f"file://{tmp_path}/s"), 24 * HOUR
+    assert store.rebuild_all_rollups() == []
+    for k in range(2):
+        store.append(frame(spark, [(NOON + d * day + k, "info", f"s{d % 3}", f"m{d}", {}) for d in range(30)]))
+    # rollups that went wrong: the backfill puts them right
+    spark.createDataFrame([(datetime(2024, 5, 9, 12, tzinfo=timezone.utc), "bad", "info", 7, "2024-05-09")], "bucket_start timestamp, service string, level string, count long, d string").select(
+        "bucket_start", "service", "level", "count", "d"
+    ).drop("d").write.mode("append").parquet(f"{tmp_path}/s/rollups/batch={next(iter(store.visible('rollups')))}/day=2024-05-09")
+    assert store.rollups().groupBy().sum("count").first()[0] == 67
+    other, write = LogStore(spark, store.base), store._write
+
+    def slow(df, table, folder, dealt=False):
+        write(df, table, folder, dealt)
+        other.compact("2024-05-03")
+        other.drop_expired(28, datetime(2024, 5, 30, tzinfo=timezone.utc))
+        other.append(frame(spark, [(NOON + 3 * day, "info", "new", "late", {})]))
+
+    monkeypatch.setattr(store, "_write", slow)
+    rebuilt = store.rebuild_all_rollups()
+    assert len(rebuilt) == 28 and not {"2024-05-01", "2024-05-03"} & set(rebuilt)
+    rows = store.logs().groupBy("day").count().collect()
+    sums = store.rollups().groupBy("day").sum("count").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sums)) and len(rows) == 29
+    assert len([m for m in store.manifests() if m.folder.startswith("rebuild-all")]) == 1
+
+
 def test_two_upkeepers_lose_nothing(spark, tmp_path):
     store = LogStore(spark, f"file://{tmp_path}/s")
     for k in range(6):
