@@ -25,7 +25,7 @@ from bucketwise.plans.query import AggregateQuery, LogQuery
 from bucketwise.sources.events import events_as_logs
 from bucketwise.sources.files import Files, shared_folder
 from bucketwise.sources.store import LogStore, retention_cutoff
-from bucketwise.streaming.ingest import ingest_stream
+from bucketwise.streaming.ingest import ingest_stream, requests_from_files
 
 DAY_1 = parse_instant("2024-01-01T00:00:00Z")
 DAY_3, DAY_20 = parse_instant("2024-01-03T00:00:00Z"), parse_instant("2024-01-20T00:00:00Z")
@@ -366,6 +366,26 @@ ORACLE_SQL["ingest_stream_rollup"] = (
 )
 
 
+def ingest_request_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Events in request bodies of 200 through the stream of requests; the rollup that it maintained."""
+    base = _scratch(spark)
+    entries = spark.read.text(_entries_on_disk(spark, d, base)).withColumn("request", F.monotonically_increasing_id() % F.lit(1 << 33))
+    bodies = entries.withColumn("request", F.concat(F.spark_partition_id().cast("string"), F.lit("-"), F.floor(F.col("request") / 200).cast("string")))
+    body = F.concat(F.lit('{"logs":['), F.concat_ws(",", F.collect_list("value")), F.lit("]}"))
+    bodies.groupBy("request").agg(body.alias("value")).write.partitionBy("request").text(f"{base}/bodies")
+    store = LogStore(spark, base)
+    ingest_stream(store, requests_from_files(spark, f"{base}/bodies/*"), f"{base}/checkpoint", f"{base}/rejects").awaitTermination()
+    return (
+        merge_rollups(store.rollups())
+        .groupBy("service", "level")
+        .agg(F.sum("count").alias("count"), F.count("*").alias("minutes"))
+    )
+
+
+QUERIES["ingest_request_bodies"] = ingest_request_bodies
+ORACLE_SQL["ingest_request_bodies"] = ORACLE_SQL["ingest_stream_rollup"]
+
+
 def _filled_store(spark: SparkSession, d: str, batches: int = 2) -> LogStore:
     """A new store with the events, in some batches."""
     store = LogStore(spark, _scratch(spark))

@@ -17,6 +17,9 @@ from bucketwise.sources.store import LogStore
 
 
 OVERLOADED = "ingestion overloaded"
+TOO_LARGE = "request body is too large"
+#: Bytes of a request's body, and of the bodies of a stream's batch, at most.
+BODY_BYTES, BATCH_BYTES = 1 << 20, 64 << 20
 _ENTRIES = "request long, index long, raw string, received timestamp, position long"
 
 
@@ -87,10 +90,11 @@ def ingest_batch(
 
 
 def numbered(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """``lines`` persisted as (raw, place), and the same with ``position``: dense
-    numbers from 0, by the rows of each partition (one number of each partition
-    reaches the driver)."""
-    held = lines.select(F.col(value).alias("raw"), F.monotonically_increasing_id().alias("place")).persist()
+    """``lines`` persisted as (raw, error, place), and the same with ``position``
+    for ``place``: dense numbers from 0, by the rows of each partition (one number
+    of each partition reaches the driver).  ``error`` is null where there is none."""
+    error = F.col("error") if "error" in lines.columns else F.lit(None).cast("string")
+    held = lines.select(F.col(value).alias("raw"), error.alias("error"), F.monotonically_increasing_id().alias("place")).persist()
     part, inside = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = held.groupBy(part.alias("part")).agg(F.max(inside).alias("last")).collect()
     starts, total = [], 0
@@ -98,7 +102,7 @@ def numbered(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFra
         starts += [F.lit(r.part), F.lit(total)]
         total += r.last + 1
     before = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
-    return held, held.select("raw", (before + inside).cast("long").alias("position"))
+    return held, held.select("raw", "error", (before + inside).cast("long").alias("position"))
 
 
 def ingest_stream(
@@ -111,7 +115,8 @@ def ingest_stream(
     name: str = "ingest",
     report: Callable[[BatchCounts], None] | None = None,
 ) -> StreamingQuery:
-    """Ingest a stream with a string column ``value`` of JSON entries.
+    """Ingest a stream with a string column ``value`` of JSON entries, and if it
+    likes ``error``: why there is no entry (see :func:`requests_from_files`).
 
     Each micro-batch is one store batch named after its number, so a batch that
     is repeated after a failure is committed once.  Rows may be as late as they
@@ -126,7 +131,7 @@ def ingest_stream(
 
     def commit(batch: DataFrame, number: int) -> None:
         held, placed = numbered(batch)
-        judged = validated(placed).persist()
+        judged = validated(placed).withColumn("reason", F.coalesce("error", "reason")).persist()
         try:
             counts = Observation(f"{name}-{number}")
             accepted, rejected = F.count_if(F.col("reason").isNull()), F.count("reason")
@@ -148,9 +153,44 @@ def ingest_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def lines_from_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
-    """A stream of JSON lines from the files that arrive in a folder."""
+def lines_from_files(spark: SparkSession, path: str, per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
+    """A stream of JSON lines from the files that arrive in a folder, with so many
+    files or bytes a batch at most (but one file at least)."""
+    return _arriving(spark, per_batch, bytes_per_batch).text(path)
+
+
+def requests_from_files(spark: SparkSession, path: str, per_batch: int | None = None, bytes_per_batch: int | None = BATCH_BYTES) -> DataFrame:
+    """A stream of entries from the request bodies that arrive in a folder, one body a file.
+
+    A batch takes whole requests up to ``bytes_per_batch``; a larger one is a batch
+    of its own.  The source's log says which files a batch has, so a batch that is
+    repeated after a failure has the same ones.  Bodies are taken apart by
+    expressions: ``value`` has an entry, or ``error`` the reason why a body has none.
+    A file without a byte is no request."""
+    body = F.try_parse_json(F.col("value"))
+    bodies = _arriving(spark, per_batch, bytes_per_batch).option("wholetext", "true").text(path)
+    fields, logs = F.try_variant_get(body, "$", "map<string,variant>"), F.try_variant_get(body, "$.logs", "array<variant>")
+    read = bodies.select(F.octet_length("value").alias("bytes"), fields.alias("fields"), logs.alias("logs"))
+    error = (
+        F.when(F.col("bytes") > BODY_BYTES, TOO_LARGE)
+        .when(F.col("fields").isNull(), "invalid request body")
+        .when(F.col("logs").isNull(), "logs must be a non-empty array")
+        .when(F.size("logs") == 0, "logs array must not be empty")
+        .when(F.size("fields") > 1, "invalid request body")
+    )
+    judged = read.withColumn("error", error)
+    # one row without an entry for a body that has an error
+    return judged.select("error", F.explode_outer(F.when(F.col("error").isNull(), F.col("logs"))).alias("entry")).select(
+        F.coalesce(F.to_json("entry"), F.lit("null")).alias("value"), "error"
+    )
+
+
+def _arriving(spark: SparkSession, per_batch: int | None, bytes_per_batch: int | None):
     reader = spark.readStream
+    if per_batch and bytes_per_batch:
+        raise ValueError("a batch is bounded by files or by bytes, not by both")
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.text(path)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    return reader

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from bucketwise.engine import Engine
 from bucketwise.functions.time import instant_column, parse_instant
-from bucketwise.streaming.ingest import BatchCounts, ingest_stream
+from bucketwise.operators.validate import open_envelope
+from bucketwise.sources.store import LogStore
+from bucketwise.streaming.ingest import BODY_BYTES, TOO_LARGE, BatchCounts, ingest_stream, requests_from_files
 
 
 def lines_of(spark, folder, entries, per_file):
@@ -88,3 +90,71 @@ def test_of_a_repeated_key_the_last_counts_in_batches_and_streams(spark, tmp_pat
     rows = engine.store.logs().collect()
     assert [(r.level, r.attributes, r.attributes_text) for r in rows] == [("info", '{"a":"2"}', {"a": "2"})] * 2
     engine.close()
+
+
+def bodies(folder, texts):
+    folder.mkdir()
+    for k, text in enumerate(texts):
+        file = folder / f"{k:04d}.json"
+        file.write_text(text)
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+def test_request_bodies_are_judged_like_requests(spark, tmp_path):
+    odd = ["[1]", " ", "{", "null", '{"logs":1}', "{}", '{"logs":[]}', '{"logs":[1],"x":1}', '{"logs":[null,5,"x",[]]}', json.dumps({"logs": [entry(1), entry(5), {"a": {"b": 1.50}}]})]
+    large = json.dumps({"logs": [entry(2) | {"message": "x" * BODY_BYTES}]})
+    bodies(tmp_path / "in", [*odd, large])
+    store = LogStore(spark, f"file://{tmp_path}/s")
+    ingest_stream(store, requests_from_files(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/cp", f"file://{tmp_path}/bad").awaitTermination()
+    want = [TOO_LARGE]
+    for text in odd:
+        try:
+            envelope = open_envelope(json.loads(text))
+        except ValueError:
+            envelope = open_envelope(None)
+        want += [envelope.error] if envelope.error else []
+    want += ["invalid log entry"] * 4 + ["service must be a non-empty string", "invalid timestamp"]
+    assert sorted(r.reason for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == sorted(want)
+    assert [r.message for r in store.logs().collect()] == ["m1"]
+
+
+def test_batches_hold_whole_requests_within_their_bytes(spark, tmp_path):
+    texts = [json.dumps({"logs": [entry(1) | {"message": f"r{k}-{i}" + "y" * (20_000 if k == 4 else 10)} for i in range(3)]}) for k in range(12)]
+    bodies(tmp_path / "in", texts)
+    store, bound = LogStore(spark, f"file://{tmp_path}/s"), 2 * len(texts[0]) + 40
+    ingest_stream(store, requests_from_files(spark, f"file://{tmp_path}/in", bytes_per_batch=bound), f"file://{tmp_path}/cp").awaitTermination()
+    found = [m for m in store.manifests() if m.rows]
+    groups = []
+    for m in found:
+        names = {r.message.split("-")[0] for r in store.logs().where(F.col("id").between(m.next_id - m.rows, m.next_id - 1)).collect()}
+        assert m.rows == 3 * len(names)  # no request is split
+        groups.append(sorted(int(n[1:]) for n in names))
+    assert sorted(k for g in groups for k in g) == list(range(12))
+    assert all(len(g) == 1 or sum(len(texts[k]) for k in g) <= bound for g in groups) and [4] in groups and max(map(len, groups)) == 2
+
+
+@pytest.mark.parametrize("moment", ["before the commit", "after the commit"])
+def test_a_restart_in_the_middle_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, moment):
+    bodies(tmp_path / "in", [json.dumps({"logs": [entry(1) | {"message": f"r{k}-{i}"} for i in range(2)]}) for k in range(6)])
+    store, fails = LogStore(spark, f"file://{tmp_path}/s"), [1]
+    run = lambda report: ingest_stream(store, requests_from_files(spark, f"file://{tmp_path}/in", 2, None), f"file://{tmp_path}/cp", report=report)
+    append = store.append
+
+    def failing(rows, batch=None):
+        if moment == "before the commit" and batch == "ingest-1" and fails:
+            append(rows.limit(1).where("false"), None)  # something was done, nothing was kept
+            raise OSError(fails.pop())
+        return append(rows, batch)
+
+    def report(counts):
+        if moment == "after the commit" and store.state().has("ingest-1") and fails:
+            raise OSError(fails.pop())
+
+    monkeypatch.setattr(store, "append", failing)
+    with pytest.raises(Exception, match="1"):
+        run(report).awaitTermination()
+    assert not fails and store.logs().count() == (2 if moment == "before the commit" else 4) * 2
+    run(report).awaitTermination()
+    rows = store.logs().collect()
+    assert sorted(r.message for r in rows) == sorted(f"r{k}-{i}" for k in range(6) for i in range(2))
+    assert len({r.id for r in rows}) == 12 and store.rollups().groupBy().sum("count").first()[0] == 12
