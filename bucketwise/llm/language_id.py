@@ -32,7 +32,6 @@ Defined results
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -65,7 +64,6 @@ FAMILIES = {
     "indic": ("hi", "mr", "ne", "bn", "gu", "pa"),
 }
 _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters counts as one kind of gap.
 _FOLD = bytes(
     32 if b < 128 and not chr(b).isalpha() else (b + 32 if 65 <= b <= 90 else b) for b in range(256)
@@ -270,7 +268,7 @@ def with_language(docs: DataFrame, model: LanguageModel | None, text: str = "tex
                 piece = batch.slice(first, 256)
                 texts = piece.column(at).to_pylist()
                 names, scores, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-                known = [i for i, t in enumerate(texts) if own is not None and t and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if own is not None and t and any(map(str.isalpha, t))]
                 if known:
                     x = np.stack([vector(texts[i]) for i in known])
                     found, score = own.predict(x)

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice, repeat
@@ -203,11 +204,13 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Letters and a tail of ASCII punctuation are separate to the
-        tokenizer, so such words are put together from the two."""
+        tokenizer, so such words are put together from the two.  The letters
+        must end with one in lower case and composed too: U+0130 and letters that
+        are taken apart end with a mark there, which the tokenizer keeps apart from letters."""
         split = {}
         for w in words:
             core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and "'" not in w and core[-1].isalpha():
+            if core and len(core) < len(w) and "'" not in w and core[-1].isalpha() and unicodedata.normalize("NFC", core.lower())[-1].isalpha():
                 split[w] = core, w[len(core) :]
         whole = words - split.keys()
         whole.update(p for pair in split.values() for p in pair if p not in self.index)

@@ -40,6 +40,14 @@ def test_odd_rows(odd, empty):
     assert {r.lid_lang for r in lid.with_language(odd, None).collect()} == {"und"}
 
 
+def test_numbers_that_are_not_digits_are_no_letters(spark, odd):
+    texts = ["½", "²", "①", "Ⅷ", "½ ² ① Ⅷ 12 _", "ª", "½ a", "ー"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = lid.with_language(docs, lid.train(odd)).orderBy("doc_id").collect()
+    assert [r.lid_lang == "und" for r in found] == [True] * 5 + [False] * 3
+    assert all((r.lid_score == 0) == (r.lid_lang == "und") for r in found)
+
+
 def test_close_languages_are_told_apart_within_the_family():
     rng = np.random.default_rng(1)
     kinds = {"en": 0, "de": 1, "fr": 2, "es": 3, "qq": 4}

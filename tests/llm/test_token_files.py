@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,6 +41,18 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
     assert got == library(texts)
 
 
+def test_every_character_before_punctuation():
+    """Above all those whose lower case is of another length or category."""
+    odd = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (len(c.lower()) > 1 or unicodedata.category(c)[0] != unicodedata.category(c.lower()[-1])[0])]
+    some = [chr(c) for c in range(0x20, 0x2FFF)] + [chr(c) for c in range(0x3000, 0x1F000, 97) if not 0xD800 <= c < 0xE000]
+    texts = ["İSTANBUL ÜNİVERSİTESİ, 2020", "TÜRKİYE CUMHURİYETİ.", "İ,", "İ", "aİ", *(f"A{c}, x{c}. {c}!{c} B{c}{c}?) .{c}a" for c in [*odd, *some])]
+    coder, got = tf.WordEncoder(tf.default_tokenizer()), []
+    for at in range(0, len(texts), 500):
+        ids, n = coder.encode(texts[at : at + 500])
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert "İ" in odd and [t for t, a, b in zip(texts, got, library(texts)) if a != b] == []
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500))
 @settings(deadline=None, max_examples=60)
 def test_codes(ids):
