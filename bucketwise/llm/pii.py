@@ -89,19 +89,32 @@ TITLES = {
 _ALL_TITLES = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
 _UP, _LOW = r"[\p{Lu}&&[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]]", r"[\p{Ll}'’-]"
 _NAME = rf"(?:%s)\.? {_UP}{_LOW}+(?: {_UP}{_LOW}+)?" % "|".join(_ALL_TITLES)
+#: A card number in the groups that cards have; no other entity can hide in it.
+_GROUPED = r"(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?!\d)(?![A-Za-z0-9._%+-]*@)"
+#: A whole run of 13 to 19 digits with spaces or hyphens anywhere: other entities
+#: may be inside, but none reaches beyond it.
+_RUN = r"\d(?:[ -]?\d){12,18}(?!\d|[ .-]\d)(?![A-Za-z0-9._%+-]*@)"
 #: In order of precedence where two could start at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|api[_-]?key|secret|password|passwd|pwd)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,}\"?",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"\d(?:[ -]?\d){12,18}(?!\d)",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]|-\d)",
+    "card": f"{_RUN}|{_GROUPED}",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"\+\d{1,3}(?:[ .-]\d{1,8}){2,5}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{1,8}){2,5}(?!\d|[.-]\d)",
     "name": _NAME,
 }
-#: An entity does not start inside a word or a number.
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+
+
+def _any(patterns: dict[str, str]) -> str:
+    """An entity does not start inside a word or a number."""
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in patterns.values()) + ")"
+
+
+ENTITY = _any(PATTERNS)
+#: What is looked for in a run of digits that turned out to be no card.
+INNER = _any(PATTERNS | {"card": _GROUPED})
 
 #: First numbers of public IPv4 networks without special ones inside (fixed values).
 _PUBLIC = [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
@@ -417,6 +430,17 @@ def _is_entity(raw: Column) -> Column:
     return ~raw.rlike(f"^(?:{PATTERNS['card']})$") | (digits.rlike("^(?:[3-6]|2[2-7])") & (_luhn(body) == digits))
 
 
+def _inside(raw: Column) -> Column:
+    """Matches inside a run of digits that is no card."""
+    return F.regexp_extract_all(raw, F.lit(INNER), F.lit(0))
+
+
+def _entities(raws: str) -> Column:
+    """The entities among matches of ENTITY, and those inside matches that are none."""
+    each = F.transform(raws, lambda r: F.when(_is_entity(r), F.array(r)).otherwise(F.filter(_inside(r), _is_entity)))
+    return F.flatten(each)
+
+
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and ``pii_found`` (how many).
 
@@ -427,34 +451,40 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     raws = F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
     # one pass of the expression; all that follows reads its result
     found = docs.withColumn("pii_raw", raws)
-    good = F.filter("pii_raw", _is_entity)
-    found = found.withColumn("pii_found", F.when(F.size("pii_raw") > 0, F.size(good)).otherwise(F.lit(0)))
+    found = found.withColumn("pii_found", F.when(F.size("pii_raw") > 0, F.size(_entities("pii_raw"))).otherwise(F.lit(0)))
     found = materialize(found, "found")
     touched = found.where("pii_found > 0")
     plain = found.where("pii_found = 0").drop("pii_raw")
 
-    forms = touched.select(F.explode(F.filter("pii_raw", _is_entity)).alias("raw")).distinct()
+    forms = touched.select(F.explode(_entities("pii_raw")).alias("raw")).distinct()
     with temporary() as scratch:
         written = scratch.keep(materialize(replacements(forms, key), "replacements"))
 
     # texts, not ids, carry their entities: ids may be null or repeat
     maps = (
-        touched.select(F.sha2(text, 256).alias("pii_text"), F.array_distinct("pii_raw").alias("raws"))
+        touched.select(F.sha2(text, 256).alias("pii_text"), F.array_distinct(_entities("pii_raw")).alias("raws"))
         .dropDuplicates(["pii_text"])
         .select("pii_text", F.explode("raws").alias("raw"))
         .join(written, "raw")
         .groupBy("pii_text")
         .agg(F.map_from_entries(F.collect_list(F.struct("raw", "written"))).alias("pii_map"))
     )
-    new = F.zip_with(
-        F.split(text, ENTITY, -1),
-        F.transform("pii_raw", lambda r: F.coalesce(F.element_at("pii_map", r), r)),
-        lambda piece, other: F.concat(piece, F.coalesce(other, F.lit(""))),
-    )
+
+    def filled(pieces: Column, between: Column) -> Column:
+        return F.array_join(F.zip_with(pieces, between, lambda piece, other: F.concat(piece, F.coalesce(other, F.lit("")))), "")
+
+    def written_as(raw: Column) -> Column:
+        return F.coalesce(F.element_at("pii_map", raw), raw)
+
+    def anew(raw: Column) -> Column:
+        inside = filled(F.split(raw, INNER, -1), F.transform(_inside(raw), written_as))
+        return F.when(_is_entity(raw), written_as(raw)).otherwise(inside)
+
+    new = filled(F.split(text, ENTITY, -1), F.transform("pii_raw", anew))
     replaced = (
         touched.withColumn("pii_text", F.sha2(text, 256))
         .join(maps, "pii_text")
-        .withColumn("pii_new", F.array_join(new, ""))
+        .withColumn("pii_new", new)
         .withColumn(text, F.col("pii_new"))
     )
     return plain.unionByName(replaced.select(*plain.columns))
