@@ -152,15 +152,15 @@ def _masks(width: int, weight: int) -> np.ndarray:
 
 
 def _close_pairs(values: np.ndarray, width: int, most: int) -> list[float]:
-    """Share of ordered pairs of ``values`` at most 0, 1, ... ``most`` bits apart."""
+    """Share of ordered pairs of different rows at most 0, 1, ... ``most`` bits apart."""
     known, count = np.unique(values, return_counts=True)
-    total, shares = 0, []
+    total, shares = -len(values), []  # a row is no pair with itself
     for d in range(most + 1):
         for mask in _masks(width, d):
             other = known ^ mask
             at = np.minimum(np.searchsorted(known, other), len(known) - 1)
             total += int((count * np.where(known[at] == other, count[at], 0)).sum())
-        shares.append(total / max(1, len(values)) ** 2)
+        shares.append(total / max(1, len(values) * (len(values) - 1)))
     return shares
 
 

@@ -46,6 +46,15 @@ def _close_family(rng, n):
     return np.unique(np.array(fps, dtype=np.uint64))
 
 
+def test_plan_of_unrelated_fingerprints_stays_small():
+    """A fingerprint is filed three times, and looks nothing up, however many there are."""
+    fps = np.random.default_rng(4).integers(0, 2**64, sh.PLAN_SAMPLE, dtype=np.uint64)
+    for number in (10**6, 10**8, 10**9, 10**10):
+        assert [p.threshold for p in sh.plan(fps, number, 2)] == [0, 0, 0]
+    assert sh._close_pairs(np.arange(4, dtype=np.uint64), 2, 2) == [0.0, 8 / 12, 1.0]
+    assert sh._close_pairs(np.zeros(1, np.uint64), 2, 1) == [0.0, 0.0]
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 7])
 @pytest.mark.parametrize("number", [1000, 10**8])
 def test_plan_finds_every_pair(radius, number):
