@@ -164,7 +164,7 @@ def test_signatures_never_miss(spark, tmp_path):
     for at in range(0, len(rows), 10):
         store.append(frame(spark, rows[at : at + 10]).repartition(1))
     files = list(store.candidates(LogQuery()))
-    for text in texts:
+    for text in texts[:6] + texts[6::6]:
         at = rng.randrange(max(1, len(text) - 3))
         part = text[at : at + rng.randrange(3, 12)]
         for q in (LogQuery(q=part.swapcase()), LogQuery(q=text[-40:]), LogQuery(attributes={"": "x"}, q=part)):
