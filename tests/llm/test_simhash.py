@@ -1,5 +1,4 @@
 import re
-
 from math import comb
 
 import numpy as np
