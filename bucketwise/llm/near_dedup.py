@@ -17,6 +17,10 @@ left apart, and each is verified on the whole sets:
 3. all pairs of texts that share such a shingle, that are still apart and that
    sizes and places in the order do not rule out.
 
+Pairs that are proposed are judged by sketches first, a thirtieth or so of the
+sets' size, which only reject pairs that cannot be similar enough; the whole sets
+of what is left, mostly links, are then fetched and compared.
+
 Step 3 leaves no pair out, so the classes are exact; fingerprints, forests,
 neighbours and the sampled order affect the cost alone.  Steps 1 and 2 join
 dense groups with one link a text, so that step 3 meets few pairs.
@@ -92,6 +96,27 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def sketch_of(words: np.ndarray) -> bytes:
+    """For each of m buckets of shingles whether their number is odd, as bits; m is
+    the least power of two that is not below the size of the set, 64 at least."""
+    m = max(64, 1 << (len(words) - 1).bit_length())
+    odd = np.bincount(words & np.uint32(m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def can_be_similar(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, similarity: float) -> bool:
+    """Whether the sketches (bytes) of two sets of these sizes allow the similarity.
+
+    A bucket that is odd in one set alone holds a shingle of one alone, and of
+    sets that are similar enough at most (1 - s) / (1 + s) of both sizes are such.
+    A sketch halves to the one of half as many buckets."""
+    while len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    differ = int(np.bitwise_count(a ^ b).sum())
+    return min(n_a, n_b) > 0 and differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9
+
+
 def _filter(keys: DataFrame) -> "pd.Series":
     """A vectorised test for membership, possibly too generous, in distinct longs."""
     bloom = keys.sparkSession.sparkContext.broadcast(BlockedBloom.build(keys).words)
@@ -104,7 +129,7 @@ def _filter(keys: DataFrame) -> "pd.Series":
 
 
 def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, words): the shingle set of every text, once.
+    """(node, n, sketch, words): the shingle set of every text, its size and sketch, once.
 
     ``texts``: near_key, near_node, text; ``nodes``: near_node, near_key of a row
     that speaks for it, and near_copies, the number of its rows."""
@@ -116,11 +141,19 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                found = [shingle_set(text.as_py()).tobytes() for text in piece.column(1)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["node", "words"])
+                found = [shingle_set(text.as_py()) for text in piece.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(0),
+                        pa.array([len(f) for f in found], pa.int32()),
+                        pa.array([sketch_of(f) for f in found], pa.binary()),
+                        pa.array([f.tobytes() for f in found], pa.binary()),
+                    ],
+                    names=["node", "n", "sketch", "words"],
+                )
 
     def of(rows: DataFrame) -> DataFrame:
-        return rows.select("near_node", "text").mapInArrow(sets, "node long, words binary")
+        return rows.select("near_node", "text").mapInArrow(sets, "node long, n int, sketch binary, words binary")
 
     # texts that stand in one row for certain do not move
     alone = of(texts.where(~repeated("near_node")))
@@ -327,23 +360,42 @@ def pairs_apart(rows: DataFrame, roots: DataFrame, similarity: float = SIMILARIT
     return _runs_of_tokens(dealt, ["i", "j", "token"], lambda run, place, root, _: _apart(run, place, root, similarity)).distinct()
 
 
-def verified_links(proposed: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of ``proposed`` whose texts are similar enough."""
-    proposed = materialize(proposed.select("a", "b"), "proposed")
-    possible = _filter(proposed.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    sets = shingles.where(possible("node"))
+def _judged(pairs: DataFrame, sets: DataFrame, judge: Callable[..., bool]) -> DataFrame:
+    """The ``pairs`` (a, b) that ``judge`` accepts; it gets the columns of ``sets``
+    besides node (binary ones as bytes in arrays), those of a first."""
+    possible = _filter(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    sets = sets.where(possible("node"))
+    values = [c for c in sets.columns if c != "node"]
+
+    def column(c: pa.Array) -> list:
+        return [np.frombuffer(v.as_buffer(), np.uint8) for v in c] if pa.types.is_binary(c.type) else c.to_pylist()
 
     @returns_memory
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = batch.columns
-            as_set = lambda w: np.frombuffer(w.as_buffer(), np.uint32)
-            good = [similarity_of(as_set(p), as_set(q)) >= similarity for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    both = proposed.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "verified")
+            good = [judge(*v) for v in zip(*(column(c) for c in batch.columns[2:]))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.select("a", "b")
+    for end in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(end), *(F.col(v).alias(f"{v}_{end}") for v in values)), end)
+    of_both = [f"{v}_{end}" for end in ("a", "b") for v in values]
+    return both.select("a", "b", *of_both).mapInArrow(accepted, "a long, b long")
+
+
+def verified_links(proposed: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of ``proposed`` whose texts are similar enough: by sketches,
+    then what these leave by the whole sets."""
+
+    def likely(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray) -> bool:
+        return can_be_similar(n_a, a, n_b, b, similarity)
+
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        return similarity_of(a.view(np.uint32), b.view(np.uint32)) >= similarity
+
+    proposed = materialize(proposed.select("a", "b"), "proposed")
+    left = materialize(_judged(proposed, shingles.select("node", "n", "sketch"), likely), "likely")
+    return materialize(_judged(left, shingles.select("node", "words"), similar), "verified")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from bucketwise.llm.near_dedup import deduplicate, shingle_set, similarity_of
+from bucketwise.llm.near_dedup import can_be_similar, deduplicate, shingle_set, similarity_of, sketch_of
 from tests.llm.conftest import SCHEMA, words
 from tests.llm.test_components import brute
 
@@ -139,3 +139,26 @@ def test_recall_by_length_and_kind_of_edit(spark):
     for i in set(got) - set(want):
         missed[group[i]] = missed.get(group[i], 0) + 1
     assert not missed and got == want
+
+
+def test_sketches_reject_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rejected = unlike = 0
+    sizes = [0, 1, 2, 5, 63, 64, 65, 100, 129, 500, 1000, 3000]
+    for n in sizes:
+        base = np.unique(rng.integers(0, 2**32, n, np.uint32))
+        for kept in (1.0, 0.95, 0.9, 0.85, 0.8, 0.6, 0.3, 0.0):
+            for added in (0.0, 0.05, 0.12, 0.25, 1.0):
+                more = rng.integers(0, 2**32, int(added * n), np.uint32)
+                other = np.unique(np.concatenate([base[rng.random(len(base)) < kept], more]))
+                a, b = (np.frombuffer(sketch_of(w), np.uint8) for w in (base, other))
+                for x, y in (((len(base), a), (len(other), b)), ((len(other), b), (len(base), a))):
+                    possible = can_be_similar(*x, *y, 0.8)
+                    if similarity_of(base, other) >= 0.8:
+                        assert possible
+                    else:
+                        unlike += 1
+                        rejected += not possible
+    assert rejected > 0.75 * unlike
