@@ -17,7 +17,7 @@ left apart, and each is verified on the whole sets:
 3. all pairs of texts that share such a shingle, that are still apart and that
    sizes and places in the order do not rule out.
 
-Pairs that are proposed are judged by sketches first, a thirtieth or so of the
+Pairs that are proposed are judged by sketches first, a thirtieth to a fifteenth of the
 sets' size, which only reject pairs that cannot be similar enough; the whole sets
 of what is left, mostly links, are then fetched and compared.
 
