@@ -372,9 +372,10 @@ def ingest_request_bodies(spark: SparkSession, d: str) -> DataFrame:
     entries = spark.read.text(_entries_on_disk(spark, d, base)).withColumn("request", F.monotonically_increasing_id() % F.lit(1 << 33))
     bodies = entries.withColumn("request", F.concat(F.spark_partition_id().cast("string"), F.lit("-"), F.floor(F.col("request") / 200).cast("string")))
     body = F.concat(F.lit('{"logs":['), F.concat_ws(",", F.collect_list("value")), F.lit("]}"))
-    bodies.groupBy("request").agg(body.alias("value")).write.partitionBy("request").text(f"{base}/bodies")
+    # a body a line: a file of its own for each would cost more than the ingest, and a folder for each yet more
+    bodies.groupBy("request").agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 100).text(f"{base}/bodies")
     store = LogStore(spark, base)
-    ingest_stream(store, requests_from_files(spark, f"{base}/bodies/*"), f"{base}/checkpoint", f"{base}/rejects").awaitTermination()
+    ingest_stream(store, requests_from_files(spark, f"{base}/bodies", lines=True), f"{base}/checkpoint", f"{base}/rejects").awaitTermination()
     return (
         merge_rollups(store.rollups())
         .groupBy("service", "level")

@@ -20,6 +20,8 @@ OVERLOADED = "ingestion overloaded"
 TOO_LARGE = "request body is too large"
 #: Bytes of a request's body, and of the bodies of a stream's batch, at most.
 BODY_BYTES, BATCH_BYTES = 1 << 20, 64 << 20
+#: Tasks that list a batch's files, for each core at most; Spark's own setting is a task a file.
+LISTING, LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 2
 _ENTRIES = "request long, index long, raw string, received timestamp, position long"
 
 
@@ -91,10 +93,19 @@ def ingest_batch(
 
 def numbered(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """``lines`` persisted as (raw, error, place), and the same with ``position``
-    for ``place``: dense numbers from 0, by the rows of each partition (one number
-    of each partition reaches the driver).  ``error`` is null where there is none."""
+    for ``place`` (see :func:`positioned`).  ``error`` is null where there is none."""
+    held = _raw(lines, value).persist()
+    return held, positioned(held).select("raw", "error", "position")
+
+
+def _raw(lines: DataFrame, value: str) -> DataFrame:
     error = F.col("error") if "error" in lines.columns else F.lit(None).cast("string")
-    held = lines.select(F.col(value).alias("raw"), error.alias("error"), F.monotonically_increasing_id().alias("place")).persist()
+    return lines.select(F.col(value).alias("raw"), error.alias("error"), F.monotonically_increasing_id().alias("place"))
+
+
+def positioned(held: DataFrame) -> DataFrame:
+    """Persisted rows with ``position`` for ``place``: dense numbers from 0, by the rows
+    of each partition (one number of each partition reaches the driver)."""
     part, inside = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = held.groupBy(part.alias("part")).agg(F.max(inside).alias("last")).collect()
     starts, total = [], 0
@@ -102,7 +113,7 @@ def numbered(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFra
         starts += [F.lit(r.part), F.lit(total)]
         total += r.last + 1
     before = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
-    return held, held.select("raw", "error", (before + inside).cast("long").alias("position"))
+    return held.withColumn("position", (before + inside).cast("long")).drop("place")
 
 
 def ingest_stream(
@@ -130,9 +141,11 @@ def ingest_stream(
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        held, placed = numbered(batch)
-        judged = validated(placed).withColumn("reason", F.coalesce("error", "reason")).persist()
+        # entries are read, judged and kept by the pass that counts them, without their text
+        judged = validated(_raw(batch, "value")).withColumn("reason", F.coalesce("error", "reason")).drop("raw", "error")
+        held = judged.persist()
         try:
+            judged = positioned(held)
             counts = Observation(f"{name}-{number}")
             accepted, rejected = F.count_if(F.col("reason").isNull()), F.count("reason")
             valid, bad = split(judged, ["position"])
@@ -146,7 +159,6 @@ def ingest_stream(
             if fresh and publish:
                 publish(valid)
         finally:
-            judged.unpersist()
             held.unpersist()
 
     writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).queryName(name)
@@ -159,16 +171,24 @@ def lines_from_files(spark: SparkSession, path: str, per_batch: int | None = Non
     return _arriving(spark, per_batch, bytes_per_batch).text(path)
 
 
-def requests_from_files(spark: SparkSession, path: str, per_batch: int | None = None, bytes_per_batch: int | None = BATCH_BYTES) -> DataFrame:
-    """A stream of entries from the request bodies that arrive in a folder, one body a file.
+def requests_from_files(spark: SparkSession, path: str, per_batch: int | None = None, bytes_per_batch: int | None = BATCH_BYTES, lines: bool = False) -> DataFrame:
+    """A stream of entries from the request bodies that arrive in a folder, one body a file,
+    or with ``lines`` one a line of files that hold many (an empty line is no request).
 
-    A batch takes whole requests up to ``bytes_per_batch``; a larger one is a batch
+    A batch takes whole files up to ``bytes_per_batch``; a larger one is a batch
     of its own.  The source's log says which files a batch has, so a batch that is
     repeated after a failure has the same ones.  Bodies are taken apart by
     expressions: ``value`` has an entry, or ``error`` the reason why a body has none.
-    A file without a byte is no request."""
+    A file without a byte is no request.
+
+    Batches have thousands of files: the session lists them in few tasks, for the
+    driver would start one for each file, about three milliseconds each."""
+    few = LISTING_TASKS * spark.sparkContext.defaultParallelism
+    spark.conf.set(LISTING, str(min(few, int(spark.conf.get(LISTING)))))
     body = F.try_parse_json(F.col("value"))
-    bodies = _arriving(spark, per_batch, bytes_per_batch).option("wholetext", "true").text(path)
+    bodies = _arriving(spark, per_batch, bytes_per_batch).option("wholetext", str(not lines).lower()).text(path)
+    if lines:
+        bodies = bodies.where("value <> ''")
     fields, logs = F.try_variant_get(body, "$", "map<string,variant>"), F.try_variant_get(body, "$.logs", "array<variant>")
     read = bodies.select(F.octet_length("value").alias("bytes"), fields.alias("fields"), logs.alias("logs"))
     error = (

@@ -118,6 +118,25 @@ def test_request_bodies_are_judged_like_requests(spark, tmp_path):
     assert [r.message for r in store.logs().collect()] == ["m1"]
 
 
+def test_bodies_one_a_line_are_judged_like_files_and_listed_in_few_tasks(spark, tmp_path):
+    texts = ["[1]", " ", "{", '{"logs":[]}', '{"logs":[1],"x":1}', *(json.dumps({"logs": [entry(k), entry(5), 7]}) for k in (1, 2, 3))]
+    texts.append(json.dumps({"logs": [entry(2) | {"message": "x" * BODY_BYTES}]}))
+    bodies(tmp_path / "files", texts)
+    bodies(tmp_path / "lines", ["\n\n".join(texts[:4]) + "\n", "", "\n".join(texts[4:])])
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(listing)
+    found = []
+    for kind in ("files", "lines"):
+        at = f"file://{tmp_path}/{kind}"
+        store = LogStore(spark, f"{at}-s")
+        ingest_stream(store, requests_from_files(spark, at, lines=kind == "lines"), f"{at}-cp", f"{at}-bad").awaitTermination()
+        ids = sorted(r.id for r in store.logs().collect())
+        assert len(set(ids)) == len(ids)
+        found.append((sorted(r.reason for r in spark.read.parquet(f"{at}-bad").collect()), sorted(r.message for r in store.logs().collect())))
+    assert found[0] == found[1] and found[0][1] and TOO_LARGE in found[0][0]
+    assert int(spark.conf.get(listing)) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_batches_hold_whole_requests_within_their_bytes(spark, tmp_path):
     texts = [json.dumps({"logs": [entry(1) | {"message": f"r{k}-{i}" + "y" * (20_000 if k == 4 else 10)} for i in range(3)]}) for k in range(12)]
     bodies(tmp_path / "in", texts)
