@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from bucketwise.llm.common import no_columns, returns_memory
 from bucketwise.llm.id_cache import IdCache, joined
+from bucketwise.llm.piece_paths import PiecePaths
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -48,6 +49,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts of texts that a worker keeps; they take twice the memory of ASCII words.
 CACHED_PARTS = 150_000
+#: Characters of a part beyond which, as with characters that no single-character
+#: piece covers, it is segmented alone; others together (:mod:`bucketwise.llm.piece_paths`).
+LONG_PART = 64
 #: Kinds of pieces in the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PARTS = re.compile("▁+[^▁\t\n]*|[^▁\t\n]+|[\t\n]")
@@ -109,6 +113,8 @@ class PieceModel:
         for i, p, s in ordinary:
             self.automaton.add_word(p, (i, len(p), s))
         self.automaton.make_automaton()
+        self.paths = PiecePaths(ordinary)
+        self.singles = frozenset(p for _, p, _ in ordinary if len(p) == 1)
         self.separable = not any(MARK in p.lstrip(MARK) or re.search("[\t\n]", p) for _, p, _ in ordinary)
         self.as_bytes = [self._bytes_of(i) for i in range(len(self.pieces))]
         self.cache = IdCache(self._learn, CACHED_PARTS)
@@ -157,8 +163,9 @@ class PieceModel:
         return ids[::-1], best[-1]
 
     def _learn(self, parts: set[str]) -> None:
-        new = list(parts)
-        self.cache.add(new, *joined([self.segment(p)[0] for p in new]))
+        alone = [p for p in parts if len(p) > LONG_PART or not self.singles.issuperset(p)]
+        self.cache.add(*self.paths.best(parts.difference(alone)))
+        self.cache.add(alone, *joined([self.segment(p)[0] for p in alone]))
 
     def _parts(self, text: str) -> list[str]:
         text = text.replace(" ", MARK)

@@ -74,6 +74,35 @@ def test_best_of_all_paths(model):
         assert model.segment(part)[1] == best[len(part)]
 
 
+def test_parts_walked_together_have_the_paths_of_single_ones(model, data, monkeypatch):
+    rng = random.Random(8)
+    words = [sp.MARK + "".join(rng.choice("abcdeéñhtsing.!") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    words += [p for p, _, k in model.pieces if k == sp.NORMAL and len(p) <= sp.LONG_PART and model.singles.issuperset(p)]
+    ordered, ids, n = model.paths.best(set(words))
+    assert sorted(ordered) == sorted(set(words))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [model.segment(w)[0] for w in ordered]
+    assert model.paths.best([])[0] == []
+    with pytest.raises(ValueError, match="no piece"):
+        model.paths.best(["x\U0001f9ff"])
+    # ordinary words are never segmented one by one; long parts and unknown characters are
+    fresh, alone = sp.PieceModel(data), []
+    one = fresh.segment
+    monkeypatch.setattr(fresh, "segment", lambda part: alone.append(part) or one(part))
+    texts = ["hello there  words", "x\U0001f9ff", "y" * (sp.LONG_PART + 1)]
+    assert split(fresh, texts) == split(model, texts)
+    assert sorted(alone) == sorted(sp.MARK + t for t in texts[1:])
+
+
+def test_walks_of_ties_chunks_and_failures(monkeypatch):
+    from bucketwise.llm import piece_paths
+
+    monkeypatch.setattr(piece_paths, "TOGETHER", 3)
+    pieces = [(5, "a", -1.0), (6, "b", -1.0), (7, "ab", -2.0), (8, "bab", -2.5), (9, "aabb", -9.0), (10, "c", -1.0)]
+    ordered, ids, n = piece_paths.PiecePaths(pieces).best(["ab", "aababc", "bab", "aabb", "c", "aabc", "b"])
+    found = dict(zip(ordered, (x.tolist() for x in np.split(ids, np.cumsum(n)[:-1]))))
+    assert found == {"ab": [7], "aababc": [5, 5, 8, 10], "bab": [8], "aabb": [5, 7, 6], "c": [10], "aabc": [5, 7, 10], "b": [6]}
+
+
 def test_round_trip(spark, odd, empty):
     out = sp.with_pieces(odd.select(*(c for c in odd.columns if c != "text"), "text"))
     assert out.columns[-2:] == ["sp_ids", "sp_decoded"]
