@@ -181,19 +181,19 @@ def plcp(s: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     word = np.ndarray(n, dtype="<u8", buffer=s.astype(np.uint8).tobytes() + bytes(8), strides=(1,)).copy()
     phi = np.full(n, -1, dtype=np.int64)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
-    has = phi >= 0
-    left = np.zeros(n, dtype=bool)  # the value follows from the left neighbour
-    inner = at[(at > 0) & (phi > 0)]
-    left[inner] = (s[inner - 1] == s[phi[inner] - 1]) & has[inner - 1]
-    start = at[has & ~left]
+    # a value follows from the left neighbour if the same symbol stands before both
+    # suffixes; the last symbol, before place 0 here, stands nowhere else
+    before = s[sa - 1]
+    left = np.zeros(n, dtype=bool)
+    left[sa[1:]] = before[1:] == before[:-1]
+    heads = np.flatnonzero(~left)  # the last place, which is first in order, is one
+    run = np.diff(np.concatenate([heads, [n]]))
+    start = heads[:-1]
     common = np.zeros(len(start), dtype=np.int64)
     live, a, b = np.arange(len(start)), start, phi[start]
     # a reducible value is its neighbour's less one, so compare beyond ``most``
     # by as much as the run of reducible ones is long
-    run = np.diff(np.concatenate([np.flatnonzero(~left), [n]]))
-    heads = np.flatnonzero(~left)
-    need = most + run[np.searchsorted(heads, start)]
+    need = most + run[:-1]
     k = 0
     while len(live):
         ok = (a + k < n) & (b + k < n) & (k < need[live])
@@ -205,8 +205,5 @@ def plcp(s: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
         go = differ == 0
         live, a, b = live[go], a[go], b[go]
         k += 8
-    value = np.zeros(n, dtype=np.int64)
-    value[start] = common
-    origin = np.maximum.accumulate(np.where(~left, at, 0))
-    value = np.where(left, value[origin] - (at - origin), value)
+    value = np.repeat(np.concatenate([common, [0]]) + heads, run) - np.arange(n)
     return phi, np.maximum(value, 0)

@@ -64,6 +64,8 @@ SHARD_BYTES = 3 << 19
 HOT_BYTES = 1 << 20
 _SLICE_BYTES = 1 << 21
 _MOST_PLACES = 1 << 28
+#: Places whose grams are compared at a time.
+_BLOCK = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEPARATOR = 255  # neither a UTF-8 byte plus one nor the end
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -97,6 +99,24 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
+def _least_grams(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the gram at each place, and for the ``length`` bytes from each place on
+    where their least gram stands, the leftmost of equals.  It goes block by block,
+    so that a processor's cache holds the values between."""
+    hashes = np.empty(max(len(data) - GRAM + 1, 0), dtype=np.uint64)
+    least = np.empty(len(data) - length + 1, dtype=np.int64)
+    # the upper bits of a hash and its place are compared
+    mask = np.uint64(_MOST_PLACES - 1)
+    for low in range(0, len(least), _BLOCK):
+        high = min(low + _BLOCK, len(least))
+        h = _gram_hashes(data[low : high + length - 1])
+        hashes[low : low + len(h)] = h
+        h &= ~mask
+        h |= np.arange(low, low + len(h), dtype=np.uint64)
+        least[low:high] = _least(h, length - GRAM + 1) & mask
+    return hashes, least
+
+
 def segments(texts: list[bytes], length: int = FILED) -> tuple[np.ndarray, ...]:
     """Of all segments: hash, text number, first place, number of places, and
     at how many places the gram with the least hash stands.  A string can
@@ -114,22 +134,21 @@ def segments(texts: list[bytes], length: int = FILED) -> tuple[np.ndarray, ...]:
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.any():
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
-    hashes = _gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
-    # the upper bits of a hash and its place: the least is the leftmost of equals
-    mask = np.uint64(_MOST_PLACES - 1)
-    least = _least((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1) & mask
-    number = np.repeat(np.arange(len(texts)), windows)
-    inside = np.arange(len(number)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = least[starts[number] + inside].astype(np.int64)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    hashes, least = _least_grams(data, length)
+    before = np.cumsum(windows) - windows  # windows of the texts before
+    place = least[np.arange(int(windows.sum())) + np.repeat(starts - before, windows)]
     h = hashes[place]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (number[1:] != number[:-1])])
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    new[before[windows > 0]] = True
     first = np.flatnonzero(new)
+    number = np.searchsorted(before + windows, first, side="right")
     places = np.add.reduceat(np.concatenate([[True], place[1:] != place[:-1]]).astype(np.int64), first)
     key = h[first]  # least values crowd near zero; spread them again
     key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     key ^= key >> np.uint64(31)
-    return key, number[first], inside[first], np.diff(np.concatenate([first, [len(h)]])), places
+    return key, number, first - before[number], np.diff(np.concatenate([first, [len(h)]])), places
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -189,67 +208,78 @@ def _other_documents(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.maximum(before(common, doc), after)
 
 
-def _spans(firsts: np.ndarray, ends: np.ndarray) -> list[int]:
-    """[first, end, ...] of the union of spans, firsts ascending."""
+def _spans(firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(first, end) of the union of spans, firsts ascending."""
     if not len(firsts):
-        return []
+        return np.zeros((0, 2), dtype=np.int64)
     ends = np.maximum.accumulate(ends)
     new = np.flatnonzero(np.concatenate([[True], firsts[1:] > ends[:-1]]))
-    return np.stack([firsts[new], ends[np.concatenate([new[1:], [len(ends)]]) - 1]], axis=1).ravel().tolist()
+    return np.stack([firsts[new], ends[np.concatenate([new[1:], [len(ends)]]) - 1]], axis=1)
+
+
+def _within(firsts: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in ranges of different segments."""
+    edges = np.zeros(size + 1, dtype=np.int8)
+    edges[firsts] += 1
+    edges[firsts + counts] -= 1
+    return np.cumsum(edges[:-1], dtype=np.int8).view(bool)
 
 
 def repeated_strings(rows: list[tuple], length: int = LENGTH) -> list[tuple[list[int], list[int]]]:
     """For each distinct segment (number, first and last document, places,
     bytes after its lead): runs of the places whose
     ``length`` bytes start elsewhere too - in another segment, at another place
-    of its own, or in a copy - and spans of bytes that another document shares."""
-    sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
-    s = np.zeros(int(sizes.sum()) + len(rows), dtype=np.uint8)
+    of its own, or in a copy - and spans of bytes that another document shares.
+
+    Segments are judged together, in arrays over the places of all of them."""
+    n, low, high, places = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+    parts = [r[4] for r in rows]
+    sizes = np.array([len(part) for part in parts], dtype=np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    doc = np.empty(len(s), dtype=np.int64)
-    for k, (at, size, (_, low, high, _, part)) in enumerate(zip(starts.tolist(), sizes.tolist(), rows)):
-        s[at : at + size] = _symbols(part)
-        s[at + size] = _SEPARATOR
-        doc[at : at + size + 1] = low if low == high else -1 - k
+    s = np.frombuffer(b"\0".join([*parts, b""]), dtype=np.uint8) + 1
+    s[starts] = np.where(s[starts] == _LEAD[True][0] + 1, _AFTER_SPACE, _AFTER_WORD)
+    s[starts + sizes] = _SEPARATOR
     s[-1] = 0
+    doc = np.repeat(np.where(low == high, low, -1 - np.arange(len(rows))), sizes + 1)
     passage = passage_lengths(s)
     sa = suffix_array(s)
     phi, common = plcp(s, sa, length)
     again = common >= length
-    hits = np.flatnonzero(again)
-    again[phi[hits]] = True
+    again[phi[np.flatnonzero(again)]] = True
     other = np.empty_like(common)
     other[sa] = _other_documents(common[sa], doc[sa])
-    out, met_by = [], {}
-    for at, size, (n, low, high, places, part) in zip(starts.tolist(), sizes.tolist(), rows):
-        first = at + 1
-        whole = max(0, min(places, size - length))  # places with ``length`` bytes
-        flags = np.ones(whole, dtype=bool) if n > 1 else again[first : first + whole]
-        words = passage[first : first + places]
-        words = np.where((words >= FILED) & (words < length), words, 0)
-        near = other[first : first + places]
-        bytes_met = np.flatnonzero(near[:whole] >= length) if low == high else np.arange(whole)
-        i = np.flatnonzero((words > 0) & ((near >= words) | (low != high)))
-        # the same bytes may go on within a word elsewhere; passages are compared whole
-        passages = [(k, k + m, _name(part[k + 1 : k + 1 + m])) for k, m in zip(i.tolist(), words[i].tolist())]
-        for _, _, name in passages:
-            least, most = met_by.get(name, (low, high))
-            met_by[name] = min(least, low), max(most, high)
-        out.append((_runs(flags), bytes_met, passages))
-
-    def shared(at: np.ndarray, passages: list[tuple]) -> list[int]:
-        found = [(a, b) for a, b, name in passages if met_by[name][0] != met_by[name][1]]
-        both = np.concatenate([np.stack([at, at + length], axis=1), np.array(found, dtype=np.int64).reshape(-1, 2)])
-        both = both[np.argsort(both[:, 0], kind="stable")]
-        return _spans(both[:, 0], both[:, 1])
-
-    return [(runs, shared(at, passages)) for runs, at, passages in out]
-
-
-def _runs(flags: np.ndarray) -> list[int]:
-    """[first, end, first, end, ...] of the runs of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges.tolist()
+    first, copied, spread = starts + 1, n > 1, low != high
+    whole = np.maximum(np.minimum(places, sizes - length), 0)  # places with ``length`` bytes
+    judged = _within(first, whole, len(s))
+    runs = _runs(judged & again | _within(first[copied], whole[copied], len(s)))
+    at = np.flatnonzero(judged & (other >= length) | _within(first[spread], whole[spread], len(s)))
+    i = np.flatnonzero((passage >= FILED) & (passage < length) & _within(first, np.minimum(places, sizes - 1), len(s)))
+    own = np.searchsorted(starts, i, side="right") - 1
+    near = (other[i] >= passage[i]) | spread[own]
+    i, own = i[near], own[near]
+    # the same bytes may go on within a word elsewhere; passages are compared whole
+    met_by: dict[bytes, tuple[int, int]] = {}
+    names = [_name(parts[k][a : a + m]) for k, a, m in zip(own.tolist(), (i - starts[own]).tolist(), passage[i].tolist())]
+    for name, lowest, highest in zip(names, low[own].tolist(), high[own].tolist()):
+        least, most = met_by.get(name, (lowest, highest))
+        met_by[name] = min(least, lowest), max(most, highest)
+    i = i[np.array([met_by[name][0] != met_by[name][1] for name in names], dtype=bool)]
+    firsts, ends = np.concatenate([at, i]), np.concatenate([at + length, i + passage[i]])
+    order = np.argsort(firsts, kind="stable")
+    shared = _spans(firsts[order], ends[order])  # spans end before the next segment's first place
+
+    def dealt(spans: np.ndarray) -> list[list[int]]:
+        own = np.searchsorted(starts, spans[:, 0], side="right") - 1
+        bounds = np.searchsorted(own, np.arange(len(rows) + 1)) * 2
+        flat, bounds = (spans - first[own][:, None]).ravel().tolist(), bounds.tolist()
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    return list(zip(dealt(runs), dealt(shared)))
+
+
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """(first, end) of the runs of true values."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).reshape(-1, 2)
 
 
 SEGMENT = "h long, s binary, t binary, first int, width int, places int, doc long, part binary"

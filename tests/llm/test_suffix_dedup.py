@@ -111,3 +111,30 @@ def test_spans():
     runs = np.array([5, 7, 100, 101, 6, 9])
     assert sd.merge_spans(runs, 10).tolist() == [[5, 18], [100, 110]]
     assert sd.cut_spans(b"0123456789", np.array([[2, 4], [8, 10]])) == b"014567"
+
+
+def test_segments_are_judged_together_and_grams_by_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    shared = rng.integers(97, 123, 900, dtype=np.uint8).tobytes()
+    parts = [b"x" + rng.integers(97, 123, 300, dtype=np.uint8).tobytes() + shared[k * 10 :] for k in range(12)]
+    rows = [(1 + (k == 3), k, k + (k == 3), len(p) - 256, p) for k, p in enumerate(parts)]
+    called, runs_of = [], sd._runs
+    monkeypatch.setattr(sd, "_runs", lambda flags: called.append(1) or runs_of(flags))
+    found = sd.repeated_strings(rows)
+    assert len(called) == 1  # not once a segment
+    starts: dict[bytes, list] = {}
+    for k, p in enumerate(parts):
+        for i in range(1, len(p) - 399):
+            starts.setdefault(p[i : i + 400], []).append((k, i - 1))
+    for k, (n, low, high, places, p) in enumerate(rows):
+        whole = range(min(places, len(p) - 400))
+        met = [i for i in whole if n > 1 or len(starts[p[i + 1 : i + 401]]) > 1]
+        runs, spans = found[k]
+        assert [i for a, b in zip(runs[::2], runs[1::2]) for i in range(a, b)] == met
+        assert {j for a, b in zip(spans[::2], spans[1::2]) for j in range(a, b)} == {j for i in met for j in range(i, i + 400)}
+    texts = [rng.integers(97, 100, m, dtype=np.uint8).tobytes() for m in (5000, 0, 100, 256, 3000)]
+    whole = sd.segments(texts)
+    monkeypatch.setattr(sd, "_BLOCK", 77)
+    assert all((a == b).all() for a, b in zip(whole, sd.segments(texts)))
+    at = [(int(k), int(f) + j) for k, f, n in zip(*whole[1:4]) for j in range(int(n))]
+    assert at == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 255)]
